@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import substring_dedup
+from . import quality_rules, substring_dedup
 
 QUERIES = {
     "op3_substring_dedup": substring_dedup.op3,
+    "op10_quality_rules": quality_rules.op10,
 }
 
 ORACLE_SQL = {
     "op3_substring_dedup": substring_dedup.OP3_SQL,
+    "op10_quality_rules": quality_rules.OP10_SQL,
 }
