@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import quality_rules, substring_dedup
+from . import bpe, quality_rules, substring_dedup
 
 QUERIES = {
     "op3_substring_dedup": substring_dedup.op3,
+    "op8_bpe": bpe.op8,
     "op10_quality_rules": quality_rules.op10,
 }
 
