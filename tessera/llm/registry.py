@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, quality_rules, substring_dedup
+from . import bpe, decontamination, quality_rules, substring_dedup
 
 QUERIES = {
     "op3_substring_dedup": substring_dedup.op3,
+    "op6_decontamination": decontamination.op6,
     "op8_bpe": bpe.op8,
     "op10_quality_rules": quality_rules.op10,
 }
 
 ORACLE_SQL = {
     "op3_substring_dedup": substring_dedup.OP3_SQL,
+    "op6_decontamination": decontamination.OP6_SQL,
     "op10_quality_rules": quality_rules.OP10_SQL,
 }
