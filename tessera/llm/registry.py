@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, quality_rules, substring_dedup
+from . import bpe, decontamination, quality_rules, substring_dedup, warc
 
 QUERIES = {
+    "op1_warc": warc.op1,
     "op3_substring_dedup": substring_dedup.op3,
     "op6_decontamination": decontamination.op6,
     "op8_bpe": bpe.op8,
