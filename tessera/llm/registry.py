@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, quality_rules, substring_dedup, warc
+from . import bpe, decontamination, jaccard_join, quality_rules, substring_dedup, warc
 
 QUERIES = {
     "op1_warc": warc.op1,
     "op3_substring_dedup": substring_dedup.op3,
     "op6_decontamination": decontamination.op6,
+    "op7_jaccard_join": jaccard_join.op7,
     "op8_bpe": bpe.op8,
     "op10_quality_rules": quality_rules.op10,
 }
