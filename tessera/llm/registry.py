@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, jaccard_join, quality_rules, substring_dedup, warc
+from . import bpe, decontamination, jaccard_join, language_id, quality_rules, substring_dedup, warc
 
 QUERIES = {
     "op1_warc": warc.op1,
     "op3_substring_dedup": substring_dedup.op3,
+    "op4_language_id": language_id.op4,
     "op6_decontamination": decontamination.op6,
     "op7_jaccard_join": jaccard_join.op7,
     "op8_bpe": bpe.op8,
