@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, jaccard_join, language_id, quality_rules, substring_dedup, warc
+from . import bpe, decontamination, html_extraction, jaccard_join, language_id, quality_rules, substring_dedup, warc
 
 QUERIES = {
     "op1_warc": warc.op1,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_decontamination": decontamination.op6,
     "op7_jaccard_join": jaccard_join.op7,
     "op8_bpe": bpe.op8,
+    "op9_html_extraction": html_extraction.op9,
     "op10_quality_rules": quality_rules.op10,
 }
 
