@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, html_extraction, jaccard_join, language_id, line_dedup, quality_rules, substring_dedup, warc
+from . import bpe, decontamination, html_extraction, jaccard_join, language_id, line_dedup, quality_rules, substring_dedup, suffix_dedup, warc
 
 QUERIES = {
     "op1_warc": warc.op1,
+    "op2_suffix_dedup": suffix_dedup.op2,
     "op3_substring_dedup": substring_dedup.op3,
     "op4_language_id": language_id.op4,
     "op5_line_dedup": line_dedup.op5,
