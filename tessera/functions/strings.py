@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -78,10 +79,10 @@ def template(*parts: Column | str) -> Column:
 
 def product(*lists: Column) -> Column:
     """All joins of one element of each list, the first list varying slowest."""
-    out = lists[0]
-    for more in lists[1:]:
-        out = F.flatten(F.transform(out, lambda a, more=more: F.transform(more, lambda b: F.concat(a, b))))
-    return out
+    def times(left: Column, right: Column) -> Column:
+        return F.flatten(F.transform(left, lambda a: F.transform(right, lambda b: F.concat(a, b))))
+
+    return reduce(times, lists)
 
 
 def placeholders(pattern: str, path: Column, index: Column) -> Column:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lists import any_contains
+
 SCHEMA = (
     "ts long, seq long, host string, pid int, job_id string, run_id string, name string, pipeline string, working_dir string, user string, submit_time long, "
     "outputs array<string>, temp map<string,boolean>, inputs array<string>, deps array<string>, script string, settings map<string,string>, array_id string, task_index int"
@@ -56,7 +58,7 @@ def search(jobs: DataFrame, id_: str | None = None, name: str | None = None, inp
             out = out.where(F.contains(F.col(column), F.lit(part)))
     for column, part in (("inputs", input_), ("outputs", output)):
         if part is not None:
-            out = out.where(F.exists(column, lambda x, part=part: F.contains(x, F.lit(part))))
+            out = out.where(any_contains(F.col(column), part))
     return out
 
 
