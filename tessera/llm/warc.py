@@ -141,20 +141,23 @@ class _Stream:
     """Bytes of a multi-member gzip file, decompressed as they are asked for."""
 
     def __init__(self, raw, size: int):
-        self.raw, self.size, self.left, self.unzip, self.ready = raw, size, b"", None, bytearray()
+        self.raw, self.size, self.left, self.unzip, self.more, self.ready = raw, size, b"", None, False, bytearray()
 
     def fill(self, n: int) -> bool:
         while len(self.ready) < n:
-            if not self.left:
+            if not self.left and (self.unzip is None or not self.more):
                 self.left = self.raw.read(self.size)
                 if not self.left:
                     return False
             if self.unzip is None:
                 self.unzip = zlib.decompressobj(31)
-            self.ready += self.unzip.decompress(self.left, self.size)
-            self.left = self.unzip.unconsumed_tail
+            got = self.unzip.decompress(self.left, self.size)
+            self.ready += got
+            self.more = len(got) == self.size  # the rest of what it has read may still be inside
             if self.unzip.eof:
-                self.left, self.unzip = self.unzip.unused_data + self.left, None
+                self.left, self.unzip, self.more = self.unzip.unused_data, None, False
+            else:
+                self.left = self.unzip.unconsumed_tail
         return True
 
     def take(self, n: int) -> bytes:
