@@ -32,3 +32,15 @@ def settled(df: DataFrame, name: str) -> DataFrame:
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once, as a lambda's argument."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like the given ones that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled
+from .common import fresh, settled
 
 VARIABLE = "<*>"
 
@@ -65,30 +65,30 @@ def without(lines: Column, gone: Column) -> Column:
     return F.flatten(F.zip_with(opens, closes, lambda a, b: F.slice(lines, a + 2, b - a - 1)))
 
 
-def marked(docs: DataFrame, id_col: str, text_col: str, options: dict) -> DataFrame:
-    """``docs`` with ``_gone``: the sorted places of the lines to drop, null if there are none."""
+def marked(docs: DataFrame, id_col: str, text_col: str, options: dict) -> tuple[DataFrame, str]:
+    """``docs`` with a column (its name comes second) of the sorted places of the lines to drop, null if there are none."""
+    id_, tag, gone = fresh(docs, "_id", "_tag", "_gone")
     own = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("tag"), F.col(text_col).alias("text")).where("text is not null")
-    gone = recurring(own, **options).groupBy(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag")).agg(F.sort_array(F.collect_set("at")).alias("_gone"))
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_id"]) & (F.xxhash64(docs[text_col]) == gone["_tag"]), "left").drop("_id", "_tag")
+    found = recurring(own, **options).groupBy(F.col("doc_id").alias(id_), F.col("tag").alias(tag)).agg(F.sort_array(F.collect_set("at")).alias(gone))
+    return docs.join(found, docs[id_col].eqNullSafe(found[id_]) & (F.xxhash64(docs[text_col]) == found[tag]), "left").drop(id_, tag), gone
 
 
 def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """All rows and columns of ``docs``; the lines of recurring templates are gone from the texts."""
-    out = marked(docs, id_col, text_col, options)
-    kept = F.array_join(without(F.split(F.col(text_col), "\n"), F.col("_gone")), "\n")
-    return out.withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(kept)).drop("_gone")
+    out, gone = marked(docs, id_col, text_col, options)
+    kept = F.array_join(without(F.split(F.col(text_col), "\n"), F.col(gone)), "\n")
+    return out.withColumn(text_col, F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(kept)).select(*docs.columns)
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = marked(docs, "doc_id", "text", {})
+    out, gone = marked(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", {})
     lines = F.split("text", "\n")
-    kept = F.when(F.col("_gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(without(lines, F.col("_gone")), "\n"))
+    kept = F.when(F.col(gone).isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(without(lines, F.col(gone)), "\n"))
     count = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")
-    dropped = F.coalesce(F.size("_gone"), F.lit(0)).cast("long")
-    return out.select("doc_id", count.alias("n_lines"), F.greatest(dropped, F.lit(0).cast("long")).alias("n_dropped"), F.sha2(kept, 256).alias("kept_sha256"))
+    dropped = F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).cast("long")
+    return out.select("doc_id", count.alias("n_lines"), dropped.alias("n_dropped"), F.sha2(kept, 256).alias("kept_sha256"))
 
 
 OP5_SQL = r"""
