@@ -68,6 +68,11 @@ def vacuum(records: DataFrame) -> DataFrame:
     return latest(records).join(live, "job_id", "left_semi").select(*records.columns)
 
 
+def compact(spark: SparkSession, folder: str, target: str) -> None:
+    """Write the records that ``vacuum`` keeps to a new folder, which then takes the old one's place."""
+    vacuum(read(spark, folder)).write.option("compression", "none").json(target)
+
+
 def dump(jobs: DataFrame) -> DataFrame:
     """``job_id, k_ord, pos, key, value``: facts of each job as rows; empty ones are left out, but not empty script lines."""
     none = F.array().cast("array<string>")

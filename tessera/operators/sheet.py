@@ -48,11 +48,13 @@ def first_per_key(df: DataFrame, key: list[str], order: list[Column]) -> DataFra
     return df.withColumn("_n", F.row_number().over(W.partitionBy(*key).orderBy(*order))).where("_n = 1").drop("_n")
 
 
-def products(*sides: DataFrame) -> DataFrame:
-    """Every combination of the rows of small tables that state a query (template lists)."""
+def products(*sides: DataFrame, most: int = 100_000) -> DataFrame:
+    """Every combination of the rows of small tables that state a query (template lists); a side of over ``most`` rows raises."""
     out = sides[0]
     for more in sides[1:]:
-        out = out.crossJoin(F.broadcast(more.limit(100_000)))
+        if more.count() > most:
+            raise ValueError(f"a template list of more than {most} rows")
+        out = out.crossJoin(F.broadcast(more))
     return out
 
 

@@ -102,3 +102,19 @@ def owner_report(owners: DataFrame, jobs: DataFrame) -> DataFrame:
     """Jobs that own a path with their sorted paths, in order of submission."""
     held = owners.groupBy("owner").agg(F.array_sort(F.collect_list("path")).alias("paths"))
     return jobs.join(held, jobs.job_id == held.owner).drop("owner").orderBy("submit_time", "job_id")
+
+
+def node_states(nodes: DataFrame, files: DataFrame, owners: DataFrame, states: DataFrame) -> DataFrame:
+    """``name, state`` of graph nodes: Done if on disk, else their owner's state, else Pending.  ``states`` has ``job_id, state``."""
+    held = nodes.select("name").join(files.where("`exists`").select(F.col("path").alias("name"), F.lit(True).alias("_disk")), "name", "left")
+    held = held.join(owners.select(F.col("path").alias("name"), F.col("owner").alias("job_id")), "name", "left").join(states.select("job_id", F.col("state").alias("_state")), "job_id", "left")
+    return held.select("name", F.when(F.col("_disk"), "Done").otherwise(F.coalesce("_state", F.lit("Pending"))).alias("state"))
+
+
+def counts(states: DataFrame) -> DataFrame:
+    return states.groupBy("state").agg(F.count(F.lit(1)).alias("n"))
+
+
+def table_lines(report: DataFrame) -> DataFrame:
+    """A report's rows as tab-separated lines."""
+    return report.select(F.concat_ws("\t", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in report.columns)).alias("line"))

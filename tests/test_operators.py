@@ -107,6 +107,23 @@ def test_reconcile(spark, state, word, end, mtime, want):
     assert one(spark, status.reconcile(F.lit(word), F.lit(state), F.lit(100), F.lit(end).cast("long"), F.lit(mtime).cast("long"))) == want
 
 
+def test_node_states(spark):
+    nodes = spark.createDataFrame([("a",), ("b",), ("c",)], "name string")
+    files = spark.createDataFrame([("a", True, 1)], "path string, exists boolean, mtime long")
+    got = status.node_states(nodes, files, spark.createDataFrame([("b", "7")], "path string, owner string"), spark.createDataFrame([("7", "running")], "job_id string, state string"))
+    assert {r.name: r.state for r in got.collect()} == {"a": "Done", "b": "running", "c": "Pending"}
+    assert status.counts(got).count() == 3 and status.table_lines(got).count() == 3
+
+
+def test_compact(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "h-1-2-3.jsonl").write_text("\n".join(json.dumps(r) for r in (rec(200, "200", ["out.bam"]), rec(100, "100", ["out.bam"]))))
+    ledger.compact(spark, str(tmp_path / "a"), str(tmp_path / "b"))
+    assert [r.job_id for r in spark.read.schema(ledger.SCHEMA).json(str(tmp_path / "b")).collect()] == ["200"]
+    with pytest.raises(ValueError):
+        sheet.products(spark.range(2), spark.range(3), most=2)
+
+
 def test_ranges(spark):
     df = spark.createDataFrame([("g", n) for n in (5, 1, 2, 3, 8, 7, 3)], "g string, n int")
     assert sheet.ranges(df, ["g"], "n").first().spec == "1-3,5,7-8"
