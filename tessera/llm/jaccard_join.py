@@ -154,8 +154,8 @@ def forest(n: int, pairs: np.ndarray) -> list[tuple[int, int]]:
     return [(i, find(i)) for i in range(n) if find(i) != i]
 
 
-def candidates_in(sketch: np.ndarray, path: int, threshold: float, brute: int, levels: int) -> set[tuple[int, int]]:
-    """Edges, by place, that join what may be similar in one bucket."""
+def candidates_in(sketch: np.ndarray, path: int, threshold: float, brute: int, levels: int) -> list[tuple[int, int]]:
+    """A spanning forest, by place, of what may be similar in one bucket."""
     least = math.floor(threshold * LOOSE * COORDINATES)
     edges: set[tuple[int, int]] = set()
 
@@ -190,7 +190,7 @@ def candidates_in(sketch: np.ndarray, path: int, threshold: float, brute: int, l
             for group in np.split(order, cuts):
                 if len(group) > 1:
                     todo.append((own[group], _child(np.array([at]), np.array([c]), value[group[:1]])[0], level + 1))
-    return edges
+    return forest(len(sketch), np.array(sorted(edges), np.int64).reshape(-1, 2))
 
 
 def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
