@@ -101,7 +101,7 @@ def _suffixes(width: int, anchor: int, context: int):
 def _extend(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, "both"):
+            for part in chunks(batch, "text", "ref_text"):
                 one, two = Words(part.column("text")), Words(part.column("ref_text"))
                 a, b = one.hashes(), two.hashes()
                 out = []
@@ -149,7 +149,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     pairs = pairs.groupBy("doc_id", "tag", "ref_id", "ref_tag").agg(F.collect_set("anchor").alias("anchors"))
     refs = own.select(F.col("doc_id").alias("ref_id"), F.col("text").alias("ref_text"), F.col("tag").alias("ref_tag"))
     joined = pairs.join(own, ["doc_id", "tag"]).join(refs, ["ref_id", "ref_tag"])
-    joined = joined.select("doc_id", "tag", "ref_id", "anchors", "text", "ref_text", F.concat("text", "ref_text").alias("both"))
+    joined = joined.select("doc_id", "tag", "ref_id", "anchors", "text", "ref_text")
     found = joined.mapInArrow(_extend(width), "doc_id long, tag long, ref_doc_id long, start long, n_words long, ref_start long")
     return found.select("doc_id", "start", "n_words", "ref_doc_id", "ref_start", "tag").distinct()
 

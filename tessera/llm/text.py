@@ -35,11 +35,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of ``batch`` whose texts hold about ``limit`` bytes at most."""
+def chunks(batch: pa.RecordBatch, *columns: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of ``batch`` whose texts in ``columns`` hold about ``limit`` bytes at most."""
     if not batch.num_rows:
         return
-    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    size = sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns)
     which = (np.cumsum(size) - size) // limit
     cuts = np.concatenate([[0], np.flatnonzero(np.diff(which)) + 1, [batch.num_rows]])
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
