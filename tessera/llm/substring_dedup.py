@@ -122,6 +122,16 @@ def sketch(docs: DataFrame, width: int, anchor: int, max_cells: int) -> tuple[in
     return bits, plane
 
 
+def estimated(least: np.ndarray, merged: tuple[int, list[np.ndarray]]) -> np.ndarray:
+    """Whether the merged sketch counts the minimisers in two documents or more."""
+    bits, plane = merged
+    out = np.ones(len(least), bool)
+    for level in range(DEPTH):
+        cell = cells(least, level, bits).astype(np.int64)
+        out &= (plane[level][cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1).astype(bool)
+    return out
+
+
 _NARROW = "h1 long, h2 long, doc_id long, at long, n int"
 
 
@@ -129,7 +139,6 @@ def _candidates(shared, width: int, anchor: int):
     """Windows estimated repeated: one row each (n = 0), or runs known to be repeats (n > 0)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, plane = shared.value
         for batch in batches:
             for part in chunks(batch, "text"):
                 ids = part.column("doc_id")
@@ -137,10 +146,7 @@ def _candidates(shared, width: int, anchor: int):
                 hashes = words.hashes()
                 at, least = minimisers(words, hashes, width, anchor)
                 row = words.row()[at]
-                keep = np.asarray(ids.is_valid())[row]
-                for level in range(DEPTH):
-                    cell = cells(least, level, bits).astype(np.int64)
-                    keep &= (plane[level][cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1).astype(bool)
+                keep = np.asarray(ids.is_valid())[row] & estimated(least, shared.value)
                 if not keep.any():
                     continue
                 pick = np.flatnonzero(keep)

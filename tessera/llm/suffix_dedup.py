@@ -3,17 +3,19 @@
 A passage is ``width`` words or more that two documents share.  Of all suffixes
 of the texts, those are kept that start at a minimiser: the least hash among
 the ``anchor``-word runs of some ``width``-word window.  A minimiser is chosen
-by the window's words alone, so every shared passage has one at the same place
-in both documents.
-
-The kept suffixes are sorted by their first ``context`` words and, read
-backwards from the minimiser's end, by their last ``context`` words before it
-(``context`` is half a window, so on one of the sides the passage reaches that
-far); the sort is by a 64-bit digest of those words, then document and place.
-Each suffix is compared with its neighbour before it and with the first of its
-run, both in documents with smaller ids.  Compared suffixes are extended left
-and right, word by word, over both whole documents; matches of ``width`` words
-or more are passages.
+by the window's words alone, so every shared window has one at the same place
+in both documents.  Suffixes whose minimiser stands in one document only, by a
+count-min sketch that never counts too few, are no one's neighbours and go.
+
+The kept suffixes are sorted by the words around their start: for each stretch
+of ``step`` places that the minimiser has in the windows it stands for, by the
+``width - step + 1`` words that those windows share (as a 64-bit digest), then
+by document and place.  Each suffix is compared with its neighbour before it
+and with the first of its run, both in documents with smaller ids.  Compared
+suffixes are extended left and right, word by word, over both whole documents;
+matches of ``width`` words or more are passages.  Each task keeps a document's
+passages that lie in no other one, so a document of a large group of near
+copies does not have a row for each pair.
 
 Within a chunk of text all suffixes of a run are compared with the chunk's
 first, which alone is sorted with the others', so a passage of very many
@@ -29,62 +31,49 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from .substring_dedup import _keep, minimisers
+from .substring_dedup import _keep, estimated, minimisers, sketch
 from .text import Words, chunks, mix, windows
 
 _PLACE = (1 << 36) - 1
 
 
-def sparse_suffixes(words: Words, hashes: np.ndarray, width: int, anchor: int) -> np.ndarray:
-    """First words of the chosen suffixes, ascending."""
-    at, least = minimisers(words, hashes, width, anchor)
+def sparse_suffixes(words: Words, hashes: np.ndarray, width: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word of each window, its minimiser's place (the first of equal ones) and hash."""
+    at, _ = windows(words, hashes, width)
     where, value = windows(words, hashes, anchor)
     if not len(at):
-        return at
-    n, span = len(hashes), width - anchor + 1
-    most = np.zeros(n + span, np.uint64)  # at p: the greatest minimum of the windows over the run at p
-    most[at + span - 1] = least
-    have = 1
-    while have * 2 <= span:
-        most[: n + span - have] = np.maximum(most[: n + span - have], most[have:])
+        return at, at, np.zeros(0, np.uint64)
+    least = np.full(len(hashes), np.uint64(2**64 - 1))
+    least[where] = value
+    place, span, have = np.arange(len(hashes)), width - anchor + 1, 1
+    while have * 2 <= span:  # least of 2, 4, 8, ... in a row
+        right = least[have:] < least[:-have]
+        place = np.where(right, place[have:], place[:-have])
+        least = np.where(right, least[have:], least[:-have])
         have *= 2
-    reach = np.maximum(most[:n], most[span - have : n + span - have])
-    dense = np.zeros(n, np.uint64)
-    dense[where] = value
-    chosen = np.zeros(n, bool)
-    chosen[where] = reach[where] == value
-    chosen[1:] &= dense[1:] != dense[:-1]
-    return np.flatnonzero(chosen)
+    right = least[at + span - have] < least[at]
+    return at, np.where(right, place[at + span - have], place[at]), np.where(right, least[at + span - have], least[at])
 
 
 _ROWS = ["key", "doc_id", "place", "ref_id", "ref_place"]
 
 
-def _suffixes(width: int, anchor: int, context: int):
+def _suffixes(shared, width: int, anchor: int, step: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text"):
                 words = Words(part.column("text"))
                 hashes = words.hashes()
-                at = sparse_suffixes(words, hashes, width, anchor)
-                first, value = windows(words, hashes, context)
-                of = np.zeros(len(hashes) + 1, np.uint64)
-                of[first] = value
-                valid = np.zeros(len(hashes) + 1, bool)
-                valid[first] = True
+                at, suffix, least = sparse_suffixes(words, hashes, width, anchor)
+                often = estimated(least, shared.value)
+                at, suffix = at[often], suffix[often]
+                begin = np.unique(suffix - (suffix - at) // step * step)
+                first, value = windows(words, hashes, width - step + 1)
                 row, ids, tags = words.row(), part.column("doc_id").to_numpy(), part.column("tag").to_numpy().astype(np.int64)
-                keys, places, docs = [], [], []
-                for side, begin in enumerate((at, at + anchor - context)):
-                    ok = begin >= 0
-                    ok[ok] = valid[begin[ok]]
-                    own, begin = at[ok], begin[ok]
-                    ok = row[begin] == row[own]
-                    own, begin = own[ok], begin[ok]
-                    keys.append(mix(of[begin] + np.uint64(side)).view(np.int64))
-                    docs.append(ids[row[own]])
-                    places.append((tags[row[own]] << 36) | (own - words.first[row[own]]))
-                key, doc, place = np.concatenate(keys), np.concatenate(docs), np.concatenate(places)
+                key, doc = value[np.searchsorted(first, begin)].view(np.int64), ids[row[begin]]
+                place = (tags[row[begin]] << 36) | (begin - words.first[row[begin]])
                 order = np.lexsort((place, doc, key))
                 key, doc, place = key[order], doc[order], place[order]
                 new = np.ones(len(key), bool)
@@ -98,29 +87,78 @@ def _suffixes(width: int, anchor: int, context: int):
     return run
 
 
+def _repeating(shared, width: int, anchor: int):
+    """The documents with a suffix that is kept."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                words = Words(part.column("text"))
+                at, least = minimisers(words, words.hashes(), width, anchor)
+                keep = np.zeros(part.num_rows, bool)
+                keep[words.row()[at[estimated(least, shared.value)]]] = True
+                yield part.filter(pa.array(keep))
+
+    return run
+
+
+def maximal(found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """Of (start, stop, ref, ref start), those inside no other; of equal ones the least ref's."""
+    out, reach = [], -1
+    for row in sorted(found, key=lambda x: (x[0], -x[1], x[2:])):
+        if row[1] > reach:
+            out.append(row)
+            reach = row[1]
+    return out
+
+
 def _extend(width: int):
+    """Passages of each document, from rows in which those of one document are next to each other."""
+
+    def matches(x: np.ndarray, y: np.ndarray, shift: int) -> list[tuple[int, int, int]]:
+        low, high = max(0, shift), min(len(x), len(y) + shift)
+        same = np.zeros(high - low + 2, bool)
+        same[1:-1] = x[low:high] == y[low - shift : high - shift]
+        edge = np.flatnonzero(same[1:] != same[:-1])
+        starts, stops = edge[::2], edge[1::2]
+        long = stops - starts >= width
+        return [(low + s, low + e, low + s - shift) for s, e in zip(starts[long].tolist(), stops[long].tolist(), strict=True)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        now, found = None, []
+
+        def packed() -> pa.RecordBatch:
+            names = ["doc_id", "tag", "ref_doc_id", "start", "n_words", "ref_start"]
+            rows = pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(6)], names=names)
+            out.clear()
+            return rows
+
+        def finish() -> None:
+            if now is not None:
+                out.extend((*now, ref, start, stop - start, at) for start, stop, ref, at in maximal(found))
+
         for batch in batches:
             for part in chunks(batch, "text", "ref_text"):
-                one, two = Words(part.column("text")), Words(part.column("ref_text"))
+                keys = list(zip(part.column("doc_id").to_pylist(), part.column("tag").to_pylist(), strict=True))
+                heads = [i for i, k in enumerate(keys) if not i or k != keys[i - 1]]
+                one, two = Words(part.column("text").take(pa.array(heads))), Words(part.column("ref_text"))
                 a, b = one.hashes(), two.hashes()
-                out = []
-                for i in range(part.num_rows):
-                    x, y = a[one.first[i] : one.first[i + 1]], b[two.first[i] : two.first[i + 1]]
-                    anchors = part.column("anchors")[i].values
-                    pos, ref = (anchors.field(k).to_numpy() for k in ("pos", "ref_pos"))
-                    found = set()
-                    for shift in np.unique(pos - ref).tolist():
-                        low, high = max(0, shift), min(len(x), len(y) + shift)
-                        same = np.zeros(high - low + 2, bool)
-                        same[1:-1] = x[low:high] == y[low - shift : high - shift]
-                        edge = np.flatnonzero(same[1:] != same[:-1])
-                        starts, stops = edge[::2], edge[1::2]
-                        long = stops - starts >= width
-                        found |= {(low + s, e - s, low + s - shift) for s, e in zip(starts[long].tolist(), stops[long].tolist(), strict=True)}
-                    out += [(part.column("doc_id")[i].as_py(), part.column("tag")[i].as_py(), part.column("ref_id")[i].as_py(), *f) for f in sorted(found)]
-                names = ["doc_id", "tag", "ref_doc_id", "start", "n_words", "ref_start"]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(6)], names=names)
+                refs, at = part.column("ref_id").to_pylist(), -1
+                for i, key in enumerate(keys):
+                    at += i == heads[min(at + 1, len(heads) - 1)]
+                    if key != now:
+                        finish()
+                        now, found = key, []
+                    x, y = a[one.first[at] : one.first[at + 1]], b[two.first[i] : two.first[i + 1]]
+                    for shift in part.column("shifts")[i].as_py():
+                        found += [(s, e, refs[i], r) for s, e, r in matches(x, y, shift)]
+                    if len(found) > 10_000:
+                        found = maximal(found)
+                if len(out) > 20_000:
+                    yield packed()
+        finish()
+        yield packed()
 
     return run
 
@@ -129,13 +167,15 @@ def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).bitwiseAND(F.lit(0xFFFFFF)).alias("tag"))
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50, anchor: int = 8) -> DataFrame:
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50, anchor: int = 20, step: int = 2, max_cells: int = 1 << 28) -> DataFrame:
     """``doc_id, start, n_words, ref_doc_id, ref_start, tag`` of passages that also stand in a document with a smaller id.
 
-    Passages are maximal; ``tag`` tells rows of one id apart.
+    A passage lies in no other one of its document, and each is given once, with
+    one of the documents that have it; ``tag`` tells rows of one id apart.
     """
     own = _documents(docs, id_col, text_col).where("doc_id is not null and text is not null")
-    sparse = own.mapInArrow(_suffixes(width, anchor, width // 2), "key long, doc_id long, place long, ref_id long, ref_place long")
+    shared = own.sparkSession.sparkContext.broadcast(sketch(own, width, anchor, max_cells))
+    sparse = own.mapInArrow(_suffixes(shared, width, anchor, step), "key long, doc_id long, place long, ref_id long, ref_place long")
     compared = sparse.sparkSession.sql(
         """select doc_id, place, explode(array_distinct(array(leader, before, near))) as ref from (
              select doc_id, place, first(struct(doc_id, place)) over w as leader, lag(struct(doc_id, place)) over w as before,
@@ -144,19 +184,23 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
         sparse=sparse,
     ).where("ref.doc_id < doc_id")
     tag, ref_tag = F.call_function("shiftright", F.col("place"), F.lit(36)), F.call_function("shiftright", F.col("ref.place"), F.lit(36))
-    where = F.struct(F.col("place").bitwiseAND(F.lit(_PLACE)).alias("pos"), F.col("ref.place").bitwiseAND(F.lit(_PLACE)).alias("ref_pos"))
-    pairs = compared.select("doc_id", tag.alias("tag"), F.col("ref.doc_id").alias("ref_id"), ref_tag.alias("ref_tag"), where.alias("anchor"))
-    pairs = pairs.groupBy("doc_id", "tag", "ref_id", "ref_tag").agg(F.collect_set("anchor").alias("anchors"))
+    shift = F.col("place").bitwiseAND(F.lit(_PLACE)) - F.col("ref.place").bitwiseAND(F.lit(_PLACE))
+    pairs = compared.select("doc_id", tag.alias("tag"), F.col("ref.doc_id").alias("ref_id"), ref_tag.alias("ref_tag"), shift.alias("shift"))
+    pairs = pairs.groupBy("doc_id", "tag", "ref_id", "ref_tag").agg(F.collect_set("shift").alias("shifts"))
+    own = own.mapInArrow(_repeating(shared, width, anchor), own.schema)
     refs = own.select(F.col("doc_id").alias("ref_id"), F.col("text").alias("ref_text"), F.col("tag").alias("ref_tag"))
-    joined = pairs.join(own, ["doc_id", "tag"]).join(refs, ["ref_id", "ref_tag"])
-    joined = joined.select("doc_id", "tag", "ref_id", "anchors", "text", "ref_text")
+    joined = pairs.join(refs, ["ref_id", "ref_tag"]).join(own, ["doc_id", "tag"])
+    joined = joined.select("doc_id", "tag", "ref_id", "shifts", "text", "ref_text").sortWithinPartitions("doc_id", "tag")
     found = joined.mapInArrow(_extend(width), "doc_id long, tag long, ref_doc_id long, start long, n_words long, ref_start long")
-    return found.select("doc_id", "start", "n_words", "ref_doc_id", "ref_start", "tag").distinct()
+    before = W.partitionBy("doc_id", "tag").orderBy("start", F.desc("n_words"), "ref_doc_id", "ref_start").rowsBetween(W.unboundedPreceding, -1)
+    reach = F.max(F.col("start") + F.col("n_words")).over(before)
+    found = found.withColumn("reach", F.coalesce(reach, F.lit(-1))).where("start + n_words > reach")
+    return found.select("doc_id", "start", "n_words", "ref_doc_id", "ref_start", "tag")
 
 
-def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50, anchor: int = 8) -> DataFrame:
+def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50, **options) -> DataFrame:
     """Per row: ``doc_id, n_words, n_removed, kept_text``: texts without the passages of ``repeats``."""
-    spans = repeats(docs, id_col, text_col, width, anchor).groupBy(F.col("doc_id").alias("key"), F.col("tag").alias("key_tag"))
+    spans = repeats(docs, id_col, text_col, width, **options).groupBy(F.col("doc_id").alias("key"), F.col("tag").alias("key_tag"))
     spans = spans.agg(F.collect_set(F.struct(F.call_function("shiftleft", F.col("tag"), F.lit(36)).bitwiseOR(F.col("start")).alias("at"), F.col("n_words").cast("int").alias("n"))).alias("spans"))
     own = _documents(docs, id_col, text_col)
     joined = own.join(spans, (own.doc_id == spans.key) & (own.tag == spans.key_tag), "left")
