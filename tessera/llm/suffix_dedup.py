@@ -167,7 +167,7 @@ def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).bitwiseAND(F.lit(0xFFFFFF)).alias("tag"))
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50, anchor: int = 20, step: int = 2, max_cells: int = 1 << 28) -> DataFrame:
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50, anchor: int = 20, step: int = 1, max_cells: int = 1 << 28) -> DataFrame:
     """``doc_id, start, n_words, ref_doc_id, ref_start, tag`` of passages that also stand in a document with a smaller id.
 
     A passage lies in no other one of its document, and each is given once, with
