@@ -9,15 +9,18 @@ task adds up for itself, so a host with very many pages sends one row a token
 and task.
 
 A class is valid if its tokens occur once a page in ``support`` of a host's
-pages.  Valid classes nest by their paths; the innermost token that still has
-``mass`` of the host's running text (link text, menus, forms and the like not
-counted) opens the slot of the article.  Blocks of text that occur in
+pages and if it has several; the whole page is valid always.  Valid classes
+nest by their paths into the template.  Running text (link text, menus, forms
+and the like not counted) belongs to the innermost token of the template around
+it; every token that has any of its own opens a slot, and the article is all
+slots in page order, so no running text lies outside.  Blocks of text that occur in
 ``support`` of a host's pages, in ``contents`` (of eight hash classes of page
 contents) at least, are template text and no slot.  Hosts with fewer than ``least_pages`` pages, and
-pages without their host's token, use the page's own tokens by the same rule.
-In all cases an ``article`` or ``main`` element is preferred.
+pages without their host's tokens, use the page's own tokens by the same rule.
+In all cases an ``article`` or ``main`` element with ``mass`` of the running
+text is preferred, as the only slot.
 
-Within the slot, menus, headers, footers, sidebars, notices, adverts, forms,
+Within the slots, menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles and reader comments are left out by tag, role, class and id.
 Character references are decoded, white space inside a block becomes one space
 (so does ``br``), blocks are trimmed, empty ones dropped, and the rest joined
@@ -168,13 +171,22 @@ class Page:
             if tag in _INLINE and own not in _INLINE:
                 return
 
-    def own_slot(self, mass: float) -> str:
+    def own_slots(self, mass: float) -> list[str]:
         whole = self.tokens[""][1]
-        return max((p for p, (_, n) in self.tokens.items() if n >= mass * whole), key=rank, default="")
+        best = max((p for p, (_, n) in self.tokens.items() if n >= mass * whole and rank(p)[0]), key=rank, default=None)
+        if best is not None:
+            return [best]
+        own = {p: n for p, (_, n) in self.tokens.items()}
+        for p, (_, n) in self.tokens.items():
+            if p:
+                own[p.rpartition("/")[0]] -= n
+        return [p for p, n in own.items() if n > 0] or [""]
 
-    def extract(self, slot: str, template: frozenset[int], key) -> str:
-        deep = slot + "/"
-        return "\n".join(t for t, path, out in self.blocks if (path == slot or path.startswith(deep)) and out <= len(slot) and not (template and key(path, t) in template))
+    def extract(self, slots: list[str], template: frozenset[int], key) -> str:
+        def held(path: str, out: int) -> bool:
+            return any((path == s or path.startswith(s + "/")) and out <= len(s) for s in slots)
+
+        return "\n".join(t for t, path, out in self.blocks if held(path, out) and not (template and key(path, t) in template))
 
 
 def rank(path: str) -> tuple:
@@ -230,11 +242,11 @@ def _extract(mass: float):
         for batch in batches:
             for part in chunks(batch, "html"):
                 out = []
-                for source, slot, texts in zip(part.column("html").to_pylist(), part.column("slot").to_pylist(), part.column("texts").to_pylist(), strict=True):
+                for source, slots, texts in zip(part.column("html").to_pylist(), part.column("slots").to_pylist(), part.column("texts").to_pylist(), strict=True):
                     page = Page(source or "")
-                    if slot is None or slot not in page.tokens:
-                        slot = page.own_slot(mass)
-                    out.append(page.extract(slot, frozenset(texts or ()), block_key))
+                    if not any(s in page.tokens for s in slots or ()):
+                        slots = page.own_slots(mass)
+                    out.append(page.extract(slots, frozenset(texts or ()), block_key))
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(out, pa.string())], names=["page_id", "url", "text"])
 
     return run
@@ -245,18 +257,25 @@ def host_of(url: Column) -> Column:
 
 
 def templates(pages: DataFrame, support: float = 0.9, mass: float = 0.6, least_pages: int = 3, contents: int = 5) -> DataFrame:
-    """Per host: ``host, slot, texts``.  ``pages`` has ``host, html``."""
+    """Per host: ``host, slots, texts``.  ``pages`` has ``host, html``."""
     seen = settled(pages.select("host", "html").mapInArrow(_tokens, "host string, path string, block long, pages long, once long, vector long, mass long, content long"), "page-tokens")
     tokens = seen.where("block is null").groupBy("host", "path").agg(*(F.sum(c).alias(c) for c in ("pages", "once", "mass")), (F.sum(F.col("vector").cast("decimal(38,0)")) % (1 << 62)).alias("vector"))
     hosts = tokens.where("path = ''").select("host", F.col("pages").alias("n"), F.col("mass").alias("whole"))
     valid = tokens.join(hosts, "host").where((F.col("n") >= least_pages) & (F.col("once") >= support * F.col("n")))
-    classes = valid.groupBy("host", "vector").agg(F.collect_list(F.struct("path", "mass")).alias("tokens"), F.first("whole").alias("whole"))
-    inner = classes.select("host", F.explode("tokens").alias("t"), "whole").where(F.col("t.mass") >= mass * F.col("whole"))
-    parts = F.split(F.col("t.path"), "/")
-    tag = F.regexp_extract(F.col("t.path"), r"([^/.]*)(?:\.[^/]*)?$", 1)
-    grade = F.when(tag == "article", 2).when(tag == "main", 1).otherwise(0)
-    order = F.struct(grade.alias("grade"), F.when(grade > 0, -F.size(parts)).otherwise(F.size(parts)).alias("depth"), F.col("t.path").alias("path"))
-    slots = inner.groupBy("host").agg(F.max(order)["path"].alias("slot"))
+    parts = F.split("path", "/")
+    tag = F.regexp_extract("path", r"([^/.]*)(?:\.[^/]*)?$", 1)
+    grade = F.when(tag == "article", 2).when(tag == "main", 1)
+    order = F.struct(grade.alias("grade"), (-F.size(parts)).alias("depth"), F.col("path").alias("path"))
+    best = valid.where((F.col("mass") >= mass * F.col("whole")) & grade.isNotNull()).groupBy("host").agg(F.array(F.max(order)["path"]).alias("best"))
+    classes = valid.groupBy("host", "vector").agg(F.collect_list(F.struct("path", "mass")).alias("tokens"))
+    classes = classes.select("host", F.filter("tokens", lambda x: (F.size("tokens") > 1) | (x["path"] == "")).alias("tokens"))
+    nested = classes.groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("tokens")).select("host", "tokens", F.explode("tokens").alias("t"))
+    around = F.filter("tokens", lambda x: (F.col("t.path") != x["path"]) & F.startswith(F.col("t.path"), F.concat(x["path"], F.lit("/"))))
+    around = F.array_max(F.transform(around, lambda x: F.struct(F.length(x["path"]).alias("n"), x["path"].alias("path"))))["path"]
+    own = nested.select("host", F.explode(F.array(F.struct(F.col("t.path").alias("path"), F.col("t.mass").alias("mass")), F.struct(around.alias("path"), (-F.col("t.mass")).alias("mass")))).alias("t"))
+    own = own.where("t.path is not null").groupBy("host", F.col("t.path").alias("path")).agg(F.sum("t.mass").alias("mass"))
+    slots = own.groupBy("host").agg(F.sort_array(F.collect_list(F.when(F.col("mass") > 0, F.col("path")))).alias("slots"))
+    slots = slots.join(best, "host", "left").select("host", F.coalesce("best", F.when(F.size("slots") > 0, F.col("slots")), F.array(F.lit(""))).alias("slots"))
     blocks = seen.where("block is not null").groupBy("host", "block").agg(F.sum("pages").alias("pages"), F.size(F.collect_set("content")).alias("contents")).where(F.col("contents") >= contents)
     texts = blocks.join(hosts, "host").where(F.col("pages") >= support * F.col("n")).groupBy("host").agg(F.collect_set("block").alias("texts"))
     return slots.join(texts, "host", "left")
@@ -268,7 +287,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     known = settled(templates(own, support, mass, least_pages, contents), "templates")
     if known.count() <= broadcast_hosts:
         known = F.broadcast(known)
-    joined = own.join(known, "host", "left").select("page_id", "url", "html", "slot", "texts")
+    joined = own.join(known, "host", "left").select("page_id", "url", "html", "slots", "texts")
     return joined.mapInArrow(_extract(mass), joined.select("page_id", "url", F.lit("").alias("text")).schema)
 
 

@@ -4,7 +4,7 @@ import random
 
 from test_operators import window_removal
 
-from tessera.llm import suffix_dedup
+from tessera.llm import html_extraction, suffix_dedup
 
 
 def test_suffix_last_word(spark):
@@ -20,3 +20,18 @@ def test_suffix_last_word(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted((tuple(r) for r in suffix_dedup.drop_repeats(df).collect()), key=str)
     assert got == window_removal(rows, 50)
+
+
+def test_html_two_slots(spark):
+    """Text in siblings, without article or main: on a host of many pages, and on one of a single page."""
+    page = '<html><body><div class="menu">m</div><div class="lead"><p>%s</p></div><div class="links"><a href="x">more %d</a></div><div class="body"><p>%s</p></div></body></html>'
+    rows = [(i, f"http://two.slots/{i}", page % (f"lead {i} " * 3, i, f"body {i} " * 7)) for i in range(20)] + [(100, "http://one/", page % ("lead", 1, "body body body"))]
+    got = {r.page_id: r.text for r in html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[7] == f"{('lead 7 ' * 3).strip()}\n{('body 7 ' * 7).strip()}" and got[100] == "lead\nbody body body"
+
+
+def test_html_classes(spark):
+    """A token alone in its class is no template: its text is the page's own, and nothing of it is lost."""
+    rows = [(i, f"http://odd/{i}", f'<body><div class="{"rare" if i == 3 else "body"}"><p>text {i}</p></div><div class="notes"><p>notes {i}</p></div></body>') for i in range(20)]
+    got = {r.page_id: r.text for r in html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"text {i}\nnotes {i}" for i in range(20))
