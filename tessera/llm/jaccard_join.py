@@ -9,7 +9,8 @@ A run of the join starts with all sets in one bucket.  A bucket draws one or
 two coordinates (1 / threshold on average), the same for all its members, and
 passes each member on to the bucket of its value there; buckets of at most
 ``brute`` members, or at the last level, are compared by their embeddings.  The
-number of runs follows from the target recall at the threshold.  Buckets
+number of runs follows from the target recall at the threshold, over all shares
+of coordinates in which a pair at the threshold may agree.  Buckets
 larger than ``bucket_rows`` are split further by Spark; what cannot be split is
 a dense cluster, and is linked to one leader a round, first those within a
 tenth of it, until it is small.
@@ -107,13 +108,28 @@ def _child(path: np.ndarray, coordinate: np.ndarray, value: np.ndarray) -> np.nd
     return mix(path ^ mix((coordinate.astype(np.uint64) << np.uint64(32)) | value.astype(np.uint64)))
 
 
+def found_by(runs: int, threshold: float, levels: int = LEVELS) -> float:
+    """Probability that ``runs`` runs find a pair at the threshold, were it to go down all levels.
+
+    All runs share one embedding: the pair agrees in a binomial number of its
+    coordinates, and only given that number are the runs independent.
+    """
+    two, least, total = 1 / threshold - 1, math.floor(threshold * LOOSE * COORDINATES), 0.0
+    for k in range(least, COORDINATES + 1):
+        found = 1.0
+        for _ in range(levels):
+            x = k / COORDINATES * found
+            found = (1 - two) * x + two * (1 - (1 - x) ** 2)
+        total += math.comb(COORDINATES, k) * threshold**k * (1 - threshold) ** (COORDINATES - k) * (1 - (1 - found) ** runs)
+    return total
+
+
 def runs_for(recall: float, threshold: float, levels: int = LEVELS) -> int:
-    """Runs that find a pair at the threshold with probability ``recall``, were it to go down all levels."""
-    two, found = 1 / threshold - 1, 1.0
-    for _ in range(levels):
-        x = threshold * found
-        found = (1 - two) * x + two * (1 - (1 - x) ** 2)
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - found)))
+    """The fewest runs that find a pair at the threshold with probability ``recall``; no runs reach more than its embedding allows."""
+    runs, recall = 1, min(recall, found_by(1 << 20, threshold, levels) - 1e-4)
+    while found_by(runs, threshold, levels) < recall:
+        runs += 1
+    return runs
 
 
 def _split(threshold: float, runs: int = 0):
@@ -154,8 +170,8 @@ def forest(n: int, pairs: np.ndarray) -> list[tuple[int, int]]:
     return [(i, find(i)) for i in range(n) if find(i) != i]
 
 
-def candidates_in(sketch: np.ndarray, path: int, threshold: float, brute: int, levels: int) -> list[tuple[int, int]]:
-    """A spanning forest, by place, of what may be similar in one bucket."""
+def candidates_in(sketch: np.ndarray, path: int, threshold: float, brute: int, levels: int, reached: int = 1) -> list[tuple[int, int]]:
+    """A spanning forest, by place, of what may be similar in one bucket of the level ``reached``."""
     least = math.floor(threshold * LOOSE * COORDINATES)
     edges: set[tuple[int, int]] = set()
 
@@ -174,7 +190,7 @@ def candidates_in(sketch: np.ndarray, path: int, threshold: float, brute: int, l
         a, b = np.nonzero(np.triu(agree >= least, 1))
         edges.update((int(own[i]), int(own[j])) for i, j in forest(len(own), np.stack([a, b], 1)))
 
-    todo = [(np.arange(len(sketch)), np.uint64(path), 1)]
+    todo = [(np.arange(len(sketch)), np.uint64(path), reached)]
     while todo:
         own, at, level = todo.pop()
         if len(own) < 2:
@@ -214,7 +230,7 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield pa.Table.from_batches(held)
 
 
-def _compare(threshold: float, brute: int, levels: int):
+def _compare(threshold: float, brute: int, levels: int, reached: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u, v = [], []
         for bucket in grouped(batches, ["path"]):
@@ -222,7 +238,7 @@ def _compare(threshold: float, brute: int, levels: int):
                 continue
             node = bucket.column("node").to_numpy()
             sketch = np.frombuffer(b"".join(bucket.column("sketch").to_pylist()), np.uint32).reshape(-1, COORDINATES)
-            for a, b in candidates_in(sketch, int(np.int64(bucket.column("path")[0].as_py()).view(np.uint64)), threshold, brute, levels):
+            for a, b in candidates_in(sketch, int(np.int64(bucket.column("path")[0].as_py()).view(np.uint64)), threshold, brute, levels, reached):
                 u.append(int(node[a]))
                 v.append(int(node[b]))
             if len(u) > 50_000:
@@ -256,20 +272,20 @@ def candidate_edges(nodes: DataFrame, threshold: float, recall: float, brute: in
 
     found = []
 
-    def compare(rows: DataFrame) -> None:
+    def compare(rows: DataFrame, reached: int) -> None:
         own = rows.select("path", "node").join(sketched, "node")
         n = rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
         dealt = own.repartition(int(n), "path").sortWithinPartitions("path")
-        found.append(dealt.mapInArrow(_compare(threshold, brute, levels), "u long, v long"))
+        found.append(dealt.mapInArrow(_compare(threshold, brute, levels, reached), "u long, v long"))
 
     rows = settled(members(sketched.mapInArrow(_split(threshold, runs_for(recall, threshold, levels)), "path long, node long")), "buckets")
-    compare(rows.where(F.col("c") <= bucket_rows))
+    compare(rows.where(F.col("c") <= bucket_rows), 1)
     big = rows.where(F.col("c") > bucket_rows)
-    for _ in range(levels - 1):
+    for reached in range(2, levels + 1):
         if big.isEmpty():
             break
         rows = settled(members(big.select("path", "node").join(sketched, "node").mapInArrow(_split(threshold), "path long, node long")), "buckets")
-        compare(rows.where(F.col("c") <= bucket_rows))
+        compare(rows.where(F.col("c") <= bucket_rows), reached)
         big = rows.where(F.col("c") > bucket_rows)
     while not big.isEmpty():
         lead = big.groupBy("path").agg(F.min("node").alias("leader"))
@@ -278,7 +294,7 @@ def candidate_edges(nodes: DataFrame, threshold: float, recall: float, brute: in
         dealt = settled(dealt, "leaders")
         found.append(dealt.where("near and node <> leader").select(F.col("node").alias("u"), F.col("leader").alias("v")))
         rows = settled(members(dealt.where("not done").select("path", "node")), "buckets")
-        compare(rows.where(F.col("c") <= bucket_rows))
+        compare(rows.where(F.col("c") <= bucket_rows), levels)
         big = rows.where(F.col("c") > bucket_rows)
     out = found[0]
     for more in found[1:]:

@@ -2,9 +2,10 @@
 
 import random
 
+import numpy as np
 from test_operators import window_removal
 
-from tessera.llm import html_extraction, suffix_dedup
+from tessera.llm import html_extraction, jaccard_join, suffix_dedup
 
 
 def test_suffix_last_word(spark):
@@ -35,3 +36,15 @@ def test_html_classes(spark):
     rows = [(i, f"http://odd/{i}", f'<body><div class="{"rare" if i == 3 else "body"}"><p>text {i}</p></div><div class="notes"><p>notes {i}</p></div></body>') for i in range(20)]
     got = {r.page_id: r.text for r in html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all(got[i] == f"text {i}\nnotes {i}" for i in range(20))
+
+
+def test_jaccard_recall(spark):
+    """Pairs at the threshold in large buckets that Spark splits before they are compared."""
+    draw, n, size = np.random.default_rng(3), 1500, jaccard_join.COORDINATES
+    one = draw.integers(0, 3, (n, size), dtype=np.uint32)
+    two = np.where(draw.random((n, size)) < 0.8, one, (one + 1) % 3)
+    rows = [(2 * i + k, bytearray(s[i].tobytes())) for i in range(n) for k, s in enumerate((one, two))]
+    edges = jaccard_join.candidate_edges(spark.createDataFrame(rows, "node long, sketch binary"), 0.8, 0.999, 4, 200).collect()
+    root = dict(jaccard_join.forest(2 * n, np.array([(r.u, r.v) for r in edges])))
+    found = sum(root.get(2 * i, 2 * i) == root.get(2 * i + 1) for i in range(n))
+    assert found >= 0.998 * n, (found, n)
