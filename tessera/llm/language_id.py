@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from .text import Words, chunks
 
 FEATURES = 1 << 16
+#: More than any two switches cost.
+EXCLUDED = 1000.0
 #: First and last code points of script blocks.
 SCRIPTS = {
     "Latin": [(0x41, 0x5A), (0x61, 0x7A), (0xC0, 0x24F), (0x1E00, 0x1EFF)],
@@ -120,7 +122,7 @@ class Model:
         self.allowed[0] = True
 
     def scores(self, words: Words, floor: float = 8.0) -> np.ndarray:
-        """Word by language: 0 for the best, and no less than ``-floor``."""
+        """Word by language: 0 for the best, no less than ``-floor``, and ``-EXCLUDED`` without the word's script."""
         out = np.zeros((len(words.start), len(self.langs)), np.float32)
         if not len(out):
             return out
@@ -132,7 +134,9 @@ class Model:
         out[~allowed] -= 1e6
         out[nobody] = 0
         out -= out.max(1, keepdims=True)
-        return np.maximum(out, -floor)
+        out = np.maximum(out, -floor)
+        out[~allowed & ~nobody[:, None]] = -EXCLUDED
+        return out
 
 
 def fit(docs: DataFrame, sample_docs: int = 4000) -> Model:

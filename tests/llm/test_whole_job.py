@@ -5,7 +5,7 @@ import random
 import numpy as np
 from test_operators import window_removal
 
-from tessera.llm import html_extraction, jaccard_join, suffix_dedup
+from tessera.llm import html_extraction, jaccard_join, language_id, suffix_dedup
 
 
 def test_suffix_last_word(spark):
@@ -48,3 +48,12 @@ def test_jaccard_recall(spark):
     root = dict(jaccard_join.forest(2 * n, np.array([(r.u, r.v) for r in edges])))
     found = sum(root.get(2 * i, 2 * i) == root.get(2 * i + 1) for i in range(n))
     assert found >= 0.998 * n, (found, n)
+
+
+def test_language_script(spark):
+    """A short span in another script is no word of a language without that script."""
+    rows = [(i, t, lang) for i in range(20) for t, lang in (("the quick brown fox jumps over a lazy dog", "en"), ("съешь же ещё этих мягких французских булок", "ru"))]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    text = "the quick brown fox jumps булок the quick brown fox jumps over a lazy dog"
+    got = language_id.label(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).first()
+    assert [(s.start, s.stop, s.lang) for s in got.spans] == [(0, 5, "en"), (5, 6, "ru"), (6, 15, "en")]
