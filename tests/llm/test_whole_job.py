@@ -3,7 +3,7 @@
 import random
 
 import numpy as np
-from test_operators import window_removal
+from test_llm_operators import window_removal
 
 from tessera.llm import html_extraction, jaccard_join, language_id, suffix_dedup
 
