@@ -29,6 +29,16 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A table is broadcast only if its rows, counted as text, hold so many bytes at most.
+BROADCAST_BYTES = 32 << 20
+
+
+def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` (settled, for it is read to be measured), to be broadcast if it holds ``limit`` bytes at most."""
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct(*df.columns))))).first()[0] or 0
+    return F.broadcast(df) if size <= limit else df
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once, as a lambda's argument."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -4,19 +4,29 @@ A line is trimmed and cut at single spaces; a field with a digit, ``@`` or
 ``://`` is variable from the start and becomes ``<*>``.  The tree's levels are
 the number of tokens and the ``depth`` leading tokens.  Within a leaf, a token
 is a constant of its position if it stands there in ``min_docs`` document
-families and in a hundredth of the leaf's families at least; all other tokens
-are variable fields.  A line whose constants make up ``similarity`` of its
-tokens belongs to the template of its constants; templates that recur in
-``min_docs`` families are dropped, with every line that belongs to them, from
-every document.
-
-A family is the documents that share their least line digest: copies of one
-text, exact or near, count about once, so a text that was copied is not taken
-for a page's standing lines.  Lines of fewer than ``min_tokens`` tokens stay.
-All counts run over all documents, and no step depends on their order.
+families and in a ``share`` of the leaf's families at least (so a position has
+100 constants at most); all other tokens are variable fields.  Two templates
+may hold a line: the line as it is, with the fields that are variable from the
+start, and that of its leaf's constants, if one of these stands beyond the
+leading tokens.  Either counts only if ``similarity`` of its tokens are
+constant.  Templates that recur in ``min_docs`` families are dropped, with
+every line that belongs to them, from every document.
+
+A family is the documents that share one line, drawn by its digest with a
+chance in proportion to its tokens: two documents are of one family with about
+the probability that their lines, weighted by tokens, agree.  So copies of one
+text, exact or near, count about once, and a text that was copied is not taken
+for a page's standing lines, while short standing lines hardly ever make
+different documents one family.  Documents that are standing lines for the
+most part are near copies by this measure, and count as such.  Lines of fewer
+than ``min_tokens`` tokens stay.  All counts run over all documents, and no
+step depends on their order.
 
 Texts keep their other lines as they are.  Null and empty texts stay as they
-are; rows with equal id and text lose the same lines.
+are, as do empty tables; rows with equal id and text lose the same lines, and
+rows with a null id are treated as any other.  Very long texts are one row a
+line.  A column of the table may have any name but the text column's: helper
+columns take other names.
 """
 
 from __future__ import annotations
@@ -24,38 +34,62 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, settled
+from .common import fresh, let, settled, small
 
 VARIABLE = "<*>"
+#: A whole field that holds a digit, ``@`` or ``://``; matched from a field's start only, without going back.
+_FIELD = r"(?<![^ ])[^ 0-9@:]*+(?::(?!//)[^ 0-9@:]*+)*+(?:[0-9@]|://)[^ ]*+"
+
+
+def masked(line: Column) -> Column:
+    return F.when(line.rlike("[0-9@]|://"), F.regexp_replace(line, _FIELD, VARIABLE)).otherwise(line)
+
+
+def _tokens(line: Column) -> Column:
+    return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+
+
+def _draw(line: Column) -> Column:
+    """A line's place in the draw for its document's family: exponential, at the rate of its tokens."""
+
+    def place(digest: Column) -> Column:
+        even = (F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") + 1) / F.lit(4294967296.0)
+        return F.named_struct(F.lit("rank"), -F.ln(even) / _tokens(line), F.lit("digest"), digest)
+
+    return let(F.md5(line), place)
 
 
 def lines_of(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
-    """``doc_id, tag, family, at, masked, n, leaf`` of every line with ``min_tokens`` tokens."""
-    split = F.split("text", "\n")
-    own = docs.select("doc_id", "tag", F.array_min(F.transform(split, lambda x: F.md5(x))).alias("family"), F.posexplode(split).alias("at", "line"))
-    line = F.trim(F.col("line"))
-    masked = F.when(line.rlike("[0-9@]|://"), F.regexp_replace(line, "[^ ]*([0-9@]|://)[^ ]*", VARIABLE)).otherwise(line)
-    own = own.select("doc_id", "tag", "family", "at", masked.alias("masked"))
-    n = F.length("masked") - F.length(F.replace(F.col("masked"), F.lit(" "), F.lit(""))) + 1
-    own = own.withColumn("n", n).where((F.col("n") >= min_tokens) & (F.col("masked") != ""))
-    return own.withColumn("leaf", F.xxhash64("n", F.substring_index("masked", " ", depth)))
-
-
-def recurring(docs: DataFrame, depth: int = 3, min_docs: int = 10, similarity: float = 0.5, min_tokens: int = 3, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """``doc_id, tag, family, at, line, n, leaf`` of every line with ``min_tokens`` tokens."""
+    own = docs.select("doc_id", "tag", F.transform(F.split("text", "\n"), lambda x: F.trim(x)).alias("lines"))
+    family = F.xxhash64(F.array_min(F.transform(F.filter("lines", lambda x: x != ""), _draw))["digest"])
+    own = own.select("doc_id", "tag", family.alias("family"), F.posexplode("lines").alias("at", "line"))
+    own = own.withColumn("n", _tokens(F.col("line"))).where((F.col("n") >= min_tokens) & (F.col("line") != ""))
+    return own.withColumn("leaf", F.xxhash64("n", masked(F.substring_index("line", " ", depth))))
+
+
+def recurring(docs: DataFrame, depth: int = 3, min_docs: int = 10, similarity: float = 0.5, min_tokens: int = 3, share: float = 0.01) -> DataFrame:
     """``doc_id, tag, at``: the lines that belong to recurring templates.  ``docs`` has ``doc_id, tag, text``."""
-    lines = lines_of(docs, depth, min_tokens)
+    lines = settled(lines_of(docs, depth, min_tokens), "lines")
     leaves = settled(lines.select("leaf", "family").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("families")).where(F.col("families") >= min_docs), "leaves")
-    few = F.broadcast(leaves) if leaves.count() <= broadcast_rows else leaves
-    held = settled(lines.join(few, "leaf").select("doc_id", "tag", "family", "at", "leaf", "families", F.split("masked", " ").alias("tokens")), "leaf-lines")
-    placed = held.select("leaf", "family", "families", F.posexplode("tokens").alias("k", "token")).distinct()
-    constant = placed.groupBy("leaf", "k", "token").agg(F.count(F.lit(1)).alias("c"), F.first("families").alias("families")).where((F.col("c") >= min_docs) & (100 * F.col("c") >= F.col("families")))
-    constants = constant.groupBy("leaf").agg(F.collect_list(F.xxhash64("k", "token")).alias("constants"))
+    tokens = F.split(masked(F.col("line")), " ")
+    held = settled(lines.join(small(leaves), "leaf").select("doc_id", "tag", "family", "at", "leaf", "families", tokens.alias("tokens")), "leaf-lines")
+    placed = held.select("leaf", "family", "families", F.posexplode("tokens").alias("k", "token")).where(F.col("token") != VARIABLE).distinct()
+    constant = placed.groupBy("leaf", "k", "token").agg(F.count(F.lit(1)).alias("c"), F.max("families").alias("families")).where((F.col("c") >= min_docs) & (F.col("c") >= share * F.col("families")))
+    constants = settled(constant.groupBy("leaf").agg(F.collect_list(F.xxhash64("k", "token")).alias("constants")), "constants")
     known = F.transform("tokens", lambda t, k: F.when((t != VARIABLE) & F.array_contains("constants", F.xxhash64(k, t)), t).otherwise(VARIABLE))
-    general = held.join(constants, "leaf").select("doc_id", "tag", "family", "at", known.alias("template"))
-    fixed = F.size(F.filter("template", lambda t: t != VARIABLE))
-    general = settled(general.where(fixed >= similarity * F.size("template")).select("doc_id", "tag", "family", "at", F.sha2(F.array_join("template", " "), 256).alias("template")), "templates")
+    general = held.join(small(constants), "leaf", "left").select("doc_id", "tag", "family", "at", "tokens", F.coalesce(known, F.array().cast("array<string>")).alias("known"))
+
+    def fixed(template: Column) -> Column:
+        return F.size(F.filter(template, lambda t: t != VARIABLE))
+
+    deep = F.exists(F.slice("known", depth + 1, F.greatest(F.size("known"), F.lit(1))), lambda t: t != VARIABLE)
+    enough = similarity * F.size("tokens")
+    own = [F.when(fixed(F.col("tokens")) >= enough, F.array_join("tokens", " ")), F.when((fixed(F.col("known")) >= enough) & deep, F.array_join("known", " "))]
+    named = F.transform(F.array_distinct(F.array_compact(F.array(*own))), lambda t: F.sha2(t, 256))
+    general = settled(general.select("doc_id", "tag", "family", "at", F.explode(named).alias("template")), "templates")
     often = general.select("template", "family").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= min_docs).select("template")
-    return general.join(often, "template").select("doc_id", "tag", "at")
+    return general.join(small(settled(often, "often")), "template").select("doc_id", "tag", "at")
 
 
 def without(lines: Column, gone: Column) -> Column:
@@ -93,19 +127,21 @@ def op5(spark, sf_dir: str) -> DataFrame:
 
 OP5_SQL = r"""
 with u as (select doc_id, generate_subscripts(ls, 1) i, unnest(ls) line from (select doc_id, string_split(text, chr(10)) ls from documents where text is not null)),
-l as (select doc_id, i, line, min(md5(line)) over (partition by doc_id) family from u),
-m as (select doc_id, i, line, family, string_split(case when regexp_matches(trim(line, ' '), '[0-9@]|://') then regexp_replace(trim(line, ' '), '[^ ]*([0-9@]|://)[^ ]*', '<*>', 'g') else trim(line, ' ') end, ' ') tk from l),
-f as (select *, len(tk) n, array_to_string(tk[1:3], ' ') lead from m where len(tk) >= 3),
-v as (select n, lead, count(distinct family) families from f group by n, lead having count(distinct family) >= 10),
-h as (select f.*, families from f join v using (n, lead)),
+t as (select doc_id, i, trim(line, ' ') line, len(string_split(trim(line, ' '), ' ')) n from u),
+y as (select doc_id, arg_min(md5(line), -ln((('0x' || substr(md5(line), 1, 8))::bigint + 1) / 4294967296.0) / n) family from t where line <> '' group by doc_id),
+f as (select doc_id, i, family, n, string_split(case when regexp_matches(line, '[0-9@]|://') then regexp_replace(line, '[^ ]*([0-9@]|://)[^ ]*', '<*>', 'g') else line end, ' ') tk from t join y using (doc_id) where n >= 3),
+f2 as (select *, array_to_string(tk[1:3], ' ') lead, len(list_filter(tk, lambda x: x <> '<*>')) fixed from f),
+v as (select n, lead, count(distinct family) families from f2 group by n, lead having count(distinct family) >= 10),
+h as (select f2.*, families from f2 join v using (n, lead)),
 p as (select distinct n, lead, families, family, generate_subscripts(tk, 1) k, unnest(tk) token from h),
-c as (select n, lead, k, token from p group by n, lead, k, token, families having count(*) >= 10 and 100 * count(*) >= families),
+c as (select n, lead, k, token from p where token <> '<*>' group by n, lead, k, token, families having count(*) >= 10 and count(*) >= 0.01 * families),
 e as (select doc_id, i, n, lead, family, generate_subscripts(tk, 1) k, unnest(tk) token from h),
-g as (select e.doc_id, e.i, e.n, e.family, string_agg(case when e.token <> '<*>' and c.token is not null then e.token else '<*>' end, ' ' order by e.k) template,
-      count(*) filter (where e.token <> '<*>' and c.token is not null) fixed
+g as (select e.doc_id, e.i, e.n, e.family, string_agg(case when c.token is not null then e.token else '<*>' end, ' ' order by e.k) template,
+      count(c.token) fixed, coalesce(max(case when c.token is not null then e.k end), 0) deepest
       from e left join c on e.n = c.n and e.lead = c.lead and e.k = c.k and e.token = c.token group by e.doc_id, e.i, e.n, e.family),
-o as (select template from g where fixed >= 0.5 * n group by template having count(distinct family) >= 10),
-d as (select doc_id, i from g join o using (template) where fixed >= 0.5 * n),
-k as (select l.doc_id, count(*) n_lines, count(d.i) n_dropped, string_agg(l.line, chr(10) order by l.i) filter (where d.i is null) t from l left join d using (doc_id, i) group by l.doc_id)
+b as (select doc_id, i, family, template from g where fixed >= 0.5 * n and deepest > 3 union select doc_id, i, family, array_to_string(tk, ' ') from h where fixed >= 0.5 * n),
+o as (select template from b group by template having count(distinct family) >= 10),
+d as (select distinct doc_id, i from b join o using (template)),
+k as (select u.doc_id, count(*) n_lines, count(d.i) n_dropped, string_agg(u.line, chr(10) order by u.i) filter (where d.i is null) t from u left join d using (doc_id, i) group by u.doc_id)
 select x.doc_id, coalesce(n_lines, 0)::bigint n_lines, coalesce(n_dropped, 0)::bigint n_dropped, sha256(coalesce(t, '')) kept_sha256 from documents x left join k using (doc_id)
 """
