@@ -39,6 +39,15 @@ def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if size <= limit else df
 
 
+def apart(key: Column) -> Column:
+    """A bijection of an integer key, for a join of rows with what was aggregated by the same key.
+
+    Joined by the key itself, both sides would keep the aggregation's partitions,
+    which the adaptive plan can't split where one key has very many rows.
+    """
+    return key.bitwiseXOR(F.lit(0x5851F42D4C957F2D))
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once, as a lambda's argument."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

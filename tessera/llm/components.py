@@ -9,15 +9,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled
+from .common import apart, settled
+
+
+def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """``u, v, m``; the join can be split where one node has very many edges."""
+    return edges.join(least.select(apart(F.col("u")).alias("_u"), "m"), apart(F.col("u")) == F.col("_u")).drop("_u")
 
 
 def _stars(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    large = _with_least(both, least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
     least = large.groupBy("u").agg(F.min("v").alias("m"))
-    small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+    small = _with_least(large, least).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
     return small.where("u <> v").distinct()
 
 

@@ -12,8 +12,8 @@ passes each member on to the bucket of its value there; buckets of at most
 number of runs follows from the target recall at the threshold, over all shares
 of coordinates in which a pair at the threshold may agree.  Buckets
 larger than ``bucket_rows`` are split further by Spark; what cannot be split is
-a dense cluster, and is linked to one leader a round, first those within a
-tenth of it, until it is small.
+a dense cluster: all its members are compared with ``LEADERS`` of them a round,
+and those within a tenth of one need no more comparing, until it is small.
 
 Pairs whose embeddings agree at all closely join a group of candidates; each
 document's whole set is then sent once to its group, where every pair is
@@ -22,7 +22,9 @@ of blocks.  Links are counted, never listed, and each task hands on a spanning
 forest of its links, so no step emits the pairs of a group.
 
 Documents without words, or with a null id, are alone in their class (its id is
-theirs).  Rows that share an id share a class.
+theirs).  Rows that share an id share a class; ``keep_one`` takes one row of
+them.  Texts of any length count whole, an empty table has no classes, and
+columns of any name stay as they are.
 """
 
 from __future__ import annotations
@@ -34,14 +36,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from .common import settled
+from .common import apart, fresh, settled, small
 from .components import components
 from .text import Words, chunks, mix, windows
 
 COORDINATES = 64
 LEVELS = 4
+#: Members of a dense bucket that all others are compared with in one round.
+LEADERS = 64
 #: Embeddings that agree in so large a share of the threshold make candidates.
 LOOSE = 0.75
 
@@ -250,25 +253,34 @@ def _compare(threshold: float, brute: int, levels: int, reached: int):
 
 
 def _lead(threshold: float):
-    """Rows of a dense bucket with its leader's sketch: edges of those close, and whether the row is done."""
+    """Rows of a dense bucket with its leaders: those that are near, and whether the row is done."""
     least, slack = math.floor(threshold * LOOSE * COORDINATES), COORDINATES // 10
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own, leader = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, COORDINATES) for c in ("sketch", "leader_sketch"))
-            agree = (own == leader).sum(1)
-            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("node"), batch.column("leader"), pa.array(agree >= least - slack), pa.array(agree >= COORDINATES - slack)], names=["path", "node", "leader", "near", "done"])
+            near, done = [], []
+            own = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint32).reshape(-1, COORDINATES)
+            leaders = batch.column("leaders")
+            for i in range(batch.num_rows):
+                held = leaders[i].values
+                sketch = np.frombuffer(b"".join(held.field("leader_sketch").to_pylist()), np.uint32).reshape(-1, COORDINATES)
+                agree = (sketch == own[i]).sum(1)
+                near.append(held.field("leader").to_numpy()[agree >= least - slack])
+                done.append(bool(agree.max() >= COORDINATES - slack))
+            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("node"), pa.array(near, pa.list_(pa.int64())), pa.array(done, pa.bool_())], names=["path", "node", "near", "done"])
 
     return run
 
 
 def candidate_edges(nodes: DataFrame, threshold: float, recall: float, brute: int, bucket_rows: int, levels: int = LEVELS) -> DataFrame:
     """``u, v``: edges that join all sets that may be similar.  ``nodes`` has ``node, sketch``."""
-    sized = W.partitionBy("path")
     sketched = nodes.select("node", "sketch")
 
     def members(rows: DataFrame) -> DataFrame:
-        return rows.select("path", "node", F.count(F.lit(1)).over(sized).alias("c")).where("c > 1")
+        """The rows of buckets with several members, and their number ``c``."""
+        rows = settled(rows, "bucket-rows")
+        sized = rows.groupBy("path").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+        return rows.join(sized.select(apart(F.col("path")).alias("_p"), "c"), apart(F.col("path")) == F.col("_p")).select("path", "node", "c")
 
     found = []
 
@@ -288,11 +300,12 @@ def candidate_edges(nodes: DataFrame, threshold: float, recall: float, brute: in
         compare(rows.where(F.col("c") <= bucket_rows), reached)
         big = rows.where(F.col("c") > bucket_rows)
     while not big.isEmpty():
-        lead = big.groupBy("path").agg(F.min("node").alias("leader"))
+        lead = big.groupBy("path", F.pmod(F.xxhash64("node"), F.lit(LEADERS))).agg(F.min("node").alias("leader")).select("path", "leader")
         lead = lead.join(sketched.select(F.col("node").alias("leader"), F.col("sketch").alias("leader_sketch")), "leader")
-        dealt = big.select("path", "node").join(sketched, "node").join(lead, "path").mapInArrow(_lead(threshold), "path long, node long, leader long, near boolean, done boolean")
-        dealt = settled(dealt, "leaders")
-        found.append(dealt.where("near and node <> leader").select(F.col("node").alias("u"), F.col("leader").alias("v")))
+        lead = settled(lead.groupBy("path").agg(F.collect_list(F.struct("leader", "leader_sketch")).alias("leaders")), "leaders")
+        dealt = big.select("path", "node").join(sketched, "node").join(small(lead), "path").mapInArrow(_lead(threshold), "path long, node long, near array<long>, done boolean")
+        dealt = settled(dealt, "led")
+        found.append(dealt.select(F.col("node").alias("u"), F.explode("near").alias("v")).where("u <> v"))
         rows = settled(members(dealt.where("not done").select("path", "node")), "buckets")
         compare(rows.where(F.col("c") <= bucket_rows), levels)
         big = rows.where(F.col("c") > bucket_rows)
@@ -402,9 +415,20 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs``, with all their columns, but one document of each class: that with the least id."""
-    gone = classes(docs, id_col, text_col, **options).where("class_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    """One row of each class, with all its columns: of the least id, and among rows of that id the one of the least text hash.
+
+    Rows with a null id are classes of their own and all stay.
+    """
+    gone, twice, row = fresh(docs, "_gone", "_twice", "_row")
+    own = F.col(id_col)
+    left = small(settled(classes(docs, id_col, text_col, **options).where("class_id <> doc_id").select(F.col("doc_id").alias(gone)).distinct(), "gone"))
+    kept = docs.join(left, own == F.col(gone), "left_anti")
+    shared = settled(docs.groupBy(own.alias(twice)).agg(F.count(F.lit(1)).alias("c")).where(F.col(twice).isNotNull() & (F.col("c") > 1)).select(twice), "shared-ids")
+    if shared.isEmpty():
+        return kept
+    shared = small(shared)
+    several = kept.join(shared, own == F.col(twice), "left_semi").groupBy(own.alias(twice)).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(text_col)).alias(row))
+    return kept.join(shared, own == F.col(twice), "left_anti").union(several.select(f"{row}.*"))
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
