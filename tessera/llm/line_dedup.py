@@ -49,22 +49,27 @@ def _tokens(line: Column) -> Column:
     return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
 
 
-def _draw(line: Column) -> Column:
+def _counted(line: Column) -> Column:
+    return let(F.trim(line), lambda x: F.named_struct(F.lit("line"), x, F.lit("n"), _tokens(x)))
+
+
+def _draw(own: Column) -> Column:
     """A line's place in the draw for its document's family: exponential, at the rate of its tokens."""
 
     def place(digest: Column) -> Column:
         even = (F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") + 1) / F.lit(4294967296.0)
-        return F.named_struct(F.lit("rank"), -F.ln(even) / _tokens(line), F.lit("digest"), digest)
+        return F.named_struct(F.lit("rank"), -F.ln(even) / own["n"], F.lit("digest"), digest)
 
-    return let(F.md5(line), place)
+    return let(F.md5(own["line"]), place)
 
 
 def lines_of(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
     """``doc_id, tag, family, at, line, n, leaf`` of every line with ``min_tokens`` tokens."""
-    own = docs.select("doc_id", "tag", F.transform(F.split("text", "\n"), lambda x: F.trim(x)).alias("lines"))
-    family = F.xxhash64(F.array_min(F.transform(F.filter("lines", lambda x: x != ""), _draw))["digest"])
-    own = own.select("doc_id", "tag", family.alias("family"), F.posexplode("lines").alias("at", "line"))
-    own = own.withColumn("n", _tokens(F.col("line"))).where((F.col("n") >= min_tokens) & (F.col("line") != ""))
+    own = docs.select("doc_id", "tag", F.transform(F.split("text", "\n"), _counted).alias("lines"))
+    family = F.xxhash64(F.array_min(F.transform(F.filter("lines", lambda x: x["line"] != ""), _draw))["digest"])
+    own = own.select("doc_id", "tag", "lines", family.alias("family"))  # apart from the rows of lines, else it is drawn anew for each
+    own = own.select("doc_id", "tag", "family", F.posexplode("lines").alias("at", "own")).select("doc_id", "tag", "family", "at", "own.line", "own.n")
+    own = own.where((F.col("n") >= min_tokens) & (F.col("line") != ""))
     return own.withColumn("leaf", F.xxhash64("n", masked(F.substring_index("line", " ", depth))))
 
 
