@@ -116,7 +116,8 @@ def memory(amount: Column, form: str = "megabytes") -> Column:
 
 
 def elide(s: Column, n: int) -> Column:
-    return F.when(F.length(s) > n, F.concat(s.substr(1, n - 1), F.lit("…"))).otherwise(s)
+    """Texts of more than ``n`` bytes cut to ``n - 1`` bytes and an ellipsis."""
+    return F.when(F.octet_length(s) > n, F.concat(F.substring(F.encode(s, "UTF-8"), 1, n - 1).cast("string"), F.lit("…"))).otherwise(s)
 
 
 def html_escape(s: Column) -> Column:
@@ -130,5 +131,15 @@ def dot_quote(s: Column) -> Column:
 
 
 def safe_name(s: Column) -> Column:
-    """A name for files: slashes, backslashes and white space become underscores."""
+    """A host's name for files: slashes, backslashes and white space become underscores."""
     return F.translate(s, "/\\ \t\n", "_____")
+
+
+def option_name(s: Column) -> Column:
+    """A variable's name from a command line's option: hyphens become underscores."""
+    return F.replace(s, F.lit("-"), F.lit("_"))
+
+
+def job_name(s: Column) -> Column:
+    """A name for schedulers that allow no slash."""
+    return F.replace(s, F.lit("/"), F.lit("_"))

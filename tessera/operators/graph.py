@@ -2,8 +2,10 @@
 
 ``rules`` has ``rule_id, ord, outputs, inputs`` (arrays), ``temp`` (map of
 output to boolean) and ``has_body``; ``files`` has ``path, exists, mtime``;
-edges run ``src`` to ``dst``.  Fixpoints run a Spark job a layer, and each
-layer's table is written, so lineage does not grow.
+edges run ``src`` to ``dst``.  Fixpoints run some Spark jobs a layer, over what
+the last layer has settled and what depends on it alone; each layer is added to
+a table in the shared folder, so lineage does not grow.  They end when a layer
+is empty, however deep the graph.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..sources.folders import settled
+from ..sources.folders import Pile, settled, small
 
 
 def edges_of(rules: DataFrame) -> DataFrame:
@@ -32,14 +34,14 @@ def nodes(edges: DataFrame) -> DataFrame:
 def wildcard_matches(patterns: DataFrame, paths: DataFrame) -> DataFrame:
     """``rule_id, path, stem``: rules whose pattern (one ``%``, matching something) fits a path.
 
-    Patterns come from rule files and are few; they are broadcast.
+    Patterns come from rule files and state the query: every path is tested
+    against all of them.  They are broadcast if their measured size allows.
     """
     at = F.instr("pattern", "%")
     own = patterns.where(at > 0).select("rule_id", F.col("pattern").substr(F.lit(1), at - 1).alias("_a"), F.col("pattern").substr(at + 1, F.length("pattern")).alias("_b"))
     fits = F.col("path").startswith(F.col("_a")) & F.col("path").endswith(F.col("_b")) & (F.length("path") > F.length("_a") + F.length("_b"))
-    few = F.broadcast(own) if own.count() <= 100_000 else own
     stem = F.col("path").substr(F.length("_a") + 1, F.length("path") - F.length("_a") - F.length("_b"))
-    return paths.join(few, fits).select("rule_id", "path", stem.alias("stem"))
+    return paths.join(small(own), fits).select("rule_id", "path", stem.alias("stem"))
 
 
 def instantiated(rules: DataFrame, stems: DataFrame) -> DataFrame:
@@ -52,19 +54,23 @@ def instantiated(rules: DataFrame, stems: DataFrame) -> DataFrame:
     return own.withColumns({"outputs": fill("outputs"), "inputs": fill("inputs")})
 
 
-def satisfiable(rules: DataFrame, available: DataFrame, rounds: int = 1000) -> DataFrame:
+def satisfiable(rules: DataFrame, available: DataFrame) -> DataFrame:
     """``rule_id`` of the rules all of whose inputs are available or made by such rules: the least fixpoint."""
-    needs = settled(rules.select("rule_id", F.explode_outer("inputs").alias("path")), "needs")
+    needs = settled(rules.select("rule_id", F.explode("inputs").alias("path")).distinct(), "needs")
     makes = settled(rules.select("rule_id", F.explode("outputs").alias("path")), "makes")
-    have, count = settled(available.select("path").distinct(), "have"), -1
-    for _ in range(rounds):
-        met = needs.join(have.withColumn("ok", F.lit(True)), "path", "left").groupBy("rule_id").agg(F.bool_and(F.col("path").isNull() | F.coalesce("ok", F.lit(False))).alias("ok"))
-        good = met.where("ok").select("rule_id")
-        have = settled(have.union(makes.join(good, "rule_id", "left_semi").select("path")).distinct(), "have")
-        if (now := have.count()) == count:
-            return good
-        count = now
-    raise RuntimeError(f"no fixpoint in {rounds} rounds")
+    wanted = settled(needs.groupBy("rule_id").agg(F.count(F.lit(1)).alias("want")), "wanted")
+    free = settled(rules.select("rule_id").distinct().join(wanted, "rule_id", "left_anti"), "free")
+    front = settled(available.select("path").union(makes.join(free, "rule_id", "left_semi").select("path")).distinct(), "front")
+    have, good, met = Pile(front, "have"), Pile(free, "good"), Pile(wanted.where("false").withColumnRenamed("want", "c"), "met")
+    while not front.isEmpty():
+        found = settled(needs.join(front, "path").groupBy("rule_id").agg(F.count(F.lit(1)).alias("c")), "found")
+        met.add(found)
+        touched = met.now().join(found.select("rule_id"), "rule_id", "left_semi").groupBy("rule_id").agg(F.sum("c").alias("c"))
+        new = settled(touched.join(wanted, "rule_id").where("c = want").select("rule_id"), "new")
+        good.add(new)
+        front = settled(makes.join(new, "rule_id", "left_semi").select("path").distinct().join(have.now(), "path", "left_anti"), "front")
+        have.add(front)
+    return good.now()
 
 
 def first_candidate(candidates: DataFrame) -> DataFrame:
@@ -76,91 +82,139 @@ def first_candidate(candidates: DataFrame) -> DataFrame:
     return candidates.withColumn("_n", rank).where("_n = 1").drop("_n")
 
 
-def reachable(edges: DataFrame, goals: DataFrame, rounds: int = 1000) -> DataFrame:
+def goals(rules: DataFrame, named: list[str] | None = None, default: list[str] | None = None) -> DataFrame:
+    """``name`` of what to make: what is named, else the default, else the first output of the first rule by ``ord``."""
+    spark, asked = rules.sparkSession, named or default
+    if not asked:
+        first = rules.where(F.size("outputs") > 0).agg(F.min_by(F.get("outputs", F.lit(0)), "ord").alias("name")).first()
+        if first.name is None:
+            raise ValueError("no goal: nothing is named, there is no default and no rule has an output")
+        asked = [first.name]
+    return spark.createDataFrame([(x,) for x in asked], "name string")
+
+
+def reachable(edges: DataFrame, goals: DataFrame) -> DataFrame:
     """``name`` of the goals and of all that they are made from."""
-    back = edges.select("src", "dst").distinct()
-    seen = settled(goals.select(F.col(goals.columns[0]).alias("name")).distinct(), "seen")
-    front = seen
-    for _ in range(rounds):
-        step = front.join(back, F.col("name") == F.col("dst")).select(F.col("src").alias("name")).distinct().join(seen, "name", "left_anti")
-        front = settled(step, "front")
+    back = settled(edges.select("src", "dst").distinct(), "edges")
+    front = settled(goals.select(F.col(goals.columns[0]).alias("name")).distinct(), "front")
+    seen = Pile(front, "seen")
+    while True:
+        step = front.join(back, F.col("name") == F.col("dst")).select(F.col("src").alias("name")).distinct()
+        front = settled(step.join(seen.now(), "name", "left_anti"), "front")
         if front.isEmpty():
-            return seen
-        seen = settled(seen.union(front), "seen")
-    raise RuntimeError(f"no end in {rounds} rounds")
+            return seen.now()
+        seen.add(front)
 
 
-def layers(edges: DataFrame, rounds: int = 1000) -> DataFrame:
+def layers(edges: DataFrame) -> DataFrame:
     """``name, layer``: the longest path from a source; a cycle raises.
 
-    A node is placed when all its inputs are; what is left without a placed
-    front is a cycle.
+    A node is placed when all its inputs are; nodes that never are lie on or
+    behind a cycle.
     """
     own = settled(edges.select("src", "dst").distinct(), "edges")
-    left = settled(nodes(own), "left")
-    placed = settled(sources(own).select("name", F.lit(0).alias("layer")), "placed")
-    left = settled(left.join(placed, "name", "left_anti"), "left")
-    for _ in range(rounds):
-        if left.isEmpty():
-            return placed
-        ready = own.join(placed, F.col("src") == F.col("name"), "left").groupBy("dst").agg(F.bool_and(F.col("layer").isNotNull()).alias("ok"), F.max("layer").alias("m"))
-        ready = ready.where("ok").join(left, F.col("dst") == F.col("name")).select("name", (F.col("m") + 1).alias("layer"))
-        new = settled(ready, "ready")
-        if new.isEmpty():
-            raise ValueError("cycle at " + ", ".join(r.name for r in left.orderBy("name").limit(5).collect()))
-        placed, left = settled(placed.union(new), "placed"), settled(left.join(new, "name", "left_anti"), "left")
-    raise RuntimeError(f"more than {rounds} layers")
-
-
-def staleness(rules: DataFrame, files: DataFrame, force: bool = False, rounds: int = 1000) -> DataFrame:
-    """``rule_id, will_run, eff``, settled layer by layer from the sources up.
-
-    A rule runs if forced, if the rule of an input runs, if an output that is
-    not temporary is missing, or if its oldest output is older than its newest
-    input.  ``eff`` is the time its consumers see: of its oldest output, or, if
-    none is there, of its newest input.  A source that is missing has no time.
-    Rules without a body are looked through.
+    wanted = settled(own.groupBy("dst").agg(F.count(F.lit(1)).alias("want")), "wanted")
+    front = settled(sources(own).select("name", F.lit(0).alias("layer")), "front")
+    placed, met = Pile(front, "placed"), Pile(wanted.where("false").select("dst", F.col("want").alias("c"), F.lit(0).alias("m")), "met")
+    while not front.isEmpty():
+        found = settled(front.join(own, F.col("name") == F.col("src")).groupBy("dst").agg(F.count(F.lit(1)).alias("c"), F.max("layer").alias("m")), "found")
+        met.add(found)
+        touched = met.now().join(found.select("dst"), "dst", "left_semi").groupBy("dst").agg(F.sum("c").alias("c"), F.max("m").alias("m"))
+        front = settled(touched.join(wanted, "dst").where("c = want").select(F.col("dst").alias("name"), (F.col("m") + 1).alias("layer")), "front")
+        placed.add(front)
+    left = nodes(own).join(placed.now(), "name", "left_anti").orderBy("name").limit(5).collect()
+    if left:
+        raise ValueError("cycle at " + ", ".join(r.name for r in left))
+    return placed.now()
+
+
+def staleness(rules: DataFrame, files: DataFrame, force: bool = False, external: DataFrame | None = None) -> DataFrame:
+    """``rule_id, will_run, eff``, settled layer by layer from the sources up; a cycle raises.
+
+    A rule runs if forced, if the rule of an input runs, if a missing input that
+    no rule makes will come from an active job (``path`` in ``external``), if an
+    output that is not temporary is missing, or if its oldest output is older
+    than its newest input.  ``eff`` is the time its consumers see: of its oldest
+    output, or, if none is there, of its newest input.  A source that is missing
+    has no time.  A rule without a body goes by the same rule, but is no job.
     """
-    makes = settled(rules.select("rule_id", "has_body", F.explode("outputs").alias("path"), "temp").select("rule_id", "has_body", "path", F.coalesce(F.col("temp")[F.col("path")], F.lit(False)).alias("is_temp")), "makes")
-    needs = settled(rules.select("rule_id", F.explode_outer("inputs").alias("path")).distinct(), "needs")
+    makes = settled(rules.select("rule_id", F.explode("outputs").alias("path"), "temp").select("rule_id", "path", F.coalesce(F.col("temp")[F.col("path")], F.lit(False)).alias("is_temp")), "makes")
     on_disk = files.where("`exists`").select("path", "mtime")
-    outs = makes.join(on_disk, "path", "left").groupBy("rule_id").agg(
-        F.min("mtime").alias("oldest"), F.bool_or(F.col("mtime").isNull() & ~F.col("is_temp") & F.col("has_body")).alias("missing"))
-    outs = settled(outs, "outs")
-    via = settled(needs.join(makes.select("path", F.col("rule_id").alias("maker")), "path", "left").join(on_disk, "path", "left"), "via")
-    done, total = None, rules.select("rule_id").distinct().count()
-    for _ in range(rounds):
-        if done is None:
-            state = via.select("rule_id", "path", "maker", "mtime", F.lit(None).cast("boolean").alias("run"), F.lit(None).cast("long").alias("eff"))
-        else:
-            state = via.join(done.select(F.col("rule_id").alias("maker"), F.col("will_run").alias("run"), "eff"), "maker", "left").select("rule_id", "path", "maker", "mtime", "run", "eff")
-        per = state.groupBy("rule_id").agg(
-            F.bool_and(F.col("maker").isNull() | F.col("run").isNotNull()).alias("ready"), F.bool_or(F.coalesce("run", F.lit(False))).alias("rebuilt"),
-            F.max(F.when(F.col("maker").isNull(), F.col("mtime")).otherwise(F.col("eff"))).alias("newest"))
-        old = F.coalesce(F.col("oldest") < F.col("newest"), F.lit(False))
-        now = per.where("ready").join(outs, "rule_id").select("rule_id", (F.lit(force) | F.col("rebuilt") | F.col("missing") | old).alias("will_run"), F.coalesce("oldest", "newest").alias("eff"))
-        now = settled(now, "stale")
-        n = now.count()
-        if n == total:
-            return now
-        if done is not None and n == done.count():
-            raise ValueError("cycle among the rules")
-        done = now
-    raise RuntimeError(f"more than {rounds} layers")
-
-
-def to_build(rules: DataFrame, stale: DataFrame, files: DataFrame, rounds: int = 1000) -> DataFrame:
+    coming = (makes.where("false").select("path") if external is None else external.select("path").distinct()).withColumn("coming", F.lit(True))
+    outs = settled(makes.join(on_disk, "path", "left").groupBy("rule_id").agg(F.min("mtime").alias("oldest"), F.bool_or(F.col("mtime").isNull() & ~F.col("is_temp")).alias("missing")), "outs")
+    needs = rules.select("rule_id", F.explode_outer("inputs").alias("path")).distinct()
+    via = settled(needs.join(makes.select("path", F.col("rule_id").alias("maker")), "path", "left").join(on_disk, "path", "left").join(coming, "path", "left"), "via")
+    source = F.col("maker").isNull()
+    base = via.groupBy("rule_id").agg(
+        F.count("maker").alias("want"), F.bool_or(source & F.col("mtime").isNull() & F.coalesce("coming", F.lit(False))).alias("comes"), F.max(F.when(source, F.col("mtime"))).alias("held"))
+    base = settled(base.join(outs, "rule_id"), "base")
+    chain = settled(via.where(~source).select("rule_id", "maker"), "chain")
+
+    def decided(ready: DataFrame) -> DataFrame:
+        newest = F.greatest("held", "newest")
+        old = F.coalesce(F.col("oldest") < newest, F.lit(False))
+        return settled(ready.select("rule_id", (F.lit(force) | F.col("rebuilt") | F.col("comes") | F.col("missing") | old).alias("will_run"), F.coalesce("oldest", newest).alias("eff")), "decided")
+
+    front = decided(base.where("want = 0").withColumns({"rebuilt": F.lit(False), "newest": F.lit(None).cast("long")}))
+    done, met = Pile(front, "done"), Pile(base.where("false").select("rule_id", F.col("want").alias("c"), F.col("comes").alias("rebuilt"), F.col("held").alias("newest")), "met")
+    while not front.isEmpty():
+        found = front.withColumnRenamed("rule_id", "maker").join(chain, "maker").groupBy("rule_id").agg(F.count(F.lit(1)).alias("c"), F.bool_or("will_run").alias("rebuilt"), F.max("eff").alias("newest"))
+        found = settled(found, "found")
+        met.add(found)
+        touched = met.now().join(found.select("rule_id"), "rule_id", "left_semi").groupBy("rule_id").agg(F.sum("c").alias("c"), F.bool_or("rebuilt").alias("rebuilt"), F.max("newest").alias("newest"))
+        front = decided(touched.join(base, "rule_id").where("c = want"))
+        done.add(front)
+    out = done.now()
+    if out.count() < base.count():
+        raise ValueError("cycle among the rules")
+    return out
+
+
+def to_build(rules: DataFrame, stale: DataFrame, files: DataFrame) -> DataFrame:
     """``rule_id`` of what must be made: rules that run, and makers of missing inputs of what is made."""
     needs = settled(rules.select("rule_id", F.explode("inputs").alias("path")).join(files.where("`exists`"), "path", "left_anti"), "missing")
     makes = settled(rules.select(F.col("rule_id").alias("maker"), F.explode("outputs").alias("path")), "makes")
-    out = settled(stale.where("will_run").select("rule_id"), "build")
-    for _ in range(rounds):
-        more = needs.join(out, "rule_id", "left_semi").join(makes, "path").select(F.col("maker").alias("rule_id")).distinct().join(out, "rule_id", "left_anti")
-        more = settled(more, "more")
-        if more.isEmpty():
-            return out
-        out = settled(out.union(more), "build")
-    raise RuntimeError(f"no end in {rounds} rounds")
+    front = settled(stale.where("will_run").select("rule_id"), "front")
+    out = Pile(front, "build")
+    while True:
+        more = needs.join(front, "rule_id", "left_semi").join(makes, "path").select(F.col("maker").alias("rule_id")).distinct()
+        front = settled(more.join(out.now(), "rule_id", "left_anti"), "front")
+        if front.isEmpty():
+            return out.now()
+        out.add(front)
+
+
+def jobs(rules: DataFrame, build: DataFrame) -> DataFrame:
+    """The rules to build that are jobs: those with a body.  Others only gather inputs."""
+    return rules.where("has_body").join(build.select("rule_id").distinct(), "rule_id", "left_semi")
+
+
+def dependencies(rules: DataFrame, build: DataFrame, stale: DataFrame, files: DataFrame, external: DataFrame | None = None) -> DataFrame:
+    """``rule_id, producer, job_id``: what each job to build waits for.
+
+    An input made by a rule makes an edge to it if that rule runs or the input
+    is missing, and if it has a body: a rule without one is no job to wait for.
+    A missing input that no rule makes has an edge to the active job that will
+    make it (``path, owner`` in ``external``).
+    """
+    uses = jobs(rules, build).select("rule_id", F.explode("inputs").alias("path")).distinct()
+    makes = rules.select(F.col("rule_id").alias("producer"), F.col("has_body").alias("is_job"), F.explode("outputs").alias("path"))
+    runs = stale.where("will_run").select(F.col("rule_id").alias("producer"), F.lit(True).alias("runs"))
+    there = files.where("`exists`").select("path", F.lit(True).alias("there"))
+    held = settled(uses.join(makes, "path", "left").join(runs, "producer", "left").join(there, "path", "left"), "uses")
+    own = held.where("producer is not null and is_job and (runs or there is null)").select("rule_id", "producer", F.lit(None).cast("string").alias("job_id")).distinct()
+    if external is None:
+        return own
+    other = held.where("producer is null and there is null").join(external.select("path", "owner"), "path")
+    return own.union(other.select("rule_id", F.col("producer"), F.col("owner").alias("job_id")).distinct())
+
+
+def unmakeable(rules: DataFrame, files: DataFrame, external: DataFrame | None = None) -> DataFrame:
+    """``rule_id, path``: inputs that are missing, that no rule makes and, if given, no active job (``path`` in ``external``)."""
+    out = rules.select("rule_id", F.explode("inputs").alias("path")).distinct()
+    for held in (rules.select(F.explode("outputs").alias("path")), files.where("`exists`").select("path"), *(() if external is None else (external.select("path"),))):
+        out = out.join(held.distinct(), "path", "left_anti")
+    return out.select("rule_id", "path")
 
 
 def up_to_date(outputs: DataFrame, inputs: DataFrame) -> DataFrame:

@@ -1,15 +1,19 @@
 """An append-only job ledger: folds, ownership, search, dump and compaction.
 
 Records are ordered by (ts, host, pid, seq), not by arrival, so logs may be
-read in any order and more than once.
+read in any order and more than once.  A ledger is a folder of files of JSON
+lines; folders can lie in any store that Spark reaches.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.lists import any_contains
+from ..sources.folders import settled
 
 SCHEMA = (
     "ts long, seq long, host string, pid int, job_id string, run_id string, name string, pipeline string, working_dir string, user string, submit_time long, "
@@ -21,10 +25,40 @@ def order() -> Column:
     return F.struct("ts", "host", "pid", "seq")
 
 
-def read(spark: SparkSession, folder: str) -> DataFrame:
-    """Every well-formed record of the ``.jsonl`` files in a folder; broken lines and records without an id are left out."""
-    df = spark.read.schema(SCHEMA).option("mode", "DROPMALFORMED").option("pathGlobFilter", "*.jsonl").json(folder)
-    return df.where("job_id is not null and job_id <> ''")
+#: Files of a ledger: logs of other writers end in ``.jsonl``, Spark's in ``.json``.
+FILES = "*.{jsonl,json}"
+
+
+def _folder(spark: SparkSession, folder: str):
+    """The folder's store and path."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def _files(spark: SparkSession, folder: str) -> list[str]:
+    store, path = _folder(spark, folder)
+    if not store.exists(path):
+        return []
+    if store.getFileStatus(path).isFile():
+        raise NotADirectoryError(f"{folder}: a ledger is a folder")
+    names = [x.getPath().getName() for x in store.listStatus(path) if x.isFile()]
+    return sorted(n for n in names if n.endswith((".jsonl", ".json")) and not n.startswith(("_", ".")))
+
+
+def _records(spark: SparkSession, paths: list[str]) -> DataFrame:
+    if not paths:
+        return spark.createDataFrame([], SCHEMA)
+    return spark.read.schema(SCHEMA).option("mode", "DROPMALFORMED").json(paths).where("job_id is not null and job_id <> ''")
+
+
+def read(spark: SparkSession, folder: str, snapshot: bool = False) -> DataFrame:
+    """Every well-formed record of the files that the folder has now; broken lines and records without an id are left out.
+
+    A folder that isn't there is an empty ledger; a file raises.  With
+    ``snapshot`` the records are copied, so a compaction may run meanwhile.
+    """
+    out = _records(spark, [f"{folder}/{n}" for n in _files(spark, folder)])
+    return settled(out, "ledger") if snapshot else out
 
 
 def append(records: DataFrame, folder: str) -> None:
@@ -68,9 +102,27 @@ def vacuum(records: DataFrame) -> DataFrame:
     return latest(records).join(live, "job_id", "left_semi").select(*records.columns)
 
 
-def compact(spark: SparkSession, folder: str, target: str) -> None:
-    """Write the records that ``vacuum`` keeps to a new folder, which then takes the old one's place."""
-    vacuum(read(spark, folder)).write.option("compression", "none").json(target)
+def compact(spark: SparkSession, folder: str) -> None:
+    """Replace the files that the folder has now by the records that ``vacuum`` keeps of them.
+
+    The new files are written beside and moved in before the old ones go, and
+    only files that were read go.  So records appended meanwhile stay, and a
+    reader in between, or a run that was cut short, sees some records twice,
+    which changes nothing.
+    """
+    old = _files(spark, folder)
+    if not old:
+        return
+    store, path = _folder(spark, folder)
+    made = f"_compact-{uuid.uuid4().hex}"
+    vacuum(_records(spark, [f"{folder}/{n}" for n in old])).write.option("compression", "none").json(f"{folder}/{made}")
+    new_path = spark._jvm.org.apache.hadoop.fs.Path
+    for x in store.listStatus(new_path(path, made)):
+        if x.getPath().getName().startswith("part-"):
+            store.rename(x.getPath(), new_path(path, f"snapshot{made}-{x.getPath().getName()}"))
+    store.delete(new_path(path, made), True)
+    for n in old:
+        store.delete(new_path(path, n), False)
 
 
 def dump(jobs: DataFrame) -> DataFrame:

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.strings import placeholders
+from ..sources.folders import settled
+from .graph import up_to_date
+
 
 def scatter(df: DataFrame, list_col: str, as_: str, index: str | None = None) -> DataFrame:
     """A row for each element of a list, with its number from 1 if asked for."""
@@ -25,12 +31,44 @@ def ordered_list(value: Column, order: list[str]) -> Column:
     return F.transform(pairs, lambda p: p["_v"])
 
 
+def enumerated(df: DataFrame, order: list[str], as_: str = "n") -> DataFrame:
+    """All rows numbered from 1 in order, without bringing them together.
+
+    Rows are dealt by ranges and sorted within each; a range's numbers begin
+    after the sizes of the ranges before it, one small row each.
+    """
+    dealt = settled(df.orderBy(*order).withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()}), "enumerated")
+    sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"), F.min("_row").alias("_first"))
+    before = F.sum("_size").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
+    starts = sizes.select("_part", "_first", F.coalesce(before, F.lit(0)).alias("_start"))
+    return dealt.join(F.broadcast(starts), "_part").withColumn(as_, F.col("_start") + F.col("_row") - F.col("_first") + 1).drop("_part", "_row", "_size", "_first", "_start")
+
+
 def group_gather(df: DataFrame, key: str, value: str, order: list[str], as_: str = "items") -> DataFrame:
-    """A row for each key with its values in order; ``first`` is the key's first place."""
+    """A row for each key with its values in order; ``first`` is the key's first place.
+
+    A key's list is one value, so this is for keys whose lists fit a task;
+    ``gather_blocks`` has no such bound.
+    """
     return df.groupBy(key).agg(ordered_list(F.col(value), order).alias(as_), F.min(F.struct(*order)).alias("first"))
 
 
+def gather_blocks(df: DataFrame, key: list[str], value: str, order: list[str], size: int = 10_000, as_: str = "items") -> DataFrame:
+    """The keys' values in order, ``size`` to a row: the key, ``block`` from 0, and the list.  Without a key, all rows are one.
+
+    However many rows a key has, they are sorted by ranges of (key, order), and
+    no row of the result holds more than ``size`` values.
+    """
+    own = settled(enumerated(df.select(*key, F.col(value).alias("_v"), *(F.col(c).alias(f"_o{i}") for i, c in enumerate(order))), [*key, *(f"_o{i}" for i in range(len(order)))], "_n"), "places")
+    first = own.groupBy(*key).agg(F.min("_n").alias("_first")).withColumns({f"_k{i}": F.col(k) for i, k in enumerate(key)}).drop(*key)
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(key)), F.lit(True))
+    placed = own.join(first, same) if key else own.crossJoin(F.broadcast(first))
+    block = F.floor((F.col("_n") - F.col("_first")) / size).alias("block")
+    return placed.groupBy(*key, block).agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "_v"))), lambda p: p["_v"]).alias(as_))
+
+
 def gather(df: DataFrame, value: str, order: list[str], as_: str = "items") -> DataFrame:
+    """One row with all values in order: for tables whose list fits a task; else ``gather_blocks`` without a key."""
     return df.agg(ordered_list(F.col(value), order).alias(as_))
 
 
@@ -48,14 +86,9 @@ def first_per_key(df: DataFrame, key: list[str], order: list[Column]) -> DataFra
     return df.withColumn("_n", F.row_number().over(W.partitionBy(*key).orderBy(*order))).where("_n = 1").drop("_n")
 
 
-def products(*sides: DataFrame, most: int = 100_000) -> DataFrame:
-    """Every combination of the rows of small tables that state a query (template lists); a side of over ``most`` rows raises."""
-    out = sides[0]
-    for more in sides[1:]:
-        if more.count() > most:
-            raise ValueError(f"a template list of more than {most} rows")
-        out = out.crossJoin(F.broadcast(more))
-    return out
+def products(*sides: DataFrame) -> DataFrame:
+    """Every combination of the rows of tables that state a query (template lists): as many rows as the reader asks for."""
+    return reduce(lambda a, b: a.crossJoin(b), sides)
 
 
 def ranges(df: DataFrame, key: list[str], number: str, as_: str = "spec") -> DataFrame:
@@ -65,3 +98,23 @@ def ranges(df: DataFrame, key: list[str], number: str, as_: str = "spec") -> Dat
     runs = island.groupBy(*key, "_g").agg(F.min("_n").alias("_a"), F.max("_n").alias("_b"))
     one = F.when(F.col("_a") == F.col("_b"), F.col("_a").cast("string")).otherwise(F.concat_ws("-", "_a", "_b"))
     return runs.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_a", one.alias("t")))), lambda x: x["t"]), ",").alias(as_))
+
+
+def fan_out(files: DataFrame, command: str, outputs: list[str], inputs: list[str], disk: DataFrame) -> DataFrame:
+    """``n, path, command, outs, ins, skipped``: a job for each file, with the placeholders filled.
+
+    ``files`` has ``n, path`` (see ``enumerated``).  A job is skipped if its
+    outputs are all there and no older than its inputs, the file among them;
+    jobs without outputs never are.  ``ranges`` over the others gives the array
+    specification.  ``disk`` has ``path, exists, mtime``.
+    """
+    path, n = F.col("path"), F.col("n")
+    none = F.array().cast("array<string>")
+    jobs = settled(files.select("n", "path", placeholders(command, path, n).alias("command"), (F.array(*(placeholders(o, path, n) for o in outputs)) if outputs else none).alias("outs"), F.array(path, *(placeholders(i, path, n) for i in inputs)).alias("ins")), "jobs")
+    times = disk.where("`exists`").select(F.col("path").alias("file"), "mtime")
+
+    def stated(column: str) -> DataFrame:
+        return jobs.select(F.col("n").alias("key"), F.explode(column).alias("file")).join(times, "file", "left").select("key", "mtime")
+
+    ok = up_to_date(stated("outs"), stated("ins")).where("ok").select(F.col("key").alias("n"), F.lit(True).alias("skipped"))
+    return jobs.join(ok, "n", "left").withColumn("skipped", F.coalesce("skipped", F.lit(False)))

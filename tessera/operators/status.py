@@ -29,6 +29,7 @@ ACTIVE: dict[str, tuple[str, ...]] = {
     "sge": ("qw", "hqw", "hRwq", "r", "t", "Rr", "Rt", "s", "S", "T"),
     "pbs": ("Q", "R", "H"),
 }
+#: What schedulers print where there is nothing.
 PLACEHOLDERS = ("", "(null)", "None", "Unknown", "N/A")
 
 
@@ -69,13 +70,9 @@ def exit_code(c: Column) -> Column:
     return F.split_part(F.trim(c), F.lit(":"), F.lit(1)).try_cast("int")
 
 
-def fields(c: Column) -> Column:
-    """``Key=Value`` fields between blanks as a map."""
-    return F.str_to_map(F.regexp_replace(F.trim(c), r"\s+", " "), F.lit(" "), F.lit("="))
-
-
 def rfc3339(seconds: Column) -> Column:
-    return F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    """An ISO time in UTC; empty for none."""
+    return F.when(F.coalesce(seconds, F.lit(0)) <= 0, "").otherwise(F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
 
 
 def reconcile(word: Column, state_: Column, submit: Column, end: Column, mtime: Column, slack: int = 300) -> Column:
@@ -98,6 +95,30 @@ def aged_out(outputs: DataFrame, files: DataFrame) -> DataFrame:
     return held.groupBy("owner").agg(F.bool_and(ok).alias("complete"))
 
 
+def enriched(jobs: DataFrame, details: DataFrame, owners: DataFrame, files: DataFrame) -> DataFrame:
+    """One report row a job: what the ledger knows, with what the scheduler tells of it.
+
+    ``details`` has ``job_id, detail`` (see ``details.DETAIL``).  The scheduler's
+    submission time, folder and user count before the ledger's.  A job that the
+    scheduler has forgotten is done if it owns paths, and all of them are there
+    and no older than its submission; else its state is unknown.  Times are
+    texts, empty if there are none.
+    """
+    outs = owners.join(jobs.select(F.col("job_id").alias("owner"), "submit_time"), "owner")
+    left = aged_out(outs, files).withColumnRenamed("owner", "job_id")
+    held = jobs.join(details, "job_id", "left").join(left, "job_id", "left")
+    told, d = F.col("detail").isNotNull(), F.col("detail")
+
+    def before(name: str, column: str):
+        return F.coalesce(F.when(d[name] != F.lit(0 if name == "submit_time" else ""), d[name]), F.col(column))
+
+    texts = [F.coalesce(d[n], F.lit("")).alias(n) for n in ("native_state", "reason", "elapsed", "time_limit", "nodes", "partition", "cpus", "mem_req", "mem_used", "account", "stdout_path", "stderr_path")]
+    state_ = F.when(told, d["state"]).when(F.coalesce("complete", F.lit(False)), "done").otherwise("unknown")
+    return held.select(
+        "job_id", "array_id", F.when(F.coalesce("array_id", F.lit("")) != "", F.coalesce("task_index", F.lit(0))).alias("task_index"), "name", state_.alias("state"), d["exit_code"].alias("exit_code"), rfc3339(before("submit_time", "submit_time")).alias("submit_time"),
+        rfc3339(d["start_time"]).alias("start_time"), rfc3339(d["end_time"]).alias("end_time"), before("user", "user").alias("user"), before("work_dir", "working_dir").alias("work_dir"), "deps", "pipeline", "run_id", *texts)
+
+
 def owner_report(owners: DataFrame, jobs: DataFrame) -> DataFrame:
     """Jobs that own a path with their sorted paths, in order of submission."""
     held = owners.groupBy("owner").agg(F.array_sort(F.collect_list("path")).alias("paths"))
@@ -116,5 +137,6 @@ def counts(states: DataFrame) -> DataFrame:
 
 
 def table_lines(report: DataFrame) -> DataFrame:
-    """A report's rows as tab-separated lines."""
-    return report.select(F.concat_ws("\t", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in report.columns)).alias("line"))
+    """``job_id, line``: id, state, name and, where there is one, reason, between tabs."""
+    reason = F.when(F.coalesce("reason", F.lit("")) != "", F.col("reason"))
+    return report.select("job_id", F.concat_ws("\t", "job_id", "state", F.coalesce("name", F.lit("")), reason).alias("line"))

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import lists, strings
-from ..operators import graph, ledger, sheet, status
+from ..operators import details, graph, ledger, sheet, status
+from ..sources.folders import scratch
 from .scalar_queries import c, load
 
 
@@ -20,12 +21,21 @@ def seconds(t):
 
 
 def group_gather(spark, d):
-    out = sheet.group_gather(load(spark, d, "events").select("event_type", "event_id", c("event_id").cast("string").alias("v")), "event_type", "v", ["event_id"])
-    return out.select("event_type", F.sha2(lists.join(c("items"), " "), 256).alias("ids_sha256"), F.size("items").cast("bigint").alias("n"), c("first.event_id").alias("first_id"))
+    """Every event's id by type, in order, in blocks of a thousand."""
+    out = sheet.gather_blocks(load(spark, d, "events").select("event_type", "event_id", c("event_id").cast("string").alias("v")), ["event_type"], "v", ["event_id"], 1000)
+    return out.select("event_type", c("block").cast("bigint").alias("block"), F.sha2(lists.join(c("items"), " "), 256).alias("ids_sha256"), F.size("items").cast("bigint").alias("n"))
+
+
+def group_lists(spark, d):
+    """The nations of each region, a list a region."""
+    out = sheet.group_gather(load(spark, d, "nation"), "n_regionkey", "n_name", ["n_nationkey"])
+    return out.select(c("n_regionkey").cast("bigint").alias("n_regionkey"), lists.join(c("items"), " ").alias("names"), c("first.n_nationkey").cast("bigint").alias("first_key"))
 
 
 def gather_all(spark, d):
-    return sheet.gather(load(spark, d, "nation"), "n_name", ["n_nationkey"]).select(lists.join(c("items"), ",").alias("names"))
+    """Every order's key in order of date, in blocks."""
+    out = sheet.gather_blocks(load(spark, d, "orders"), [], "o_orderkey", ["o_orderdate", "o_orderkey"], 4096)
+    return out.select(c("block").cast("bigint").alias("block"), F.sha2(lists.join(c("items"), ",", "bigint"), 256).alias("keys_sha256"), F.size("items").cast("bigint").alias("n"))
 
 
 def scatter_index(spark, d):
@@ -77,27 +87,141 @@ def ledger_dump(spark, d):
 
 
 def ledger_roundtrip(spark, d):
-    from ..sources.folders import scratch
-
-    folder = scratch(spark, "ledger") + "/log.jsonl"
+    folder = scratch(spark, "ledger")
     log = _log(spark, d)
     ledger.append(log, folder)
     ledger.append(log, folder)
-    back = spark.read.schema(ledger.SCHEMA).option("mode", "DROPMALFORMED").json(folder)
-    return ledger.owners(back)
+    return ledger.owners(ledger.read(spark, folder, snapshot=True))
+
+
+def ledger_compact(spark, d):
+    """Two halves of the log, each appended twice, compacted in between and at the end; then what is left."""
+    folder = scratch(spark, "ledger")
+    log = _log(spark, d)
+    for half in (0, 1):
+        ledger.append(log.where(F.col("seq") % 2 == half), folder)
+        ledger.append(log.where(F.col("seq") % 2 == half), folder)
+        ledger.compact(spark, folder)
+    return ledger.read(spark, folder).select("job_id", "user", "ts", "seq").withColumnRenamed("user", "user_name")
+
+
+def ledger_owner_of(spark, d):
+    return ledger.owner_of(_log(spark, d), "click/7")
+
+
+def log_names(spark, d):
+    """Writers of log files, from names whose host has hyphens."""
+    name = F.concat(F.lit("/led/node-"), c("n_nationkey").cast("string"), F.lit("-x-"), (c("n_nationkey") * 31).cast("string"), F.lit("-1700000000-"), c("n_regionkey").cast("string"), F.lit(".jsonl"))
+    own = ledger.writer_of(name)
+    return load(spark, d, "nation").select("n_nationkey", own["host"].alias("host"), own["pid"].alias("pid"), own["n"].alias("nth"))
 
 
 def status_normalise(spark, d):
+    """Cleaned fields, codes, users and times of probe texts."""
     word = F.when(c("o_orderstatus") == "P", "PENDING").when(c("o_orderstatus") == "F", "COMPLETED").when(c("o_orderkey") % 3 == 0, "CANCELLED by 7").when(c("o_orderkey") % 3 == 1, "OUT_OF_MEMORY").otherwise("")
     return load(spark, d, "orders").select(
-        "o_orderkey", status.state(word, "slurm").alias("state"), status.active(word, "slurm", F.when(c("o_orderkey") % 5 == 0, "DependencyNeverSatisfied")).alias("is_active"), status.state(F.lower(c("o_orderstatus")), "sge").alias("sge_state"),
-        status.state(c("o_orderstatus"), "pbs").alias("pbs_state"), status.cleaned(F.when(c("o_orderkey") % 2 == 0, "(null)").otherwise(" a ")).alias("cleaned"), status.exit_code(F.concat((c("o_orderkey") % 9).cast("string"), F.lit(":0"))).cast("bigint").alias("code"),
+        "o_orderkey", status.state(word, "slurm").alias("state"), status.active(word, "slurm", F.when(c("o_orderkey") % 5 == 0, "DependencyNeverSatisfied")).alias("is_active"),
+        status.cleaned(F.when(c("o_orderkey") % 2 == 0, "(null)").otherwise(" a ")).alias("cleaned"), status.exit_code(F.concat((c("o_orderkey") % 9).cast("string"), F.lit(":0"))).cast("bigint").alias("code"),
         status.unbracketed(F.lit("alice(1001)")).alias("login"), status.rfc3339(seconds(c("o_orderdate"))).alias("at"), status.probe_time(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")).alias("seconds"))
 
 
 STATUS_NORMALISE = """select o_orderkey, case when o_orderstatus = 'P' then 'queued' when o_orderstatus = 'F' then 'done' when o_orderkey % 3 = 0 then 'cancelled' when o_orderkey % 3 = 1 then 'failed' else 'unknown' end state,
-o_orderstatus = 'P' and o_orderkey % 5 <> 0 is_active, 'unknown' sge_state, case o_orderstatus when 'F' then 'unknown' when 'O' then 'unknown' when 'P' then 'unknown' end pbs_state,
+o_orderstatus = 'P' and o_orderkey % 5 <> 0 is_active,
 case when o_orderkey % 2 = 0 then '' else 'a' end cleaned, (o_orderkey % 9)::bigint code, 'alice' login, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') "at", epoch(o_orderdate)::bigint "seconds" from orders"""
+#: Every word of the schedulers with its state and whether the job is active, written out for the SQL; the word of an order is drawn by its key.
+_WORDS = {
+    "slurm": "PENDING queued 1,RUNNING running 1,CONFIGURING running 0,COMPLETING running 0,RESIZING running 0,COMPLETED done 0,FAILED failed 0,CANCELLED cancelled 0,TIMEOUT failed 0,NODE_FAIL failed 0,OUT_OF_MEMORY failed 0,BOOT_FAIL failed 0,DEADLINE failed 0,PREEMPTED failed 0,other unknown 0",
+    "batchq": "USERHOLD queued 1,WAITING queued 1,QUEUED queued 1,PROXYQUEUED queued 1,RUNNING running 1,SUCCESS done 0,FAILED failed 0,CANCELED cancelled 0,other unknown 0",
+    "sge": "qw queued 1,hqw queued 1,hRwq queued 1,r running 1,t running 1,Rr running 1,Rt running 1,s running 1,S running 1,T running 1,Eqw failed 0,dr failed 0,dt failed 0,other unknown 0",
+    "pbs": "Q queued 1,H queued 1,W queued 0,T queued 0,R running 1,E running 0,S running 0,C done 0,other unknown 0",
+}
+
+
+def status_words(spark, d):
+    """Every word of every scheduler, and one that none knows."""
+    out = None
+    for scheduler, listed in _WORDS.items():
+        words = F.array(*(F.lit(x.split(" ")[0]) for x in listed.split(",")))
+        word = F.get(words, F.pmod(c("o_orderkey"), F.size(words)).cast("int"))
+        one = load(spark, d, "orders").select("o_orderkey", F.lit(scheduler).alias("scheduler"), word.alias("word")).select("*", status.state(c("word"), scheduler).alias("state"), status.active(c("word"), scheduler).alias("is_active"))
+        out = one if out is None else out.union(one)
+    return out
+
+
+STATUS_WORDS = " union all ".join(
+    f"select o_orderkey, '{scheduler}' scheduler, w.word, w.state, w.act = 1 is_active from orders join (values {', '.join(f'({i}, ' + chr(39) + x.split(' ')[0] + chr(39) + ', ' + chr(39) + x.split(' ')[1] + chr(39) + ', ' + x.split(' ')[2] + ')' for i, x in enumerate(listed.split(',')))}) w(i, word, state, act) on o_orderkey % {len(listed.split(','))} = w.i"
+    for scheduler, listed in _WORDS.items()
+)
+
+
+def _said(spark, d):
+    """Orders as jobs, with a text of each kind of probe for each."""
+    key, at = c("o_orderkey").cast("string"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")
+    old = F.concat(F.date_format("o_orderdate", "E MMM "), F.lpad(F.date_format("o_orderdate", "d"), 2, " "), F.date_format("o_orderdate", " HH:mm:ss yyyy"))
+    ended = c("o_orderkey") % 2 == 0
+    slurm = F.concat(F.lit("JobId="), key, F.lit(" JobName=a=b UserId=u"), c("o_custkey").cast("string"), F.lit("(77)  Account=(null) JobState="), F.when(ended, "TIMEOUT").otherwise("RUNNING"), F.lit(" Reason=None ExitCode="), (c("o_orderkey") % 3).cast("string"), F.lit(":9 SubmitTime="), at, F.lit(" StartTime=Unknown NumCPUs=4 MinMemoryCPU=2G WorkDir=/w/"), key)
+    pbs = F.concat(F.lit("Job Id: "), key, F.lit("\n    job_state = "), F.when(ended, "C").otherwise("R"), F.lit("\n    Job_Owner = u@h\n    Output_Path = h:/long/\n\tpath\n    Resource_List.nodect = 2\n    resources_used.mem = 10kb\n    qtime = "), old, F.when(ended, F.concat(F.lit("\n    Exit_status = 271\n    mtime = "), F.unix_timestamp("o_orderdate").cast("string"))).otherwise(""))
+    sge = F.concat(F.lit("owner:     o"), key, F.lit("\nsge_o_workdir:  /w\nhard resource_list:  h_vmem=4G\naccount: None"))
+    acct = F.concat(F.lit("==============================================================\nqname        all.q\nhostname     n1\nowner        o"), key, F.lit("\nexit_status  "), (c("o_orderkey") % 3).cast("string"), F.lit("  \nmaxvmem      1.5G"))
+    queue = F.concat(F.lit('[{"job_id":"x","status":"QUEUED"},{"job_id":"'), key, F.lit('","status":"'), F.when(ended, "FAILED").otherwise("RUNNING"), F.lit('","return_code":3,"submit_time":"'), at, F.lit('Z","details":{"procs":"8","mem":"N/A","host":"d"},"running_details":{"host":"h'), key, F.lit('"}}]'))
+    return load(spark, d, "orders").select("o_orderkey", key.alias("job_id"), "o_orderdate", slurm.alias("slurm"), pbs.alias("pbs"), sge.alias("sge"), acct.alias("acct"), queue.alias("queue"))
+
+
+def details_told(spark, d):
+    """What each scheduler's text says of a job."""
+    own = _said(spark, d).select("o_orderkey", F.explode(F.map_from_arrays(F.array(*map(F.lit, ("scontrol", "qstat_f", "qstat_j", "qacct", "batchq"))), F.array(
+        details.scontrol(c("slurm")), details.qstat_f(c("pbs")), details.qstat_j(F.lit("hqw"), c("sge")), details.qacct(c("acct")), details.batchq(c("job_id"), c("queue"))))).alias("kind", "detail"))
+    return own.select("o_orderkey", "kind", *((F.coalesce(c(f"detail.{n}").cast("bigint"), F.lit(-1)) if t in ("int", "bigint") else c(f"detail.{n}")).alias(f"d_{n}") for n, t in (f.split(" ") for f in details.DETAIL.split(", "))))
+
+
+DETAILS_TOLD = """with o as (select o_orderkey k, o_orderkey % 2 = 0 e, epoch(o_orderdate)::bigint t, o_custkey u from orders)
+select k o_orderkey, 'scontrol' kind, case when e then 'TIMEOUT' else 'RUNNING' end d_native_state, case when e then 'failed' else 'running' end d_state, '' d_reason, (k % 3)::bigint d_exit_code, t d_submit_time, 0::bigint d_start_time, 0::bigint d_end_time, '' d_elapsed, '' d_time_limit, '' d_nodes, '' d_partition, '4' d_cpus, '2G' d_mem_req, '' d_mem_used, '' d_account, 'u' || u d_user, '/w/' || k d_work_dir, '' d_stdout_path, '' d_stderr_path from o
+union all select k, 'qstat_f', case when e then 'C' else 'R' end, case when e then 'done' else 'running' end, '', case when e then 271 else -1 end, t, 0, case when e then t else 0 end, '', '', '', '', '2', '', '10kb', '', 'u@h', '', 'h:/long/path', '' from o
+union all select k, 'qstat_j', 'hqw', 'queued', '', -1, 0, 0, 0, '', '', '', '', '', 'h_vmem=4G', '', '', 'o' || k, '/w', '', '' from o
+union all select k, 'qacct', case when k % 3 = 0 then 'done' else 'failed' end, case when k % 3 = 0 then 'done' else 'failed' end, '', k % 3, 0, 0, 0, '', '', 'n1', 'all.q', '', '', '1.5G', '', 'o' || k, '', '', '' from o
+union all select k, 'batchq', case when e then 'FAILED' else 'RUNNING' end, case when e then 'failed' else 'running' end, '', case when e then 3 else -1 end, t, 0, 0, '', '', 'h' || k, '', '8', '', '', '', '', '', '', '' from o"""
+
+
+def details_accounted(spark, d):
+    """Accounting lines: a row for the job, rows for its steps, and broken ones."""
+    key = c("o_orderkey").cast("string")
+
+    def line(id_, word, used):
+        return F.concat_ws("|", id_, word, F.lit("1:0"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), *map(F.lit, ("Unknown", "", "00:10", "n[1-2]", "long", "4", "8G")), used, *map(F.lit, ("acc", "", "1-00")))
+
+    lines = F.array(line(key, F.lit("CANCELLED by 1001"), F.lit("")), line(F.concat(key, F.lit(".batch")), F.lit("FAILED"), F.concat(key, F.lit("K"))), line(F.concat(key, F.lit(".extern")), F.lit("FAILED"), F.lit("9K")), F.lit("broken|line"))
+    out = details.sacct(load(spark, d, "orders").select(key.alias("job_id"), F.explode(lines).alias("line")))
+    return out.select("job_id", *(c(f"detail.{n}").alias(f"d_{n}") for n in ("native_state", "state", "submit_time", "start_time", "elapsed", "nodes", "mem_used", "account", "user")), c("detail.exit_code").cast("bigint").alias("d_exit_code"))
+
+
+DETAILS_ACCOUNTED = "select o_orderkey::varchar job_id, 'CANCELLED' d_native_state, 'cancelled' d_state, epoch(o_orderdate)::bigint d_submit_time, 0::bigint d_start_time, '00:10' d_elapsed, 'n[1-2]' d_nodes, o_orderkey || 'K' d_mem_used, 'acc' d_account, '' d_user, 1::bigint d_exit_code from orders"
+
+
+def job_report(spark, d):
+    """The ledger's jobs with what the scheduler still knows of some of them."""
+    log = _log(spark, d)
+    jobs = ledger.latest(log)
+    text = F.concat(F.lit("JobState=RUNNING Reason=Priority UserId=root(0) ExitCode=0:0 SubmitTime="), F.when(c("task_index") == 1, "Unknown").otherwise("2020-01-02T03:04:05"))
+    told = jobs.where("task_index < 3").select("job_id", details.scontrol(text).alias("detail"))
+    files = load(spark, d, "customer").select(F.concat(F.lit("click/"), c("c_custkey").cast("string")).alias("path"), F.lit(True).alias("exists"), F.lit(4_000_000_000).alias("mtime"))
+    out = status.enriched(jobs, told, ledger.owners(log), files)
+    lines = status.table_lines(out)
+    return out.join(lines, "job_id").select("job_id", "state", F.coalesce(c("exit_code"), F.lit(-1)).cast("bigint").alias("exit_code"), "submit_time", c("user").alias("user_name"), "work_dir", "reason", "line", F.coalesce(c("task_index"), F.lit(-1)).cast("bigint").alias("task"))
+
+
+def job_modes(spark, d):
+    """Jobs with the probe's word, UNKNOWN without one."""
+    jobs = load(spark, d, "orders").select(c("o_orderkey").alias("job_id"))
+    probes = load(spark, d, "orders").where("o_orderstatus <> 'O'").select(c("o_orderkey").alias("job_id"), c("o_orderpriority").alias("native_state"), F.lit(1).alias("end_time"))
+    return status.job_states(jobs, probes).select("job_id", "native_state")
+
+
+def node_counts(spark, d):
+    """States of the graph's nodes, counted."""
+    nodes = load(spark, d, "orders").select(F.concat(F.lit("o"), c("o_orderkey").cast("string")).alias("name"))
+    owner = load(spark, d, "orders").where("o_orderkey % 3 = 0").select(F.concat(F.lit("o"), c("o_orderkey").cast("string")).alias("path"), c("o_orderkey").alias("owner"))
+    states = load(spark, d, "orders").where("o_orderkey % 9 <> 0").select(c("o_orderkey").alias("job_id"), c("o_orderpriority").alias("state"))
+    return status.counts(status.node_states(nodes, _files(spark, d), owner, states))
 
 
 def status_reconcile(spark, d):
@@ -216,6 +340,83 @@ def satisfiable(spark, d):
     return graph.satisfiable(_rules(spark, d), _files(spark, d))
 
 
+def _chained(spark, d):
+    """Lines of an order as rules, each made from the line before it and a part's file; every fourth gathers only."""
+    line = load(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("part"))
+    line = line.withColumn("before", F.lag("l_linenumber").over(W.partitionBy("l_orderkey").orderBy("l_linenumber")))
+    name = F.concat_ws("_", c("l_orderkey").cast("string"), c("l_linenumber").cast("string"))
+    made = F.array_compact(F.array(F.when(c("before").isNotNull(), F.concat_ws("_", c("l_orderkey").cast("string"), c("before").cast("string"))), F.concat(F.lit("p"), c("part").cast("string"))))
+    return line.select((c("l_orderkey") * 10 + c("l_linenumber")).alias("rule_id"), (c("l_orderkey") * 10 + c("l_linenumber")).alias("ord"), F.array(name).alias("outputs"), made.alias("inputs"), F.create_map(name, c("l_linenumber") == 2).alias("temp"), (c("l_linenumber") % 4 != 3).alias("has_body"))
+
+
+def _chained_files(spark, d):
+    parts = load(spark, d, "part").where("p_partkey % 10 <> 0").select(F.concat(F.lit("p"), c("p_partkey").cast("string")).alias("path"), (c("p_size") * 10).cast("bigint").alias("mtime"))
+    line = load(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_suppkey").alias("s")).where("(l_orderkey + l_linenumber) % 3 <> 0")
+    return parts.union(line.select(F.concat_ws("_", c("l_orderkey").cast("string"), c("l_linenumber").cast("string")).alias("path"), (c("s") * 5 + c("l_linenumber")).cast("bigint").alias("mtime"))).select("path", F.lit(True).alias("exists"), "mtime")
+
+
+def _coming(spark, d):
+    return load(spark, d, "part").where("p_partkey % 20 = 0").select(F.concat(F.lit("p"), c("p_partkey").cast("string")).alias("path"), c("p_partkey").cast("string").alias("owner"))
+
+
+def chain_staleness(spark, d):
+    """Rules up to seven deep, some without a body, some inputs still to come from other jobs."""
+    return graph.staleness(_chained(spark, d), _chained_files(spark, d), external=_coming(spark, d)).select("rule_id", "will_run", F.when(~c("will_run"), F.coalesce("eff", F.lit(-1))).otherwise(-2).alias("eff"))
+
+
+_CHAIN = """ln as (select l_orderkey o, l_linenumber n, min(l_partkey) part, min(l_suppkey) s from lineitem group by 1, 2),
+ch as (select *, lag(n) over (partition by o order by n) before, row_number() over (partition by o order by n) r, case when (o + n) % 3 <> 0 then s * 5 + n end f,
+       case when part % 10 <> 0 then p_size * 10 end pt, part % 20 = 0 coming from ln join part on p_partkey = part),
+st as (select o, n, r, f, (coming and pt is null) or (f is null and n <> 2) or coalesce(f < pt, false) run, coalesce(f, pt) eff from ch where r = 1
+union all select ch.o, ch.n, ch.r, ch.f, st.run or (ch.coming and ch.pt is null) or (ch.f is null and ch.n <> 2) or coalesce(ch.f < greatest(ch.pt, st.eff), false), coalesce(ch.f, greatest(ch.pt, st.eff)) from st join ch on ch.o = st.o and ch.r = st.r + 1)"""
+
+
+def chain_build(spark, d):
+    """The jobs that are made, and what each waits for."""
+    rules, files, coming = _chained(spark, d), _chained_files(spark, d), _coming(spark, d)
+    stale = graph.staleness(rules, files, external=coming)
+    build = graph.to_build(rules, stale, files)
+    waits = graph.dependencies(rules, build, stale, files, coming)
+    return graph.jobs(rules, build).select("rule_id").join(waits, "rule_id", "left").select("rule_id", F.coalesce("producer", F.lit(-1)).alias("producer"), F.coalesce("job_id", F.lit("")).alias("job_id"))
+
+
+def chain_unmakeable(spark, d):
+    return graph.unmakeable(_chained(spark, d), _chained_files(spark, d), _coming(spark, d))
+
+
+def chain_satisfiable(spark, d):
+    return graph.satisfiable(_chained(spark, d), _chained_files(spark, d).where("path like 'p%'"))
+
+
+def default_goal(spark, d):
+    """All that the first rule's output is made from, and what is named instead of it."""
+    rules = _rules(spark, d).withColumn("ord", c("rule_id"))
+    edges = graph.edges_of(rules)
+    one = graph.reachable(edges, graph.goals(rules)).withColumn("how", F.lit("first"))
+    two = graph.reachable(edges, graph.goals(rules, None, ["o1", "o2"])).withColumn("how", F.lit("default"))
+    return one.union(two).union(graph.goals(rules, ["o7"], ["o1"]).withColumn("how", F.lit("named")))
+
+
+def fan_out(spark, d):
+    """A job for each part by name, but those up to date; and the numbers of those left, as ranges."""
+    files = sheet.enumerated(load(spark, d, "part").select(F.concat_ws("/", F.lit("in"), c("p_partkey").cast("string"), F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit(".fq"))).alias("path"), "p_partkey", "p_size"), ["p_partkey"])
+    disk = files.select("path", F.lit(True).alias("exists"), c("p_size").cast("bigint").alias("mtime")).union(files.where("p_partkey % 5 <> 0").select(strings.placeholders("out/{@.fq}.{#}.bam", c("path"), c("n")).alias("path"), F.lit(True), F.lit(20).cast("bigint")))
+    jobs = sheet.fan_out(files.select("n", "path"), "run {} > {^.fq}.{#} {{}}", ["out/{@.fq}.{#}.bam"], [], disk)
+    left = sheet.ranges(jobs.where("not skipped").withColumn("g", F.lit("all")), ["g"], "n")
+    return jobs.join(F.broadcast(left), c("g") == "all", "left").select("n", "path", "command", lists.join(c("outs"), " ").alias("outs"), "skipped", F.sha2("spec", 256).alias("spec"))
+
+
+FAN_OUT = """with x as (select row_number() over (order by p_partkey) n, 'in/' || p_partkey || '/' || replace(p_name, ' ', '_') stem, replace(p_name, ' ', '_') base, p_size, p_partkey % 5 <> 0 and p_size <= 20 skipped from part),
+r as (select n, n - row_number() over (order by n) g from x where not skipped), s as (select string_agg(case when a = b then a::varchar else a || '-' || b end, ',' order by a) spec from (select min(n) a, max(n) b from r group by g))
+select n::bigint n, stem || '.fq' path, 'run ' || stem || '.fq > ' || stem || '.' || n || ' {}' command, 'out/' || base || '.' || n || '.bam' outs, skipped, sha256(spec) spec from x, s"""
+
+
+def sparse_members(spark, d):
+    """Of each array the members that still run, as ranges."""
+    stale = graph.staleness(_chained(spark, d), _chained_files(spark, d), external=_coming(spark, d)).where("will_run")
+    return sheet.ranges(stale.select(F.floor(c("rule_id") / 10).alias("l_orderkey"), (c("rule_id") % 10).alias("n")), ["l_orderkey"], "n")
+
+
 def opportunistic(spark, d):
     return graph.ready(_rules(spark, d), _files(spark, d))
 
@@ -275,21 +476,46 @@ def union_logs(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    group_gather, gather_all, scatter_index, running_total, last_value, ledger_latest, ledger_owner, ledger_vacuum, ledger_search, ledger_dump, ledger_roundtrip, status_normalise, status_reconcile, owner_report, aged_out,
-    graph_sources, graph_nodes_edges, graph_reach, graph_layers, graph_dot, wildcard_match, wildcard_rules, first_candidate, staleness, to_build, satisfiable, opportunistic, up_to_date, array_spec, array_collapse,
+    group_gather, group_lists, gather_all, scatter_index, running_total, last_value, ledger_latest, ledger_owner, ledger_vacuum, ledger_search, ledger_dump, ledger_roundtrip, ledger_compact, ledger_owner_of, log_names, status_normalise, status_words, details_told, details_accounted, job_report, job_modes, node_counts, status_reconcile, owner_report, aged_out,
+    graph_sources, graph_nodes_edges, graph_reach, graph_layers, graph_dot, wildcard_match, wildcard_rules, first_candidate, staleness, to_build, satisfiable, chain_staleness, chain_build, chain_unmakeable, chain_satisfiable, default_goal, fan_out, sparse_members, opportunistic, up_to_date, array_spec, array_collapse,
     array_elementwise, dup_index, one_signature, enrich_lookup, reusable_owner, external_inputs, union_logs)}
 
 _LOG = "lg as (select event_id, ts, event_type, user_id::varchar usr, event_type || '/' || user_id path, event_id::varchar job_id, (epoch_us(ts) // 1000000)::bigint sub from events), ow as (select path, arg_max(job_id, (ts, event_id)) \"owner\" from lg group by 1)"
 _RECURSE = f"with recursive {_EDGES}, t as (select src \"name\", 0 layer from edges where src not in (select dst from edges) union select dst, layer + 1 from t join edges on src = t.\"name\")"
 SQL = {
-    "group_gather": "select event_type, sha256(string_agg(event_id::varchar, ' ' order by event_id)) ids_sha256, count(*)::bigint n, min(event_id) first_id from events group by 1",
-    "gather_all": "select string_agg(n_name, ',' order by n_nationkey) \"names\" from nation",
+    "group_gather": "select event_type, ((r - 1) // 1000)::bigint block, sha256(string_agg(event_id::varchar, ' ' order by event_id)) ids_sha256, count(*)::bigint n from (select event_type, event_id, row_number() over (partition by event_type order by event_id) r from events) group by 1, 2",
+    "group_lists": "select n_regionkey::bigint n_regionkey, string_agg(n_name, ' ' order by n_nationkey) \"names\", min(n_nationkey)::bigint first_key from nation group by 1",
+    "gather_all": "select ((r - 1) // 4096)::bigint block, sha256(string_agg(o_orderkey::varchar, ',' order by r)) keys_sha256, count(*)::bigint n from (select o_orderkey, row_number() over (order by o_orderdate, o_orderkey) r from orders) group by 1",
     "scatter_index": "select s_suppkey, row_number() over (partition by s_nationkey, k order by s_suppkey)::bigint i, k::bigint k, 'out_' || s_name || '.' || kind path from supplier, (values (1, 'sum'), (2, 'log')) v(k, kind)",
     "running_total": "select o_orderkey, cents, sum(cents) over (partition by o_custkey order by o_orderdate, o_orderkey rows unbounded preceding)::bigint total from (select *, round(o_totalprice * 100)::bigint cents from orders)",
     "last_value": "select user_id, arg_max(event_type, (ts, event_id)) last_type from events group by 1",
     "ledger_latest": f"with {_LOG} select usr user_name, job_id, event_type \"name\", sub submit_time from lg qualify row_number() over (partition by usr order by ts desc, event_id desc) = 1",
     "ledger_owner": f"with {_LOG} select * from ow",
     "ledger_roundtrip": f"with {_LOG} select * from ow",
+    "ledger_compact": f"with {_LOG} select job_id, usr user_name, epoch_us(ts) * 1000 ts, event_id seq from lg where job_id in (select \"owner\" from ow)",
+    "ledger_owner_of": f"with {_LOG} select * from ow where path = 'click/7'",
+    "log_names": "select n_nationkey, 'node-' || n_nationkey || '-x' host, (n_nationkey * 31)::varchar pid, n_regionkey::varchar nth from nation",
+    "status_words": STATUS_WORDS, "details_told": DETAILS_TOLD, "details_accounted": DETAILS_ACCOUNTED,
+    "job_report": f"""with {_LOG}, dn as (select "owner" job_id, bool_and(path like 'click/%' and c_custkey is not null) ok from ow left join customer on split_part(path, '/', 2) = c_custkey::varchar group by 1),
+x as (select *, event_id % 7 ti, event_id % 7 < 3 told, event_id % 10 = 0 arr, case when event_id % 7 < 3 then 'running' when coalesce(ok, false) then 'done' else 'unknown' end state from lg left join dn using (job_id))
+select job_id, state, case when told then 0 else -1 end::bigint exit_code, case when told and ti <> 1 then '2020-01-02T03:04:05Z' else strftime(make_timestamp(sub * 1000000), '%Y-%m-%dT%H:%M:%SZ') end submit_time, case when told then 'root' else usr end user_name, '/w' work_dir,
+case when told then 'Priority' else '' end reason, job_id || chr(9) || state || chr(9) || event_type || case when told then chr(9) || 'Priority' else '' end line, case when arr then ti else -1 end::bigint task from x""",
+    "job_modes": "select o_orderkey job_id, case when o_orderstatus <> 'O' then o_orderpriority else 'UNKNOWN' end native_state from orders",
+    "node_counts": "select case when o_orderkey % 4 <> 0 then 'Done' when o_orderkey % 3 = 0 and o_orderkey % 9 <> 0 then o_orderpriority else 'Pending' end state, count(*)::bigint n from orders group by 1",
+    "chain_staleness": f"with recursive {_CHAIN} select o * 10 + n rule_id, run will_run, case when not run then coalesce(eff, -1) else -2 end::bigint eff from st",
+    "chain_build": f"""with recursive {_CHAIN}, x as (select st.*, ch.before, ch.part, ch.pt, ch.coming, b.run brun, b.f bf, b.n bn from st join ch on ch.o = st.o and ch.n = st.n left join st b on b.o = st.o and b.n = ch.before),
+bu as (select o, n from st where run union select x.o, x.bn from x join bu on x.o = bu.o and x.n = bu.n where x.bn is not null and x.bf is null),
+jb as (select x.* from x join (select distinct o, n from bu) using (o, n) where n % 4 <> 3),
+ed as (select o * 10 + n rule_id, o * 10 + bn producer, null::varchar job_id from jb where bn is not null and bn % 4 <> 3 and (brun or bf is null) union all select o * 10 + n, null, part::varchar from jb where pt is null and coming)
+select jb.o * 10 + jb.n rule_id, coalesce(producer, -1)::bigint producer, coalesce(job_id, '') job_id from jb left join ed on ed.rule_id = jb.o * 10 + jb.n""",
+    "chain_unmakeable": f"with recursive {_CHAIN} select o * 10 + n rule_id, 'p' || part path from ch where pt is null and not coming",
+    "chain_satisfiable": f"with recursive {_CHAIN}, sa as (select o, r from ch where r = 1 and pt is not null union all select ch.o, ch.r from sa join ch on ch.o = sa.o and ch.r = sa.r + 1 where ch.pt is not null) select ch.o * 10 + ch.n rule_id from sa join ch using (o, r)",
+    "default_goal": """with a as (select max(c_custkey) k from customer), one as (select 'c' || c_custkey x, 'n' || c_nationkey y from customer, a where c_custkey = k),
+two as (select 'o' || o_orderkey x, 'c' || o_custkey y, 'n' || c_nationkey z from orders join customer on o_custkey = c_custkey where o_orderkey in (1, 2))
+select x "name", 'first' how from one union select y, 'first' from one union select x, 'default' from two union select 'o' || v, 'default' from (values (1), (2)) t(v) union select y, 'default' from two union select z, 'default' from two union select 'o7', 'named'""",
+    "fan_out": FAN_OUT,
+    "sparse_members": f"""with recursive {_CHAIN}, q as (select o, n, n - row_number() over (partition by o order by n) g from st where run)
+select o l_orderkey, string_agg(case when a = b then a::varchar else a || '-' || b end, ',' order by a) spec from (select o, g, min(n) a, max(n) b from q group by o, g) group by o""",
     "ledger_vacuum": f"with {_LOG} select job_id, usr user_name, epoch_us(ts) * 1000 ts, event_id seq from lg where job_id in (select \"owner\" from ow)",
     "ledger_search": f"with {_LOG} select job_id, 'filters' how from lg where contains(event_type, 'ic') and contains(path, '/1') and event_id % 2 = 0 union all select job_id, 'array' from lg where event_id % 10 = 0 and event_id // 100 = 3 union all select job_id, 'id' from lg where job_id = '17'",
     "ledger_dump": f"""with {_LOG} select job_id, k "key", v "value", p::bigint pos from (

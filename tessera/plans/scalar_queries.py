@@ -223,18 +223,50 @@ select event_id, case event_id % 5 when 0 then k || '.5' when 1 then 'true' when
 
 def tsv_roundtrip(spark, d):
     path = scratch(spark, "tsv")
-    sheets.write_delimited(load(spark, d, "nation").coalesce(1), path)
+    sheets.write_delimited(load(spark, d, "customer").repartition(5), path)
     out = sheets.read_tsv(spark, path)
-    return out.select(c("n_nationkey").cast("bigint"), "n_name", c("n_regionkey").cast("bigint"))
+    return out.select(c("c_custkey").cast("bigint"), "c_name", c("c_nationkey").cast("bigint"), "c_acctbal", "c_mktsegment")
 
 
 def csv_roundtrip(spark, d):
+    """Cells with separators, quotes and line feeds, over several part files."""
     path = scratch(spark, "csv")
-    own = load(spark, d, "supplier").select("s_suppkey", F.concat(c("s_name"), F.lit(', "x"')).alias("s_name"), c("s_nationkey").cast("bigint").alias("s_nationkey"))
-    sheets.write_delimited(own.coalesce(1), path, ",")
+    own = load(spark, d, "supplier").select("s_suppkey", F.concat(c("s_name"), F.lit(', "x"'), F.when(c("s_suppkey") % 3 == 0, "\nmore").otherwise("")).alias("s_name"), c("s_nationkey").cast("bigint").alias("s_nationkey"))
+    sheets.write_delimited(own.repartition(3), path, ",")
     return sheets.read_csv(spark, path)
 
 
+def tsv_skip(spark, d):
+    """Sheets with comments, blank lines and a line before the header, which is wider than that line and than some records."""
+    path = scratch(spark, "skip")
+    own = load(spark, d, "part").select(F.lit(1).alias("o"), c("p_partkey").alias("k"), F.concat_ws("\t", c("p_partkey").cast("string"), "p_name", F.when(c("p_size") % 2 == 0, c("p_size").cast("string"))).alias("value"))
+    head = spark.range(1).select(F.explode(F.array(F.lit("# list of parts"), F.lit("made today"), F.lit(""), F.lit("key\tname\tsize"))).alias("value")).select(F.lit(0).alias("o"), F.monotonically_increasing_id().alias("k"), "value")
+    head.union(own).orderBy("o", "k").coalesce(1).select("value").write.text(path)
+    return sheets.read_tsv(spark, path, skip=1, raw=True)
+
+
+def lines_skip(spark, d):
+    """The first two lines dropped, blank ones kept."""
+    path = scratch(spark, "lines")
+    load(spark, d, "nation").orderBy("n_nationkey").select(F.when(c("n_nationkey") % 4 == 3, "").otherwise(c("n_name")).alias("v")).coalesce(1).write.text(path)
+    return sheets.read_lines(spark, path, skip=2)
+
+
+def names_elided(spark, d):
+    """Bytes, not characters, are counted; each kind of name has its own rule."""
+    name = F.concat(c("n_name"), F.lit("/x-y z"))
+    return load(spark, d, "nation").select("n_nationkey", strings.elide(c("n_name"), 7).alias("short"), F.octet_length(strings.elide(F.concat(F.lit("é"), c("n_name")), 8)).cast("bigint").alias("wide"), strings.safe_name(name).alias("host"), strings.option_name(name).alias("option_"), strings.job_name(name).alias("job"))
+
+
+def maps_listed(spark, d):
+    """A map's pairs and keys as rows in order; a value, a list and nothing as lists; powers with negative and broken exponents."""
+    m = F.create_map(F.lit("name"), c("n_name"), F.lit("region"), c("n_regionkey").cast("string"))
+    pairs = load(spark, d, "nation").select("n_nationkey", F.posexplode(F.map_entries(m)).alias("k", "e"))
+    listed = lists.listed(F.when(c("n_nationkey") % 2 == 0, c("e.value")))
+    size = c("n_nationkey").cast("bigint")
+    return pairs.select("n_nationkey", c("k").cast("bigint").alias("k"), c("e.key").alias("key_"), c("e.value").alias("value_"), lists.join(listed, ",").alias("listed"), F.round(F.pow(size + 1, F.lit(-2)), 9).alias("negative"), F.round(F.pow(size, F.lit(0.5)), 9).alias("root"))
+
+
 def json_roundtrip(spark, d):
     path = scratch(spark, "json")
     sheets.json_array(load(spark, d, "region")).write.text(path)
@@ -249,13 +281,17 @@ def lines_read(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     int_math, float_mod, float_text, truthiness, coerced_eq, default_value, numeric_filter, string_case_len, path_parts, split_join, regex_sub, contains_str, cartesian_template, placeholders,
-    mem_units, list_slice, list_ops, range_ops, map_ops, settings_sig, cell_typing, tsv_roundtrip, csv_roundtrip, json_roundtrip, lines_read)}
+    mem_units, list_slice, list_ops, range_ops, map_ops, settings_sig, cell_typing, tsv_roundtrip, csv_roundtrip, tsv_skip, lines_skip, names_elided, maps_listed, json_roundtrip, lines_read)}
 SQL = {
     "int_math": INT_MATH, "float_mod": FLOAT_MOD, "float_text": FLOAT_TEXT, "truthiness": TRUTHINESS, "coerced_eq": COERCED_EQ, "default_value": DEFAULT_VALUE, "numeric_filter": NUMERIC_FILTER, "string_case_len": STRING_CASE_LEN,
     "path_parts": PATH_PARTS, "split_join": SPLIT_JOIN, "regex_sub": REGEX_SUB, "contains_str": CONTAINS_STR, "cartesian_template": CARTESIAN_TEMPLATE, "placeholders": PLACEHOLDERS, "mem_units": MEM_UNITS, "list_slice": LIST_SLICE,
     "list_ops": LIST_OPS, "range_ops": RANGE_OPS, "map_ops": MAP_OPS, "settings_sig": SETTINGS_SIG, "cell_typing": CELL_TYPING,
-    "tsv_roundtrip": "select n_nationkey::bigint n_nationkey, n_name, n_regionkey::bigint n_regionkey from nation",
-    "csv_roundtrip": "select s_suppkey, s_name || ', \"x\"' s_name, s_nationkey::bigint s_nationkey from supplier",
+    "tsv_roundtrip": "select c_custkey::bigint c_custkey, c_name, c_nationkey::bigint c_nationkey, c_acctbal, c_mktsegment from customer",
+    "csv_roundtrip": "select s_suppkey, s_name || ', \"x\"' || case when s_suppkey % 3 = 0 then chr(10) || 'more' else '' end s_name, s_nationkey::bigint s_nationkey from supplier",
+    "tsv_skip": "select p_partkey::varchar \"key\", p_name \"name\", case when p_size % 2 = 0 then p_size::varchar else '' end size from part",
+    "lines_skip": "select case when n_nationkey % 4 = 3 then '' else n_name end \"value\" from nation where n_nationkey >= 2",
+    "names_elided": "select n_nationkey, case when length(n_name) > 7 then n_name[1:6] || '…' else n_name end short, case when length(n_name) + 2 > 8 then 10 else length(n_name) + 2 end::bigint wide, n_name || '_x-y_z' host, n_name || '/x_y z' option_, n_name || '_x-y z' job from nation",
+    "maps_listed": "select n_nationkey, k::bigint k, key_, value_, case when n_nationkey % 2 = 0 then value_ else '' end listed, round(power(n_nationkey + 1, -2.0), 9) negative, round(power(n_nationkey, 0.5), 9) root from (select n_nationkey, 0 k, 'name' key_, n_name value_ from nation union all select n_nationkey, 1, 'region', n_regionkey::varchar from nation)",
     "json_roundtrip": "select r_name, r_regionkey::bigint r_regionkey from region",
     "lines_read": "select n_name \"value\" from nation where n_regionkey <> 0",
 }

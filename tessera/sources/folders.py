@@ -6,6 +6,7 @@ import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -19,3 +20,27 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: A table is broadcast only if its rows, counted as text, hold so many bytes at most.
+BROADCAST_BYTES = 32 << 20
+
+
+def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` (cheap to read, for it is measured), to be broadcast if it holds ``limit`` bytes at most."""
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct(*df.columns))))).first()[0] or 0
+    return F.broadcast(df) if size <= limit else df
+
+
+class Pile:
+    """A table that grows by whole writes to one folder; what was written before is never written again."""
+
+    def __init__(self, first: DataFrame, name: str):
+        self._spark, self._schema, self._path = first.sparkSession, first.schema, scratch(first.sparkSession, name)
+        self.add(first)
+
+    def add(self, more: DataFrame) -> None:
+        more.write.mode("append").parquet(self._path)
+
+    def now(self) -> DataFrame:
+        return self._spark.read.schema(self._schema).parquet(self._path)

@@ -7,37 +7,70 @@ fits all its cells.  Options are checked by the signatures: an unknown one is a
 
 from __future__ import annotations
 
+import csv
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.values import kind, text
 
 
-def read_delimited(spark: SparkSession, path: str, sep: str = "\t", header: bool = True, comment: str = "#", skip: int = 0, raw: bool = False) -> DataFrame:
-    """Records of a delimited file.
+def _records(text: DataFrame, comment: str) -> DataFrame:
+    """The lines of ``text`` (with ``value, _file, _at``) that are neither blank nor comments."""
+    out = text.where(F.trim("value") != "")
+    return out.where(~F.col("value").startswith(comment)) if comment else out
+
+
+def _heads(rows: DataFrame) -> DataFrame:
+    """``_file, _first``: the place of each file's first row; one small row a file."""
+    own = rows.where("_block = 0").groupBy("_file").agg(F.min("_at").alias("_first"))
+    return F.broadcast(own) if len(rows.inputFiles()) <= 100_000 else own
+
+
+def _placed(df: DataFrame) -> DataFrame:
+    return df.withColumns({"_file": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start"), "_at": F.monotonically_increasing_id()})
+
 
-    ``skip`` drops records, counted after comments and blank lines are gone and
-    before the header; it must be less than the records of the first input split.
-    Short records are filled with empty cells, extra cells dropped; of columns of
-    one name the last counts; without a header columns are ``c0, c1, ...``.
+def read_delimited(spark: SparkSession, path: str, sep: str = "\t", header: bool = True, comment: str = "#", skip: int = 0, raw: bool = False, multiline: bool | None = None) -> DataFrame:
+    """Records of a delimited file, or of a folder of files that each begin with the same header.
+
+    ``skip`` drops each file's first records, counted after comments and blank
+    lines are gone and before the header; they must lie in the file's first
+    input split.  The header (that of the first file) gives the columns: shorter
+    records are filled with empty cells, extra cells dropped; of columns of one
+    name the last counts.  Without a header columns are ``c0, c1, ...``, as many
+    as the widest record has.  Cells may hold quoted line feeds if ``multiline``,
+    by default if some line has an odd number of quotes; a file is then read by
+    one task.
     """
     if len(sep) != 1:
         raise ValueError("sep must be one character")
-    reader = spark.read.option("sep", sep).option("quote", '"').option("escape", '"').option("header", False).option("inferSchema", False)
-    if comment:
-        reader = reader.option("comment", comment[0])
-    rows = reader.csv(path)
-    at = skip + header
-    if header or skip:
-        rows = rows.withColumn("_at", F.monotonically_increasing_id())
-    cells = [c for c in rows.columns if c != "_at"]
-    names = {f"c{i}": c for i, c in enumerate(cells)}
+    comment = comment[:1]
+    text = _records(_placed(spark.read.text(path)), comment)
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    if multiline is None or not header:
+        seen = text.agg(F.bool_or(quotes % 2 == 1).alias("odd"), F.max(F.size(F.split("value", re.escape(sep)))).alias("wide")).first()
+        multiline = bool(seen.odd) if multiline is None else multiline
     if header:
-        first = rows.where(F.col("_at") == skip).select(*cells).first()
-        names = {name: c for c, name in zip(cells, first or (), strict=False) if name is not None}
-        # a header may be narrower or wider than the first record seen by the reader
-    if at:
-        rows = rows.where(F.col("_at") >= at)
+        at = _placed(spark.read.text(path)).join(_heads(text), "_file")
+        lines = _records(at.where("_block = 0 and _at >= _first"), comment).orderBy("_file", "_at").select("value").limit(skip + 1).collect()
+        cells = next(csv.reader([lines[skip].value.rstrip("\r")], delimiter=sep)) if len(lines) > skip else []
+    else:
+        cells = [f"c{i}" for i in range(seen.wide or 0)]
+    if not cells:
+        return spark.createDataFrame([], StructType([]))
+    schema = StructType([StructField(f"_{i}", StringType()) for i in range(len(cells))])
+    reader = spark.read.schema(schema).option("sep", sep).option("quote", '"').option("escape", '"').option("header", False).option("multiLine", multiline)
+    rows = _placed((reader.option("comment", comment) if comment else reader).csv(path))
+    if header or skip:
+        rows = rows.join(_heads(rows), "_file", "left").where((F.col("_block") != 0) | (F.col("_at") - F.col("_first") >= skip + header))
+    names = {name: f"_{i}" for i, name in enumerate(cells)}
+    if not header:  # separators inside quotes were counted
+        held = rows.agg(*(F.bool_or(F.col(c).isNotNull()).alias(c) for c in names.values())).first()
+        last = max((i for i, c in enumerate(names.values()) if held[c]), default=-1)
+        names = dict(list(names.items())[: last + 1])
     out = rows.select(*(F.coalesce(F.col(c), F.lit("")).alias(n) for n, c in names.items()))
     return out if raw else typed(out)
 
@@ -111,8 +144,19 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return df.select("path", F.lit(True).alias("exists"), (F.unix_micros("modificationTime") * 1000).alias("mtime"))
 
 
+def file_kinds(paths: DataFrame, files: DataFrame) -> DataFrame:
+    """``path, exists, isfile, isdir`` of each path; a folder is what files lie under."""
+    own = paths.select("path").distinct()
+    plain = F.regexp_replace(F.col("path"), "^file:/+", "/")
+    held = files.where("`exists`").select(plain.alias("path"))
+    above = held.select(F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size(F.split("path", "/")) - 1, F.lit(1))), lambda k: F.array_join(F.slice(F.split(F.col("path"), "/"), F.lit(1), k), "/"))).alias("path"))
+    out = own.join(held.distinct().withColumn("isfile", F.lit(True)), "path", "left").join(above.distinct().withColumn("isdir", F.lit(True)), "path", "left")
+    out = out.select("path", F.coalesce("isfile", F.lit(False)).alias("isfile"), F.coalesce("isdir", F.lit(False)).alias("isdir"))
+    return out.select("path", (F.col("isfile") | F.col("isdir")).alias("exists"), "isfile", "isdir")
+
+
 def write_delimited(df: DataFrame, path: str, sep: str = "\t", append: bool = False) -> None:
-    """Cells as texts, with a header."""
+    """Cells as texts; every part file has the header, which ``read_delimited`` expects."""
     cells = df.select(*(text(F.col(f"`{c}`"), t).alias(c) for c, t in df.dtypes))
     cells.write.mode("append" if append else "overwrite").option("sep", sep).option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
 
@@ -128,5 +172,5 @@ def write_json_lines(df: DataFrame, path: str, append: bool = False) -> None:
 
 
 def json_array(df: DataFrame) -> DataFrame:
-    """One row, one column: small results as a JSON array of objects."""
+    """One row, one column: a result as one JSON array of objects, for reports; the whole result must fit one text."""
     return df.agg(F.to_json(F.collect_list(F.struct(*df.columns))).alias("json"))

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.ledger import SCHEMA, order
+from ..operators.ledger import FILES, SCHEMA, order
 
 
 def records(spark: SparkSession, folder: str, files_per_trigger: int = 1000) -> DataFrame:
-    """New records of the folder's ``.jsonl`` files as they come."""
-    reader = spark.readStream.schema(SCHEMA).option("mode", "DROPMALFORMED").option("pathGlobFilter", "*.jsonl").option("maxFilesPerTrigger", files_per_trigger)
+    """New records of the folder's files as they come; a compaction's files come as records seen before."""
+    reader = spark.readStream.schema(SCHEMA).option("mode", "DROPMALFORMED").option("pathGlobFilter", FILES).option("maxFilesPerTrigger", files_per_trigger)
     return reader.json(folder).where("job_id is not null and job_id <> ''")
 
 
