@@ -21,32 +21,60 @@ def write(tmp_path, name, text):
     return str(path)
 
 
+SHEET = "plate\twell\tvolume\tnote\n#  not yet\n7\tA1\t2.5\tfirst\n\n7\tB12\t4\t\n8\tC3\t1\tlast\textra\n9\tD4\n"
+
+
 def test_tsv(spark, tmp_path):
-    df = sheets.read_tsv(spark, write(tmp_path, "a.tsv", "# a comment\nsample\tinput\tn\ns1\td/s1.bam\t3\ns2\td/s2.bam\t5\n"))
-    assert [tuple(r) for r in df.collect()] == [("s1", "d/s1.bam", 3), ("s2", "d/s2.bam", 5)] and dict(df.dtypes)["n"] == "bigint"
-    assert sheets.read_tsv(spark, write(tmp_path, "b.tsv", "id\tn\n01\t7\n"), raw=True).first().id == "01"
-    assert sheets.read_tsv(spark, write(tmp_path, "c.tsv", "a\tb\nc\td\n"), header=False).columns == ["c0", "c1"]
-    assert sheets.read_tsv(spark, write(tmp_path, "d.tsv", "x|y\n1|2\n"), sep="|").first().y == 2
-    assert sheets.read_tsv(spark, write(tmp_path, "e.tsv", "a\tb\tc\n1\t2\n")).first().c == ""
-    assert sheets.read_tsv(spark, write(tmp_path, "f.tsv", "junk line\na\tb\n1\t2\n"), skip=1).first().a == 1
-    assert sheets.read_tsv(spark, write(tmp_path, "g.tsv", "a\ta\n1\t2\n")).first().a == 2
-    with pytest.raises(ValueError):
-        sheets.read_tsv(spark, "x", sep="ab")
+    df = sheets.read_tsv(spark, write(tmp_path, "a.tsv", SHEET))
+    assert [tuple(r) for r in df.orderBy("well").collect()] == [(7, "A1", "2.5", "first"), (7, "B12", "4", ""), (8, "C3", "1", "last"), (9, "D4", "", "")]
+    assert dict(df.dtypes) == {"plate": "bigint", "well": "string", "volume": "string", "note": "string"}  # an empty cell keeps a text
+    assert [r.plate for r in sheets.read_tsv(spark, write(tmp_path, "b.tsv", "plate\n007\n"), raw=True).collect()] == ["007"]
+    assert sheets.read_tsv(spark, write(tmp_path, "c.tsv", "key\tkey\tv\nold\tnew\t1.5\n")).collect() == [("new", 1.5)]
+    assert sheets.read_tsv(spark, write(tmp_path, "d.tsv", "; half\nk;v\na;true\nb;false\n"), sep=";", comment="").count() == 3
+    for bad in ({"sep": "ab"}, {"sep": ""}):
+        with pytest.raises(ValueError):
+            sheets.read_tsv(spark, "x", **bad)
     with pytest.raises(TypeError):
-        sheets.read_tsv(spark, "x", other=1)
+        sheets.read_tsv(spark, "x", quote="'")
+
+
+def test_tsv_skip(spark, tmp_path):
+    """Columns come from the header, not from the lines before it, and every record keeps them."""
+    path = write(tmp_path, "s.tsv", "made by a robot\n# day 3\nbatch\tno\nplate\twell\tvolume\n1\tA1\t3\n2\tB2\t4\n")
+    assert [tuple(r) for r in sheets.read_tsv(spark, path, skip=2).orderBy("plate").collect()] == [(1, "A1", 3), (2, "B2", 4)]
+    bare = sheets.read_tsv(spark, path, skip=3, header=False)
+    assert bare.columns == ["c0", "c1", "c2"] and bare.count() == 2
+    assert sheets.read_tsv(spark, write(tmp_path, "t.tsv", "x\ny\tz\n1\t2\t3\n"), header=False).columns == ["c0", "c1", "c2"]
+    assert sheets.read_tsv(spark, write(tmp_path, "u.tsv", 'x\n"y\tz"\n'), header=False).columns == ["c0"]
+
+
+def test_many_files(spark, tmp_path):
+    """Each part file's header goes, whatever the parts' number, and so do empty files."""
+    own = spark.range(1000).selectExpr("id", "concat('w', id) as word", "if(id % 100 = 0, 'two\nlines', 'one') as cell")
+    for sep in (",", "\t"):
+        path = str(tmp_path / f"many{ord(sep)}")
+        sheets.write_delimited(own.repartition(7), path, sep)
+        sheets.write_delimited(own.limit(0), path, sep, append=True)
+        back = sheets.read_delimited(spark, path, sep)
+        assert sorted(map(tuple, back.collect())) == sorted(map(tuple, own.collect()))
+    assert sheets.read_csv(spark, write(tmp_path, "none.csv", "")).count() == 0
+    assert sheets.read_csv(spark, write(tmp_path, "head.csv", "a,b\n")).columns == ["a", "b"]
 
 
 def test_other_readers(spark, tmp_path):
-    assert sheets.read_csv(spark, write(tmp_path, "a.csv", 'sample,greeting\nP1,"hi, there"\n')).first().greeting == "hi, there"
-    df = sheets.read_json(spark, write(tmp_path, "a.json", '[{"sample":"a","n":3.0},{"sample":"b","n":5}]'))
-    assert df.columns == ["n", "sample"] and [r.n for r in df.collect()] == [3, 5]
+    df = sheets.read_json(spark, write(tmp_path, "a.json", '[{"tag":"u","size":4.0,"more":{"x":[1]}},{"tag":null,"size":9}]'))
+    assert df.columns == ["more", "size", "tag"] and [(r["size"], r.tag, r.more) for r in df.collect()] == [(4, "u", '{"x":[1]}'), (9, "", "")]
     with pytest.raises(ValueError):
-        sheets.read_json(spark, write(tmp_path, "b.json", '{"a":1}'))
-    path = write(tmp_path, "a.txt", "one\n# skip me\ntwo\n\nthree\n")
-    assert [r.value for r in sheets.read_lines(spark, path, comment="#").collect()] == ["one", "two", "", "three"]
-    assert sheets.read_lines(spark, path, comment="#", blank=False).count() == 3
-    assert sheets.read_paths(spark, path).count() == 4 and sheets.read_text(spark, path).count() == 1
-    assert sheets.read_files(spark, str(tmp_path)).count() >= 4
+        sheets.read_json(spark, write(tmp_path, "b.json", '{"tag":"u"}'))
+    path = write(tmp_path, "a.txt", "head\nalpha\r\n  # beta\n\ngamma\n")
+    assert [r.value for r in sheets.read_lines(spark, path, comment="#", skip=1).collect()] == ["alpha", "", "gamma"]
+    assert sheets.read_lines(spark, path, blank=False).count() == 4
+    assert sheets.read_paths(spark, path).count() == 4 and sheets.read_text(spark, path).first().value.startswith("head\nalpha")
+    (tmp_path / "in").mkdir()
+    write(tmp_path / "in", "x", "1")
+    files = sheets.read_files(spark, str(tmp_path))
+    paths = spark.createDataFrame([(f"{tmp_path}/in",), (f"{tmp_path}/in/x",), (f"{tmp_path}/out",)], "path string")
+    assert sorted(tuple(r)[1:] for r in sheets.file_kinds(paths, files).collect()) == [(False, False, False), (True, False, True), (True, True, False)]
 
 
 def test_texts(spark):
@@ -55,6 +83,7 @@ def test_texts(spark):
     for x, want in ((3.0, "3"), (1e6, "1e+06"), (0.5, "0.5"), (-1234567.5, "-1.2345675e+06"), (1e-5, "1e-05"), (0.0, "0"), (1e100, "1e+100"), (123456.0, "123456"), (0.00012, "0.00012")):
         assert one(spark, values.float_text(F.lit(x))) == want
     assert one(spark, strings.char_at(F.lit("aé"), 1)) == "é"
+    assert one(spark, strings.elide(F.lit("éé"), 4)) == "éé" and one(spark, strings.elide(F.lit("ééé"), 5)) == "éé…"
     with pytest.raises(ValueError):
         strings.sub(F.lit("a"), "(?=a)", "b")
     assert one(spark, lists.cut(F.array(F.lit(1), F.lit(2), F.lit(3)), -2)) == [2, 3]
@@ -101,10 +130,11 @@ def test_cycles(spark):
 
 
 @pytest.mark.parametrize(("state", "word", "end", "mtime", "want"), [
-    ("running", "RUNNING", None, None, "RUNNING"), ("done", "SUCCESS", None, 200, "SUCCESS"), ("done", "SUCCESS", None, 0, "DIRTY"), ("done", "SUCCESS", None, None, "DIRTY"),
-    ("unknown", "", None, 200, "COMPLETE"), ("unknown", "", None, None, "DIRTY"), ("done", "SUCCESS", 300, 900, "DIRTY"), ("done", "SUCCESS", 300, 400, "SUCCESS")])
+    ("queued", "WAITING", None, 5_000, "WAITING"), ("failed", "TIMEOUT", 1_100, 1_050, "TIMEOUT"), ("cancelled", "CANCELLED", None, None, "CANCELLED"), ("done", "OK", None, 1_000, "OK"), ("done", "OK", None, 999, "DIRTY"),
+    ("done", "OK", 1_500, 1_800, "OK"), ("done", "OK", 1_500, 1_801, "DIRTY"), ("done", "OK", 1_500, None, "DIRTY"), ("unknown", "", 1_500, 9_999, "COMPLETE"), ("unknown", "", None, 998, "DIRTY")])
 def test_reconcile(spark, state, word, end, mtime, want):
-    assert one(spark, status.reconcile(F.lit(word), F.lit(state), F.lit(100), F.lit(end).cast("long"), F.lit(mtime).cast("long"))) == want
+    """A job submitted at 1000 with one output: the word counts up to 300 seconds after the end, and not before submission."""
+    assert one(spark, status.reconcile(F.lit(word), F.lit(state), F.lit(1_000), F.lit(end).cast("long"), F.lit(mtime).cast("long"))) == want
 
 
 def test_node_states(spark):
@@ -112,16 +142,66 @@ def test_node_states(spark):
     files = spark.createDataFrame([("a", True, 1)], "path string, exists boolean, mtime long")
     got = status.node_states(nodes, files, spark.createDataFrame([("b", "7")], "path string, owner string"), spark.createDataFrame([("7", "running")], "job_id string, state string"))
     assert {r.name: r.state for r in got.collect()} == {"a": "Done", "b": "running", "c": "Pending"}
-    assert status.counts(got).count() == 3 and status.table_lines(got).count() == 3
+    assert {r.state: r.n for r in status.counts(got).collect()} == {"Done": 1, "running": 1, "Pending": 1}
 
 
 def test_compact(spark, tmp_path):
-    (tmp_path / "a").mkdir()
-    (tmp_path / "a" / "h-1-2-3.jsonl").write_text("\n".join(json.dumps(r) for r in (rec(200, "200", ["out.bam"]), rec(100, "100", ["out.bam"]))))
-    ledger.compact(spark, str(tmp_path / "a"), str(tmp_path / "b"))
-    assert [r.job_id for r in spark.read.schema(ledger.SCHEMA).json(str(tmp_path / "b")).collect()] == ["200"]
+    """Broken lines, other writers' logs and records appended in between; a compacted folder reads the same."""
+    folder = tmp_path / "led"
+    folder.mkdir()
+    (folder / "h-1-2-3.jsonl").write_text("\n".join(json.dumps(r) for r in (rec(200, "200", ["out.bam"]), rec(100, "100", ["out.bam"]))) + '\n{"ts": 9, "jo')
+    ledger.compact(spark, str(folder))
+    assert [r.job_id for r in ledger.read(spark, str(folder)).collect()] == ["200"] and not (folder / "h-1-2-3.jsonl").exists()
+    ledger.append(spark.createDataFrame([json.dumps(rec(300, "300", ["out.bam", "b"])), json.dumps(rec(50, "50", ["c"]))], "string").select(F.from_json("value", ledger.SCHEMA).alias("r")).select("r.*"), str(folder))
+    assert ledger.read(spark, str(folder)).count() == 3
+    ledger.compact(spark, str(folder))
+    ledger.compact(spark, str(folder))
+    left = ledger.read(spark, str(folder), snapshot=True)
+    assert sorted((r.job_id, tuple(r.outputs)) for r in left.collect()) == [("300", ("out.bam", "b")), ("50", ("c",))]
+    assert ledger.read(spark, str(tmp_path / "absent")).count() == 0
+    ledger.compact(spark, str(tmp_path / "absent"))
+    with pytest.raises(NotADirectoryError):
+        ledger.read(spark, write(tmp_path, "plain.jsonl", "{}"))
+
+
+def test_deep_graph(spark):
+    """As deep as it is long: no number of rounds is fixed."""
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(12)], "src string, dst string")
+    assert {r.name: r.layer for r in graph.layers(edges).collect()} == {f"n{i}": i for i in range(13)}
+    assert graph.reachable(edges, spark.createDataFrame([("n12",)], "name string")).count() == 13
+
+
+def test_dependencies(spark):
+    """A rule without a body is no job: what needs it runs if it would, but waits for nothing of it."""
+    rules = spark.createDataFrame([(1, ["a"], ["src"], {}, True), (2, ["all"], ["a"], {}, False), (3, ["z"], ["all", "far"], {}, True)], RULES).withColumn("ord", F.col("rule_id"))
+    files = spark.createDataFrame([("src", True, 5), ("a", True, 1), ("z", True, 9)], "path string, exists boolean, mtime long")
+    far = spark.createDataFrame([("far", "77")], "path string, owner string")
+    stale = graph.staleness(rules, files, external=far)
+    build = graph.to_build(rules, stale, files)
+    assert {r.rule_id for r in build.collect()} == {1, 2, 3} and {r.rule_id for r in graph.jobs(rules, build).collect()} == {1, 3}
+    assert {tuple(r) for r in graph.dependencies(rules, build, stale, files, far).collect()} == {(3, None, "77")}
+    assert [tuple(r) for r in graph.unmakeable(rules, files).collect()] == [(3, "far")] and graph.unmakeable(rules, files, far).count() == 0
+    assert [r.name for r in graph.goals(rules).collect()] == ["a"] and [r.name for r in graph.goals(rules, ["q"], ["z"]).collect()] == ["q"]
     with pytest.raises(ValueError):
-        sheet.products(spark.range(2), spark.range(3), most=2)
+        graph.goals(rules.limit(0))
+
+
+def test_fan_out(spark):
+    files = spark.createDataFrame([(1, "d/a.fq"), (2, "d/b.fq"), (3, "d/c.fq")], "n long, path string")
+    disk = spark.createDataFrame([("d/a.fq", True, 5), ("d/b.fq", True, 5), ("b.bam", True, 5), ("d/c.fq", True, 5), ("c.bam", True, 4)], "path string, exists boolean, mtime long")
+    got = sheet.fan_out(files, "x {@} {#}", ["{@.fq}.bam"], ["{^}.idx"], disk).orderBy("n").collect()
+    assert [(r.command, r.outs, r.ins, r.skipped) for r in got] == [("x a.fq 1", ["a.bam"], ["d/a.fq", "d/a.fq.idx"], False), ("x b.fq 2", ["b.bam"], ["d/b.fq", "d/b.fq.idx"], True), ("x c.fq 3", ["c.bam"], ["d/c.fq", "d/c.fq.idx"], False)]
+    assert not sheet.fan_out(files, "x", [], [], disk).where("skipped").count()
+
+
+def test_blocks(spark):
+    df = spark.createDataFrame([("a" if i % 3 else None, i) for i in range(100)], "g string, n int").repartition(5)
+    got = {(r.g, r.block): r["items"] for r in sheet.gather_blocks(df, ["g"], "n", ["n"], 10).collect()}
+    want = {}
+    for g, own in (("a", [i for i in range(100) if i % 3]), (None, [i for i in range(100) if not i % 3])):
+        want |= {(g, b): own[b * 10 : b * 10 + 10] for b in range((len(own) + 9) // 10)}
+    assert got == want and sheet.gather_blocks(df.limit(0), ["g"], "n", ["n"]).count() == 0
+    assert [r.n for r in sheet.enumerated(df, ["n"], "at").orderBy("at").select("n").collect()] == list(range(100))
 
 
 def test_ranges(spark):
