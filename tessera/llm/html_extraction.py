@@ -13,19 +13,28 @@ pages and if it has several; the whole page is valid always.  Valid classes
 nest by their paths into the template.  Running text (link text, menus, forms
 and the like not counted) belongs to the innermost token of the template around
 it; every token that has any of its own opens a slot, and the article is all
-slots in page order, so no running text lies outside.  Blocks of text that occur in
-``support`` of a host's pages, in ``contents`` (of eight hash classes of page
-contents) at least, are template text and no slot.  Hosts with fewer than ``least_pages`` pages, and
-pages without their host's tokens, use the page's own tokens by the same rule.
-In all cases an ``article`` or ``main`` element with ``mass`` of the running
-text is preferred, as the only slot.
+slots in page order, so no running text lies outside.  Only where the template
+has an ``article`` or ``main`` with ``mass`` of all running text is that the one
+slot.  Blocks of text that occur in ``support`` of a host's pages, in
+``contents`` (of eight hash classes of page contents) at least, are template
+text and no slot.  Hosts with fewer than ``least_pages`` pages, and pages
+without their host's tokens, use the page's own tokens by the same rule.  A
+host's template has at most ``1 / support`` times the tokens and blocks of its
+average page, for each stands in that share of its pages, so no host's is large.
 
 Within the slots, menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles and reader comments are left out by tag, role, class and id.
-Character references are decoded, white space inside a block becomes one space
-(so does ``br``), blocks are trimmed, empty ones dropped, and the rest joined
-by one line feed in page order.  A null or empty page has empty text; a null
-url is a host of its own; rows with equal ids are separate pages.
+scripts, styles and reader comments are left out, as whole elements: by tag, by
+role, and by class and id, if every part of such a name is a word for furniture
+or a neutral one (``related-posts``, but not ``related-work``).  An element
+inside a line of text (``span``, ``b``, ``a`` and the like) is never left out for
+its names, so no word of a sentence goes.  Character references are decoded,
+white space inside a block becomes one space (so does ``br``), blocks are
+trimmed, empty ones dropped, and the rest joined by one line feed in page order.
+
+A null or empty page has empty text; a null url is a host of its own; rows with
+equal ids are separate pages, and repeated rows have equal texts.  Pages of any
+length are read whole, one at a time; an empty table gives none; other columns,
+of any name, are left alone.
 """
 
 from __future__ import annotations
@@ -38,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled
+from .common import settled, small
 from .text import chunks
 
 _RAW = "script|style|textarea|title|noscript|iframe|template|svg|math|select|object|xmp"
@@ -53,11 +62,16 @@ _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _STRUCTURE = frozenset("body article main section div nav aside header footer table form ul ol dl menu center td fieldset figure".split())
 _OUT_TAGS = frozenset("head nav footer aside form button menu dialog fieldset".split())
+#: Words that name furniture, and words that go with them in its names.
 _OUT_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising banner promo promotion sponsor sponsored cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup "
     "sidebar sidenav nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager share sharing social related recommended recommendations comment comments disqus replies respond footer widget widgets "
     "toolbar login search".split()
 )
+_NEUTRAL = frozenset(
+    "site page main global primary secondary top bottom left right post posts entry article articles blog story stories content inner outer wrap wrapper container box bar block section area zone slot unit rail "
+    "column col row item items list link links group panel button buttons icon icons form thread reader user header".split()
+)
 _OUT_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar alert dialog alertdialog".split())
 _PARTS = re.compile(r"[-_\s:]+|(?<=[a-z])(?=[A-Z])")
 _DIGITS = re.compile(r"\d+")
@@ -71,14 +85,17 @@ def _attributes(rest: str) -> dict[str, str]:
 
 def _left_out(tag: str, at: dict[str, str], inside: bool) -> bool:
     """Whether the element is no part of an article; ``inside``: it lies in an article or main element."""
-    if tag in _OUT_TAGS or (tag == "header" and not inside) or "hidden" in at or at.get("aria-hidden") == "true" or at.get("role") in _OUT_ROLES:
+    if "hidden" in at:
+        return True
+    if tag in _INLINE:
+        return False
+    if tag in _OUT_TAGS or (tag == "header" and not inside) or at.get("aria-hidden") == "true" or at.get("role") in _OUT_ROLES:
         return True
     if tag in ("html", "body", "article", "main") and "comment" not in at.get("class", ""):
         return False
-    names = f"{at.get('class', '')} {at.get('id', '')}".split()
-    for name in names:
-        parts = [p.lower() for p in _PARTS.split(name) if p]
-        if parts and (parts[-1] in _OUT_NAMES or parts[0] in _OUT_NAMES or (parts[-1] == "header" and not inside) or (len(parts) > 1 and parts[-1].isdigit() and parts[-2] in _OUT_NAMES)):
+    for name in f"{at.get('class', '')} {at.get('id', '')}".split():
+        parts = [p.lower() for p in _PARTS.split(name) if p and not p.isdigit()]
+        if parts and ((parts[-1] == "header" and not inside) or (any(p in _OUT_NAMES for p in parts) and all(p in _OUT_NAMES or p in _NEUTRAL for p in parts))):
             return True
     return False
 
@@ -266,10 +283,11 @@ def templates(pages: DataFrame, support: float = 0.9, mass: float = 0.6, least_p
     tag = F.regexp_extract("path", r"([^/.]*)(?:\.[^/]*)?$", 1)
     grade = F.when(tag == "article", 2).when(tag == "main", 1)
     order = F.struct(grade.alias("grade"), (-F.size(parts)).alias("depth"), F.col("path").alias("path"))
-    best = valid.where((F.col("mass") >= mass * F.col("whole")) & grade.isNotNull()).groupBy("host").agg(F.array(F.max(order)["path"]).alias("best"))
-    classes = valid.groupBy("host", "vector").agg(F.collect_list(F.struct("path", "mass")).alias("tokens"))
+    classes = valid.groupBy("host", "vector").agg(F.collect_list(F.struct("path", "mass", "whole")).alias("tokens"))
     classes = classes.select("host", F.filter("tokens", lambda x: (F.size("tokens") > 1) | (x["path"] == "")).alias("tokens"))
     nested = classes.groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("tokens")).select("host", "tokens", F.explode("tokens").alias("t"))
+    inside = nested.select("host", "t.path", "t.mass", "t.whole").where((F.col("mass") >= mass * F.col("whole")) & grade.isNotNull())
+    best = inside.groupBy("host").agg(F.array(F.max(order)["path"]).alias("best"))
     around = F.filter("tokens", lambda x: (F.col("t.path") != x["path"]) & F.startswith(F.col("t.path"), F.concat(x["path"], F.lit("/"))))
     around = F.array_max(F.transform(around, lambda x: F.struct(F.length(x["path"]).alias("n"), x["path"].alias("path"))))["path"]
     own = nested.select("host", F.explode(F.array(F.struct(F.col("t.path").alias("path"), F.col("t.mass").alias("mass")), F.struct(around.alias("path"), (-F.col("t.mass")).alias("mass")))).alias("t"))
@@ -281,12 +299,10 @@ def templates(pages: DataFrame, support: float = 0.9, mass: float = 0.6, least_p
     return slots.join(texts, "host", "left")
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", support: float = 0.9, mass: float = 0.6, least_pages: int = 3, contents: int = 5, broadcast_hosts: int = 100_000) -> DataFrame:
-    """Per row: ``page_id, url, text``.  The templates are broadcast if counted at ``broadcast_hosts`` or fewer, else joined by host."""
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", support: float = 0.9, mass: float = 0.6, least_pages: int = 3, contents: int = 5) -> DataFrame:
+    """Per row: ``page_id, url, text``.  The templates are broadcast if their measured size allows, else joined by host."""
     own = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).withColumn("host", host_of(F.col("url")))
-    known = settled(templates(own, support, mass, least_pages, contents), "templates")
-    if known.count() <= broadcast_hosts:
-        known = F.broadcast(known)
+    known = small(settled(templates(own, support, mass, least_pages, contents), "templates"))
     joined = own.join(known, "host", "left").select("page_id", "url", "html", "slots", "texts")
     return joined.mapInArrow(_extract(mass), joined.select("page_id", "url", F.lit("").alias("text")).schema)
 
