@@ -6,26 +6,33 @@ the ``lexicon_words`` best become the lexicon.  The lexicon is compiled, with
 each word's ids as output, into a minimal acyclic transducer (equal suffixes
 share states; the sums of arc weights on a word's path number it, and the
 number finds its ids).  The file of the transducer goes to every executor with
-``addFile``, and its workers memory-map it.  Words outside the lexicon are
+``addFile`` (the driver's copy is removed when it ends), and its workers
+memory-map it.  Words outside the lexicon are
 merged exactly, in the order of merge ranks.
 
 A text is cut at the vocabulary's special tokens, put into NFC, lower-cased
 character by character, and split by the vocabulary's pattern; white space is
 dropped.  Decoding joins the tokens of the ids with one space, special tokens
-included.  Null is as empty: no ids and an empty decoded text.
+included.  Null is as empty: no ids and an empty decoded text.  Rows are encoded
+each for itself: repeated rows, shared and null ids change nothing, texts of any
+length are whole, an empty table gives an empty one, and columns of any name but
+the two that are read are left alone.
 """
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import heapq
 import json
 import mmap
 import os
+import shutil
 import tempfile
 import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -47,11 +54,17 @@ _WHITE = regex.compile(r"\p{White_Space}+")
 class Vocabulary:
     """Ids, merges and splitting rules of a word-end BPE vocabulary file."""
 
+    #: Words of more bytes are merged with a heap.
+    SHORT = 100
+
     def __init__(self, spec: str):
         j = json.loads(spec)
         self.ids: dict[str, int] = j["model"]["vocab"]
         self.rank = {tuple(m) if isinstance(m, list) else tuple(m.split(" ")): i for i, m in enumerate(j["model"]["merges"])}
         self.end = j["model"]["end_of_word_suffix"] or ""
+        self.pair_rank = {self.ids[a] << 32 | self.ids[b]: r for (a, b), r in self.rank.items()}
+        self.made = [self.ids[a + b] for a, b in self.rank]
+        self.byte_id, self.end_id = ([self.ids.get(BYTE_CHAR[b] + x) for b in range(256)] for x in ("", self.end))
         self.special = {t["content"]: t["id"] for t in j["added_tokens"]}
         names = self.ids | self.special
         self.names: list[str] = [""] * (max(names.values()) + 1)
@@ -83,8 +96,27 @@ class Vocabulary:
 
     def merge(self, word: str) -> list[int]:
         """The word's ids by the merges, lowest rank first, leftmost first."""
-        part = [BYTE_CHAR[b] for b in word.encode()]
-        part[-1] += self.end
+        data = word.encode()
+        if len(data) > self.SHORT:
+            part = [BYTE_CHAR[b] for b in data]
+            part[-1] += self.end
+            return self._merge_long(part)
+        own = [self.byte_id[b] for b in data]
+        own[-1] = self.end_id[data[-1]]
+        none, get = len(self.made), self.pair_rank.get
+        ranks = [get(a << 32 | b, none) for a, b in zip(own, own[1:], strict=False)]
+        while ranks and (least := min(ranks)) < none:
+            i = ranks.index(least)
+            own[i] = self.made[least]
+            del own[i + 1], ranks[i]
+            if i < len(ranks):
+                ranks[i] = get(own[i] << 32 | own[i + 1], none)
+            if i:
+                ranks[i - 1] = get(own[i - 1] << 32 | own[i], none)
+        return own
+
+    def _merge_long(self, part: list[str]) -> list[int]:
+        """The same with a heap, n log n in the word's bytes."""
         after = [*range(1, len(part)), -1]
         before = list(range(-1, len(part) - 1))
         heap = [(r, i, a, b) for i, (a, b) in enumerate(zip(part, part[1:], strict=False)) if (r := self.rank.get((a, b))) is not None]
@@ -234,7 +266,7 @@ def _frequent(shared, size: int):
 class Encoder:
     """Pieces to ids: a bounded cache, then the transducer, then exact merges."""
 
-    CACHE = 200_000
+    CACHE = 400_000
 
     def __init__(self, vocabulary: Vocabulary, transducer: Transducer):
         self.vocabulary, self.transducer, self.cache = vocabulary, transducer, {}
@@ -251,7 +283,7 @@ class Encoder:
         known = dict(zip(flat, self.transducer.find([w.encode() for w in flat]), strict=True))
         for w, ids in known.items():
             if ids is None:
-                known[w] = np.array(self.vocabulary.merge(w), "<u4").tobytes()
+                known[w] = pack(f"<{len(own := self.vocabulary.merge(w))}I", *own)
         for p, ws in zip(new, words, strict=True):
             self.cache[p] = b"".join(known[w] for w in ws) if ws else np.array([self.vocabulary.special[p[1:]]], "<u4").tobytes() if p[1:] in self.vocabulary.special else b""
 
@@ -262,14 +294,25 @@ class Encoder:
         return [b"".join(map(get, ps)) for ps in pieces]
 
 
+#: The encoder of this worker process: a worker runs many tasks of one job, and what it has learnt holds for all of them.
+_HELD: dict[str, Encoder] = {}
+
+
+def encoder_of(spec: str, file: str) -> Encoder:
+    if file not in _HELD:
+        _HELD.clear()
+        _HELD[file] = Encoder(Vocabulary(spec), Transducer(SparkFiles.get(file)))
+    return _HELD[file]
+
+
 def decode(ids: np.ndarray, vocabulary: Vocabulary) -> str:
     return " ".join(map(vocabulary.names.__getitem__, ids.tolist()))
 
 
 def _encode(shared, file: str, hashed: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(shared.value)
-        encoder = Encoder(vocabulary, Transducer(SparkFiles.get(file)))
+        encoder = encoder_of(shared.value, file)
+        vocabulary = encoder.vocabulary
         for batch in batches:
             for part in chunks(batch, "text"):
                 ids = encoder.encode(part.column("text").to_pylist())
@@ -297,6 +340,22 @@ def _vocabulary_file(spark: SparkSession, path: str | None) -> str:
         return f.read()
 
 
+def _lexicon_file(spark: SparkSession, spec: str, words: list[str]) -> str:
+    """The name under which executors find the transducer of ``words``; made once for the same words.
+
+    The driver serves the file to executors as long as the session runs, so it
+    goes when the driver ends.
+    """
+    key = hashlib.sha256("\0".join([spec, *sorted(words)]).encode()).hexdigest()[:24]
+    file = f"lexicon-{key}.bin"
+    if file not in {os.path.basename(x) for x in spark.sparkContext.listFiles}:
+        folder = tempfile.mkdtemp(prefix="lexicon-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        compile_lexicon(words, Vocabulary(spec), os.path.join(folder, file))
+        spark.sparkContext.addFile(os.path.join(folder, file))
+    return file
+
+
 def _run(docs: DataFrame, id_col: str, text_col: str, tokenizer: str | None, lexicon_words: int, summary_words: int, hashed: bool) -> DataFrame:
     spark = docs.sparkSession
     spec = _vocabulary_file(spark, tokenizer)
@@ -304,10 +363,7 @@ def _run(docs: DataFrame, id_col: str, text_col: str, tokenizer: str | None, lex
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     counted = own.select("text").mapInArrow(_frequent(shared, summary_words), "word string, n long")
     top = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(lexicon_words).collect()
-    folder = tempfile.mkdtemp()
-    file = f"lexicon-{hashlib.sha256(' '.join(sorted(r.word for r in top)).encode()).hexdigest()[:16]}-{os.path.basename(folder)}.bin"
-    compile_lexicon((r.word for r in top), Vocabulary(spec), os.path.join(folder, file))
-    spark.sparkContext.addFile(os.path.join(folder, file))
+    file = _lexicon_file(spark, spec, [r.word for r in top])
     ids = "ids_sha256 string, decoded_sha256 string" if hashed else "ids array<int>"
     return own.mapInArrow(_encode(shared, file, hashed), f"doc_id long, n_tokens long, {ids}")
 
