@@ -16,7 +16,11 @@ Of records with equal payloads of at least ``revisit_bytes`` bytes, that with
 the smallest id is a response and the others revisit it.  Ids are integers;
 rows that share the smallest id are all responses; rows with a null id revisit
 the response if there is one, and are responses if no row has an id.  Null
-payloads are as empty ones.  Other columns are left alone.
+payloads are as empty ones.  Repeated rows are records of their own, an empty
+table makes no archive, and other columns, of any name, are left alone.
+
+The writer gets a payload whole, as the table's row holds it, and hands it on
+in chunks; the reader never holds more than a chunk of one.
 """
 
 from __future__ import annotations
@@ -37,7 +41,7 @@ from pyspark.sql import functions as F
 
 from .common import settled, shared_folder
 
-RECORDS = "record long, url string, chunk int, offset long, size int, payload binary, running_digest string, last boolean, record_type string, refers_to long, payload_digest string, payload_bytes long"
+RECORDS = "record long, url string, chunk int, offset long, size int, payload binary, running_digest string, last boolean, record_type string, refers_to long, payload_digest string, payload_bytes long, record_urn string, refers_to_urn string"
 
 
 def base32(digest: bytes) -> str:
@@ -107,9 +111,11 @@ def marked(pages: DataFrame, id_col: str, url_col: str, payload: Column, revisit
     """
     own = pages.select(F.col(id_col).cast("long").alias("record"), F.col(url_col).alias("url"), F.coalesce(payload, F.lit(b"")).alias("payload"))
     own = own.withColumn("sha", F.unhex(F.sha1("payload")))
-    small = own.select("record", "sha", F.octet_length("payload").alias("size")).where(F.col("size") >= revisit_bytes)
-    first = small.groupBy("sha").agg(F.min("record").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null").select("sha", "first")
-    revisits = small.join(first, "sha").where(~F.col("record").eqNullSafe(F.col("first"))).select(F.col("record").alias("key"), F.col("sha").alias("key_sha"), "first").distinct()
+    large = own.select("record", "sha", F.octet_length("payload").alias("size")).where(F.col("size") >= revisit_bytes)
+    first = large.groupBy("sha").agg(F.min("record").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null").select("sha", "first")
+    # joined by a key of its own, so that the adaptive plan can split a payload that very many rows share
+    revisits = large.join(first.select(F.xxhash64("sha").alias("_h"), F.col("sha").alias("_sha"), "first"), (F.xxhash64("sha") == F.col("_h")) & (F.col("sha") == F.col("_sha")))
+    revisits = revisits.where(~F.col("record").eqNullSafe(F.col("first"))).select(F.col("record").alias("key"), F.col("sha").alias("key_sha"), "first").distinct()
     joined = own.join(revisits, own.record.eqNullSafe(revisits.key) & (own.sha == revisits.key_sha), "left")
     return joined.select("record", "url", "payload", "sha", F.when(F.col("first").isNull(), "response").otherwise("revisit").alias("record_type"), F.col("first").alias("refers_to"))
 
@@ -170,14 +176,17 @@ class _Stream:
         while (end := self.ready.find(b"\r\n\r\n")) < 0:
             if not self.fill(len(self.ready) + 1):
                 return None
-        lines = self.take(end + 4).decode().split("\r\n")
-        return {k.lower(): v for k, _, v in (x.partition(": ") for x in lines[1:] if x)}
+        lines = self.take(end + 4).decode(errors="replace").split("\r\n")
+        return {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:] if x)}
 
 
 def _read(folder: str, chunk_bytes: int, payloads: bool):
+    def name(urn: str | None) -> str | None:
+        return (urn or "").strip().removeprefix("<").removesuffix(">").removeprefix("urn:page:") or None
+
     def page(urn: str | None) -> int | None:
-        name = (urn or "").removeprefix("<urn:page:").removesuffix(">")
-        return int(name) if name else None
+        own = name(urn) or ""
+        return int(own) if own.lstrip("-").isdigit() else None
 
     def rows(paths: Iterator[str]) -> Iterator[tuple]:
         store, _ = fs.FileSystem.from_uri(folder)
@@ -185,26 +194,29 @@ def _read(folder: str, chunk_bytes: int, payloads: bool):
             with store.open_input_stream(path) as raw:
                 stream = _Stream(raw, chunk_bytes)
                 while (head := stream.head()) is not None:
-                    left, at, k, sha = int(head["content-length"]), 0, 0, hashlib.sha1()
-                    stated = head["warc-payload-digest"].removeprefix("sha1:")
+                    left, at, k, sha, kind = int(head["content-length"]), 0, 0, hashlib.sha1(), head.get("warc-type", "")
+                    urn, given = head.get("warc-record-id"), head.get("warc-payload-digest", "")
+                    stated = given.removeprefix("sha1:") if given.startswith("sha1:") else None
+                    bare = kind == "response" and not head.get("content-type", "").startswith("application/http")
+                    own = kind != "revisit"
                     while True:
                         part = stream.take(min(left, chunk_bytes))
                         if len(part) < min(left, chunk_bytes):
-                            raise ValueError(f"{path}: record {head['warc-record-id']} is cut short")
+                            raise ValueError(f"{path}: record {urn} is cut short")
                         sha.update(part)
                         left -= len(part)
                         running = base32(sha.digest())
-                        if not left and head["warc-type"] == "response" and running != stated:
-                            raise ValueError(f"{path}: record {head['warc-record-id']} has digest {running}, not {stated}")
-                        own = head["warc-type"] == "response"
-                        whole = at + len(part) if own else int(head["x-payload-length"])
-                        yield page(head["warc-record-id"]), head["warc-target-uri"], k, at, len(part), part if payloads else None, running, not left, head["warc-type"], page(head.get("warc-refers-to")), running if own else stated, whole
+                        if not left and bare and stated is not None and running != stated:
+                            raise ValueError(f"{path}: record {urn} has digest {running}, not {stated}")
+                        whole = at + len(part) if own or "x-payload-length" not in head else int(head["x-payload-length"])
+                        digest = running if own or stated is None else stated
+                        yield page(urn), head.get("warc-target-uri"), k, at, len(part), part if payloads else None, running, not left, kind, page(head.get("warc-refers-to")), digest, whole, name(urn), name(head.get("warc-refers-to"))
                         at, k = at + len(part), k + 1
                         if not left:
                             break
                     stream.take(4)
 
-    types = [pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.string(), pa.bool_(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+    types = [pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.string(), pa.bool_(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string()]
     names = [x.split()[0] for x in RECORDS.split(", ")]
 
     def packed(held: list[tuple]) -> pa.RecordBatch:
@@ -225,7 +237,12 @@ def _read(folder: str, chunk_bytes: int, payloads: bool):
 
 
 def read_archives(manifest: DataFrame, folder: str, chunk_bytes: int = 1 << 20, payloads: bool = True) -> DataFrame:
-    """The chunk rows of the archives in ``manifest``; one task a file at most.
+    """The chunk rows of the archives in ``manifest`` (column ``path``); one task a file at most.
+
+    Archives of other writers are read too: records of every type, ids as texts
+    in ``record_urn`` and ``refers_to_urn`` (``record`` and ``refers_to`` are
+    null where they are not this writer's numbers), and digests checked where
+    they are stated for the bytes that the record holds, computed otherwise.
 
     Columns: ``RECORDS``.  ``payload`` is null without ``payloads``;
     ``payload_digest`` and ``payload_bytes`` are those of the payload as far as
