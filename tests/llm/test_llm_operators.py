@@ -49,11 +49,12 @@ def test_substring_dedup(docs, odd, cells):
         assert got == window_removal(rows, 20)
 
 
-def test_suffix_dedup(docs, odd):
+def test_suffix_dedup(docs, odd, none):
     for df in (docs, odd):
-        rows = [(r.doc_id, r.text) for r in df.where("doc_id is not null").select("doc_id", "text").collect()]
-        got = sorted((tuple(r) for r in suffix_dedup.drop_repeats(df.where("doc_id is not null")).collect()), key=str)
+        rows = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
+        got = sorted((tuple(r) for r in suffix_dedup.drop_repeats(df).collect()), key=str)
         assert got == window_removal(rows, 50)
+    assert suffix_dedup.drop_repeats(none).count() == 0 and suffix_dedup.repeats(none).count() == 0 and substring_dedup.drop_repeated_windows(none).count() == 0
 
 
 def shingles(text):
@@ -249,6 +250,8 @@ def test_bpe(spark, docs, odd, none):
         want = tok.encode(r.text or "", add_special_tokens=False).ids
         assert ids[r.doc_id] == want and back[r.doc_id] == tok.decode(want, skip_special_tokens=False)
     assert bpe.encode(none).count() == 0
+    rows = sorted(((r.doc_id, r.ids) for r in bpe.encode(odd, lexicon_words=50).collect()), key=str)
+    assert rows == sorted(((r.doc_id, tok.encode(r.text or "", add_special_tokens=False).ids) for r in odd.collect()), key=str)
 
 
 def test_transducer(tmp_path):
@@ -282,6 +285,27 @@ def test_warc(spark):
     assert warc.read_archives(warc.write_archives(pages.limit(0), folder), folder).count() == 0
 
 
+def test_warc_foreign(spark):
+    """Archives of other writers: other types, ids that are no numbers, HTTP heads inside, no digests."""
+    import gzip
+    from pyarrow import fs
+
+    def member(kind, body, *more, urn="<urn:uuid:0-1>"):
+        head = ["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: {urn}", *more, f"Content-Length: {len(body)}"]
+        return gzip.compress("\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n")
+
+    http = b"HTTP/1.1 200 OK\r\n\r\n<p>x"
+    parts = [member("warcinfo", b"software: s"), member("response", http, "WARC-Target-URI:http://a/", "Content-Type: application/http; msgtype=response", "WARC-Payload-Digest: sha1:" + base64.b32encode(hashlib.sha1(b"<p>x").digest()).decode()), member("revisit", b"", "WARC-Refers-To: <urn:uuid:0-1>", urn="<urn:uuid:0-2>")]
+    folder = warc.archive_folder(spark)
+    store, root = fs.FileSystem.from_uri(folder)
+    store.create_dir(root)
+    with store.open_output_stream(f"{root}/other.warc.gz") as out:
+        out.write(b"".join(parts))
+    got = warc.records(warc.read_archives(spark.createDataFrame([(f"{root}/other.warc.gz",)], "path string"), folder, chunk_bytes=7)).orderBy("record_type").collect()
+    assert [(r.record_type, r.record, r.payload_bytes, r.url) for r in got] == [("response", None, len(http), "http://a/"), ("revisit", None, 0, None), ("warcinfo", None, 11, None)]
+    assert got[0].payload_digest == base64.b32encode(hashlib.sha1(http).digest()).decode()
+
+
 def test_html(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     got = {r.page_id: r.text for r in html_extraction.extract(pages).collect()}
@@ -291,6 +315,40 @@ def test_html(spark):
         assert got[r.page_id] == "\n".join(b for b in blocks if b)
 
 
+def test_html_words(spark):
+    """Names of elements inside a line take no word away, nor do names that only begin like furniture."""
+    page = '<body><article><p>Known as <span class="search-term">quark</span> and <b class="ad-hoc">boson</b>, <a class="nav-link" href="x">see</a>.</p><div class="related-work"><p>Earlier work %d</p></div><div class="related-posts"><p>More posts</p></div><div id="comment-list"><p>first!</p></div></article></body>'
+    rows = [(i, f"http://w/{i}", page % i) for i in range(12)]
+    got = {r.page_id: r.text for r in html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i].split("\n")[-1] == f"Earlier work {i}" for i in range(12))
+    one = html_extraction.Page(page % 1).extract([""], frozenset(), html_extraction.block_key)
+    assert one == "Known as quark and boson, see.\nEarlier work 1"
+
+
+def test_html_sites(spark):
+    """Pages made without article or main, by layouts whose text is known, against a plain search of their templates."""
+    draw = np.random.default_rng(11)
+
+    def prose():
+        return " ".join(f"w{int(x)}" for x in draw.integers(0, 10**6, 30))
+
+    layouts = {
+        "plain": ('<body><div class="top"><nav><a href="a">home</a></nav></div><div class="text">{a}{b}</div><div class="foot">Made by us</div></body>', "ab"),
+        "split": ('<body><table><tr><td class="lead">{a}</td><td class="ad-box"><p>Buy {x}</p></td></tr></table><section class="rest">{b}{c}</section><div class="footer"><p>{x}</p></div></body>', "abc"),
+        "deep": ('<body><div id="w"><div class="col"><div class="box">{a}<div class="share-buttons"><p>tell {x}</p></div>{b}</div></div><div class="col2"><ul><li><a href="q">{x}</a></li></ul></div></div><form><p>{x}</p></form></body>', "ab"),
+    }
+    rows, want = [], {}
+    for site, (layout, order) in layouts.items():
+        for k in range(14):
+            text = {c: prose() for c in "abcx"}
+            rows.append((len(rows), f"http://{site}.example/{k}", layout.format(**{c: f"<p>{t}</p>" if c != "x" else t for c, t in text.items()})))
+            want[len(want)] = "\n".join(text[c] for c in order)
+    rows += [(len(rows), rows[3][1], rows[3][2]), (1000, "http://plain.example/long", layouts["plain"][0].format(a="<p>" + "long word " * 300_000 + "</p>", b="", x=""))]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, url string, html string, host string, slots int")
+    got = {r.page_id: r.text for r in html_extraction.extract(df).collect()}
+    assert {k: got[k] for k in want} == want and got[len(want)] == want[3] and got[1000] == ("long word " * 300_000).strip()
+
+
 def test_html_template(spark):
     page = (
         '<!DOCTYPE html><html><body class="has-sidebar"><header><h1>Site</h1><nav>x</nav></header><div class="cookie-notice">Cookies</div><div id="content"><p>Hello &amp;amp; <b>bo</b>ld<br>line &eacute;&nbsp;%d</p>'
