@@ -384,7 +384,7 @@ def _verify(threshold: float):
     return run
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8, recall: float = 0.999, brute: int = 64, bucket_rows: int = 50_000, block: int = 512) -> DataFrame:
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8, recall: float = 0.999, brute: int = 64, bucket_rows: int = 2048, block: int = 512) -> DataFrame:
     """Per row: ``doc_id, class_id, n_links``.
 
     ``class_id`` is the least id among the documents joined by links of
