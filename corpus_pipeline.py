@@ -1,7 +1,16 @@
 """A corpus pipeline in five stages, each one of the numbered operators.
 
 Every stage works on all rows that its predecessor kept.  The first four return
-the columns of ``documents``; the last returns the token ids of what is left.
+the columns of ``documents``, with any others that the table has, whatever their
+names; the last returns the token ids of what is left.
+
+Null and empty texts have no words, so the first stage rejects them; where a
+stage is used alone, they have no lines to lose, are no near copies, hold no
+benchmark passage, and have no tokens.  Rows with a null id are judged by their
+text as all others, and none is another's near copy.  Of rows that share an id
+the near-copy stage keeps one at most; the other stages judge each by its own
+text, repeated rows alike.  Very long texts are read whole.  An empty table
+stays empty through all stages.
 """
 
 from __future__ import annotations
