@@ -10,8 +10,11 @@ window over it also starts in a document with a smaller id.
    a document, in a count-min sketch (counts saturate at two); the partitions'
    sketches are merged block by block.
 2. The merged sketch, one bit a cell, is broadcast.  Its size follows the
-   number of words up to ``max_cells``; beyond that, more windows are estimated
-   repeated and the second pass groups more of them, but none is lost.
+   length of the texts, up to ``max_cells``.  Beyond ``FULL`` characters a cell
+   it would rule out little, so its cells are dealt out instead: the minimisers
+   are counted where their cells are (a cell for each 64-bit hash), and each
+   document gets back those of its own that are counted twice.  Counts are never
+   too low either way, and the results are the same.
 3. Windows estimated repeated are grouped exactly, by 128 bits of hash.  Each
    chunk of text first keeps the smallest document of each window, so a
    passage of very many documents sends one row a chunk.
@@ -36,13 +39,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import Words, chunks, mix, starts, windows
+from .common import apart, settled
+from .text import Words, chunks, mix, windows
 
 DEPTH = 2
 BLOCK_BITS = 16
+#: Characters of text a cell of the broadcast sketch, at most: some six cells a minimiser are left.
+FULL = 16
 
 
 def minimisers(words: Words, hashes: np.ndarray, width: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
@@ -110,9 +117,8 @@ def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"level": pdf["level"].iloc[:1], "block": pdf["block"].iloc[:1], "bits": [np.packbits(total > 1).tobytes()]})
 
 
-def sketch(docs: DataFrame, width: int, anchor: int, max_cells: int) -> tuple[int, list[np.ndarray]]:
-    """Cell bits and, for each row of the merged sketch, a bit for each cell counted twice or more."""
-    size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+def sketch(docs: DataFrame, width: int, anchor: int, max_cells: int, size: int) -> tuple[int, list[np.ndarray]]:
+    """Cell bits and, for each row of the merged sketch, a bit for each cell counted twice or more; ``size`` is the texts' length."""
     bits = min(max(int(size).bit_length() - 2, 17), int(max_cells).bit_length() - 1)
     rows = (
         docs.select("text")
@@ -137,6 +143,49 @@ def estimated(least: np.ndarray, merged: tuple[int, list[np.ndarray]]) -> np.nda
     return out
 
 
+def _minimiser_rows(width: int, anchor: int):
+    """The different minimisers of each document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                words = Words(part.column("text"))
+                at, least = minimisers(words, words.hashes(), width, anchor)
+                row = words.row()[at]
+                order = np.lexsort((least, row))
+                least, row = least[order], row[order]
+                new = np.ones(len(row), bool)
+                new[1:] = (least[1:] != least[:-1]) | (row[1:] != row[:-1])
+                own = pa.array(row[new])
+                yield pa.RecordBatch.from_arrays([pa.array(least[new].view(np.int64)), part.column("doc_id").take(own), part.column("tag").take(own)], names=["value", "doc_id", "tag"])
+
+    return run
+
+
+def prefiltered(docs: DataFrame, width: int, anchor: int, max_cells: int) -> tuple[DataFrame, object]:
+    """``docs`` (``doc_id, text, tag``) with ``often``, and the broadcast sketch; one of the two says what may be repeated."""
+    size = int(docs.agg(F.sum(F.length("text"))).first()[0] or 0)
+    if size <= FULL * max_cells:
+        shared = docs.sparkSession.sparkContext.broadcast(sketch(docs, width, anchor, max_cells, size))
+        return docs.withColumn("often", F.lit(None).cast("array<bigint>")), shared
+    rows = docs.where("doc_id is not null").mapInArrow(_minimiser_rows(width, anchor), "value long, doc_id long, tag long")
+    twice = rows.groupBy("value").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(apart(F.col("value")).alias("_v"))
+    back = rows.join(twice, apart(F.col("value")) == F.col("_v")).groupBy(F.col("doc_id").alias("_d"), F.col("tag").alias("_t")).agg(F.collect_set("value").alias("often"))
+    back = settled(back, "repeated-minimisers")
+    return docs.join(back, (F.col("doc_id") == F.col("_d")) & (F.col("tag") == F.col("_t")), "left").select("doc_id", "text", "tag", "often"), None
+
+
+def maybe_repeated(part: pa.RecordBatch, row: np.ndarray, least: np.ndarray, shared) -> np.ndarray:
+    """Whether the minimisers, of the given rows of ``part``, may stand in two documents or more."""
+    if shared is not None:
+        return estimated(least, shared.value)
+    column = part.column("often")
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+    count = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    of = np.repeat(np.arange(part.num_rows, dtype=np.uint64), count)
+    return np.isin(mix(least ^ mix(row.astype(np.uint64))), mix(flat ^ mix(of)))
+
+
 _NARROW = "h1 long, h2 long, doc_id long, at long, n int"
 
 
@@ -151,7 +200,7 @@ def _candidates(shared, width: int, anchor: int):
                 hashes = words.hashes()
                 at, least = minimisers(words, hashes, width, anchor)
                 row = words.row()[at]
-                keep = np.asarray(ids.is_valid())[row] & estimated(least, shared.value)
+                keep = np.asarray(ids.is_valid())[row] & maybe_repeated(part, row, least, shared)
                 if not keep.any():
                     continue
                 pick = np.flatnonzero(keep)
@@ -221,8 +270,8 @@ def drop_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """Per row: ``doc_id, n_words, n_removed, kept_text`` (kept words joined by one space)."""
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("tag"))
-    shared = spark.sparkContext.broadcast(sketch(own, width, min(anchor, width), max_cells))
-    found = own.mapInArrow(_candidates(shared, width, min(anchor, width)), _NARROW)
+    sifted, shared = prefiltered(own, width, min(anchor, width), max_cells)
+    found = sifted.mapInArrow(_candidates(shared, width, min(anchor, width)), _NARROW)
     repeats = spark.sql(
         """select doc_id as key, collect_list(struct(at, n)) as spans
            from (select doc_id, at, n, min(doc_id) over (partition by h1, h2) as first from {found})

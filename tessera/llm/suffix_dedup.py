@@ -17,10 +17,18 @@ matches of ``width`` words or more are passages.  Each task keeps a document's
 passages that lie in no other one, so a document of a large group of near
 copies does not have a row for each pair.
 
+Neighbours are taken within a run of equal windows, and not simply in the order
+of suffixes: the neighbour there shares most words to the right, but a passage
+may lie mostly to the left of its minimiser, and then the document that shares
+it can stand further off in that order.
+
 Within a chunk of text all suffixes of a run are compared with the chunk's
 first, which alone is sorted with the others', so a passage of very many
-documents sends a row a chunk.  Rows with a null id or text take no part; rows
-that share an id are not compared with each other.
+documents sends a row a chunk.  Windows are told apart by 64 bits of hash, but
+only words that are equal, one by one (by 64 bits each), make a passage.  Rows with a null id or text take no part; rows
+that share an id are not compared with each other, and repeated rows have the
+same passages.  Texts of any length are whole; an empty table has no passages;
+columns of any name but those read are left alone.
 """
 
 from __future__ import annotations
@@ -33,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .substring_dedup import _keep, estimated, minimisers, sketch
+from .substring_dedup import _keep, maybe_repeated, minimisers, prefiltered
 from .text import Words, chunks, mix, windows
 
 _PLACE = (1 << 36) - 1
@@ -67,7 +75,7 @@ def _suffixes(shared, width: int, anchor: int, step: int):
                 words = Words(part.column("text"))
                 hashes = words.hashes()
                 at, suffix, least = sparse_suffixes(words, hashes, width, anchor)
-                often = estimated(least, shared.value)
+                often = maybe_repeated(part, words.row()[at], least, shared)
                 at, suffix = at[often], suffix[often]
                 begin = np.unique(suffix - (suffix - at) // step * step)
                 first, value = windows(words, hashes, width - step + 1)
@@ -96,7 +104,8 @@ def _repeating(shared, width: int, anchor: int):
                 words = Words(part.column("text"))
                 at, least = minimisers(words, words.hashes(), width, anchor)
                 keep = np.zeros(part.num_rows, bool)
-                keep[words.row()[at[estimated(least, shared.value)]]] = True
+                row = words.row()[at]
+                keep[row[maybe_repeated(part, row, least, shared)]] = True
                 yield part.filter(pa.array(keep))
 
     return run
@@ -174,7 +183,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     one of the documents that have it; ``tag`` tells rows of one id apart.
     """
     own = _documents(docs, id_col, text_col).where("doc_id is not null and text is not null")
-    shared = own.sparkSession.sparkContext.broadcast(sketch(own, width, anchor, max_cells))
+    own, shared = prefiltered(own, width, anchor, max_cells)
     sparse = own.mapInArrow(_suffixes(shared, width, anchor, step), "key long, doc_id long, place long, ref_id long, ref_place long")
     compared = sparse.sparkSession.sql(
         """select doc_id, place, explode(array_distinct(array(leader, before, near))) as ref from (
@@ -187,7 +196,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     shift = F.col("place").bitwiseAND(F.lit(_PLACE)) - F.col("ref.place").bitwiseAND(F.lit(_PLACE))
     pairs = compared.select("doc_id", tag.alias("tag"), F.col("ref.doc_id").alias("ref_id"), ref_tag.alias("ref_tag"), shift.alias("shift"))
     pairs = pairs.groupBy("doc_id", "tag", "ref_id", "ref_tag").agg(F.collect_set("shift").alias("shifts"))
-    own = own.mapInArrow(_repeating(shared, width, anchor), own.schema)
+    own = own.mapInArrow(_repeating(shared, width, anchor), own.schema).drop("often")
     refs = own.select(F.col("doc_id").alias("ref_id"), F.col("text").alias("ref_text"), F.col("tag").alias("ref_tag"))
     joined = pairs.join(refs, ["ref_id", "ref_tag"]).join(own, ["doc_id", "tag"])
     joined = joined.select("doc_id", "tag", "ref_id", "shifts", "text", "ref_text").sortWithinPartitions("doc_id", "tag")

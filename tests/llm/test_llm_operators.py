@@ -41,7 +41,7 @@ def window_removal(rows, width):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("cells", [1 << 28, 1 << 17])
+@pytest.mark.parametrize("cells", [1 << 28, 1 << 17, 1 << 10])
 def test_substring_dedup(docs, odd, cells):
     for df in (docs, odd):
         rows = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
@@ -49,10 +49,11 @@ def test_substring_dedup(docs, odd, cells):
         assert got == window_removal(rows, 20)
 
 
-def test_suffix_dedup(docs, odd, none):
+@pytest.mark.parametrize("cells", [1 << 28, 1 << 10])
+def test_suffix_dedup(docs, odd, none, cells):
     for df in (docs, odd):
         rows = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
-        got = sorted((tuple(r) for r in suffix_dedup.drop_repeats(df).collect()), key=str)
+        got = sorted((tuple(r) for r in suffix_dedup.drop_repeats(df, max_cells=cells).collect()), key=str)
         assert got == window_removal(rows, 50)
     assert suffix_dedup.drop_repeats(none).count() == 0 and suffix_dedup.repeats(none).count() == 0 and substring_dedup.drop_repeated_windows(none).count() == 0
 
