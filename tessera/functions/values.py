@@ -14,6 +14,16 @@ def kind(cell: Column) -> Column:
     return F.when(cell.isin("true", "false"), "bool").when(whole, "int").when(cell.rlike(FLOAT), "float").otherwise("string")
 
 
+#: The words for the types of values.
+TYPE_WORDS = {"boolean": "bool", "tinyint": "int", "smallint": "int", "int": "int", "bigint": "int", "float": "float", "double": "float", "string": "string", "void": "null", "array": "list", "map": "map"}
+
+
+def type_word(c: Column) -> Column:
+    """The word for the type of a column's values."""
+    name = F.regexp_extract(F.typeof(c), "^([a-z]*)", 1)
+    return F.coalesce(F.create_map(*(F.lit(x) for pair in TYPE_WORDS.items() for x in pair))[name], name)
+
+
 def float_text(c: Column) -> Column:
     """Shortest text of a double: plain from 1e-4 to below 1e6, else with an exponent of two digits or more."""
     s = F.abs(c).cast("string")

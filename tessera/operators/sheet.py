@@ -44,6 +44,15 @@ def enumerated(df: DataFrame, order: list[str], as_: str = "n") -> DataFrame:
     return dealt.join(F.broadcast(starts), "_part").withColumn(as_, F.col("_start") + F.col("_row") - F.col("_first") + 1).drop("_part", "_row", "_size", "_first", "_start")
 
 
+def enumerated_within(df: DataFrame, key: list[str], order: list[str], as_: str = "n") -> DataFrame:
+    """Rows numbered from 1 in the order of each key, however many rows a key has; null keys are one key."""
+    own = settled(enumerated(df, [*key, *order], "_n"), "places")
+    first = own.groupBy(*key).agg(F.min("_n").alias("_first")).withColumns({f"_k{i}": F.col(k) for i, k in enumerate(key)}).drop(*key)
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(key)), F.lit(True))
+    placed = own.join(first, same) if key else own.crossJoin(F.broadcast(first))
+    return placed.withColumn(as_, F.col("_n") - F.col("_first") + 1).select(*df.columns, as_)
+
+
 def group_gather(df: DataFrame, key: str, value: str, order: list[str], as_: str = "items") -> DataFrame:
     """A row for each key with its values in order; ``first`` is the key's first place.
 
@@ -59,12 +68,10 @@ def gather_blocks(df: DataFrame, key: list[str], value: str, order: list[str], s
     However many rows a key has, they are sorted by ranges of (key, order), and
     no row of the result holds more than ``size`` values.
     """
-    own = settled(enumerated(df.select(*key, F.col(value).alias("_v"), *(F.col(c).alias(f"_o{i}") for i, c in enumerate(order))), [*key, *(f"_o{i}" for i in range(len(order)))], "_n"), "places")
-    first = own.groupBy(*key).agg(F.min("_n").alias("_first")).withColumns({f"_k{i}": F.col(k) for i, k in enumerate(key)}).drop(*key)
-    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(key)), F.lit(True))
-    placed = own.join(first, same) if key else own.crossJoin(F.broadcast(first))
-    block = F.floor((F.col("_n") - F.col("_first")) / size).alias("block")
-    return placed.groupBy(*key, block).agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "_v"))), lambda p: p["_v"]).alias(as_))
+    places = [f"_o{i}" for i in range(len(order))]
+    own = enumerated_within(df.select(*key, F.col(value).alias("_v"), *(F.col(c).alias(p) for c, p in zip(order, places, strict=True))), key, places, "_at")
+    block = F.floor((F.col("_at") - 1) / size).alias("block")
+    return own.groupBy(*key, block).agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_v"))), lambda p: p["_v"]).alias(as_))
 
 
 def gather(df: DataFrame, value: str, order: list[str], as_: str = "items") -> DataFrame:

@@ -282,6 +282,12 @@ def graph_layers(spark, d):
     return graph.layers(_lineage(spark, d)).select("name", c("layer").cast("bigint").alias("layer"))
 
 
+def graph_places(spark, d):
+    """Each node's layer and its row in it, by name."""
+    own = sheet.enumerated_within(graph.layers(_lineage(spark, d)), ["layer"], ["name"], "place")
+    return own.select("name", c("layer").cast("bigint").alias("layer"), c("place").cast("bigint").alias("place"))
+
+
 def graph_dot(spark, d):
     e = load(spark, d, "nation").select(c("n_regionkey").cast("string").alias("src"), c("n_name").alias("dst"))
     n = graph.nodes(e).join(graph.sources(e).withColumn("source", F.lit(True)), "name", "left").select("name", F.lit(False).alias("temp"), F.coalesce("source", F.lit(False)).alias("source"))
@@ -477,7 +483,7 @@ def union_logs(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     group_gather, group_lists, gather_all, scatter_index, running_total, last_value, ledger_latest, ledger_owner, ledger_vacuum, ledger_search, ledger_dump, ledger_roundtrip, ledger_compact, ledger_owner_of, log_names, status_normalise, status_words, details_told, details_accounted, job_report, job_modes, node_counts, status_reconcile, owner_report, aged_out,
-    graph_sources, graph_nodes_edges, graph_reach, graph_layers, graph_dot, wildcard_match, wildcard_rules, first_candidate, staleness, to_build, satisfiable, chain_staleness, chain_build, chain_unmakeable, chain_satisfiable, default_goal, fan_out, sparse_members, opportunistic, up_to_date, array_spec, array_collapse,
+    graph_sources, graph_nodes_edges, graph_reach, graph_layers, graph_places, graph_dot, wildcard_match, wildcard_rules, first_candidate, staleness, to_build, satisfiable, chain_staleness, chain_build, chain_unmakeable, chain_satisfiable, default_goal, fan_out, sparse_members, opportunistic, up_to_date, array_spec, array_collapse,
     array_elementwise, dup_index, one_signature, enrich_lookup, reusable_owner, external_inputs, union_logs)}
 
 _LOG = "lg as (select event_id, ts, event_type, user_id::varchar usr, event_type || '/' || user_id path, event_id::varchar job_id, (epoch_us(ts) // 1000000)::bigint sub from events), ow as (select path, arg_max(job_id, (ts, event_id)) \"owner\" from lg group by 1)"
@@ -529,6 +535,7 @@ union all select job_id, 'SRC', unnest(['echo ' || event_type, '', 'done']), unn
     "graph_nodes_edges": f"with {_EDGES} select left(x, 1) kind, count(*)::bigint n from (select src x from edges union select dst from edges) group by 1 union all select 'edges', count(*)::bigint from edges",
     "graph_reach": f"with recursive {_EDGES}, g as (select 'l' || l_orderkey || '_' || l_linenumber x from lineitem order by l_orderkey desc, l_linenumber desc limit 1), t as (select x from g union select src from t join edges on dst = x) select x \"name\" from t",
     "graph_layers": _RECURSE + " select \"name\", max(layer)::bigint layer from t group by 1",
+    "graph_places": _RECURSE + ", m as (select \"name\", max(layer)::bigint layer from t group by 1) select \"name\", layer, row_number() over (partition by layer order by \"name\")::bigint place from m",
     "graph_dot": """select 'digraph {' line, 0::bigint ord union all select '}', 3 union all select '  "' || n_name || '";', 1 from nation union all select distinct '  "' || n_regionkey || '" [shape=note];', 1 from nation
 union all select '  "' || n_regionkey || '" -> "' || n_name || '";', 2 from nation""",
     "wildcard_match": "select rule_id::bigint rule_id, p_name path, substr(p_name, length(a) + 1, length(p_name) - length(a) - length(b)) stem from (select distinct p_name from part), (values (1, 'small ', ''), (2, '', ' ring'), (3, '', 'l%'), (4, 'b', 'e')) r(rule_id, a, b) where starts_with(p_name, a) and ends_with(p_name, b) and length(p_name) > length(a) + length(b)",

@@ -252,6 +252,30 @@ def lines_skip(spark, d):
     return sheets.read_lines(spark, path, skip=2)
 
 
+def text_whole(spark, d):
+    """A file as one text, and a list of paths: trimmed, without blank lines."""
+    path = scratch(spark, "whole")
+    load(spark, d, "region").orderBy("r_regionkey").coalesce(1).select(F.concat(F.lit("  "), c("r_name"), F.when(c("r_regionkey") == 2, "\n").otherwise(" ")).alias("value")).write.text(path)
+    whole = sheets.read_text(spark, path).select(F.lit("whole").alias("how"), F.sha2(c("value"), 256).alias("value"))
+    return whole.union(sheets.read_paths(spark, path).select(F.lit("path").alias("how"), c("path").alias("value")))
+
+
+def files_there(spark, d):
+    """Which of some paths are files, folders, or absent, by one listing."""
+    path = scratch(spark, "files").removeprefix("file:")
+    load(spark, d, "nation").select((c("n_nationkey") % 3).alias("g"), "n_name").write.partitionBy("g").text(path)
+    found = sheets.read_files(spark, path)
+    plain = F.regexp_replace("path", "^file:/+", "/")
+    asked = found.select(plain.alias("path")).union(spark.createDataFrame([(path,), (f"{path}/g=1",), (f"{path}/g=7",)], "path string"))
+    kinds = sheets.file_kinds(asked, found)
+    return kinds.groupBy(F.regexp_extract("path", "(g=.)?[^/]*$", 1).alias("part"), F.when(c("path").contains("part-"), "file").otherwise("other").alias("asked")).agg(F.bool_or("exists").alias("there"), F.bool_and("isfile").alias("files"), F.bool_and("isdir").alias("folders"))
+
+
+def type_words(spark, d):
+    own = load(spark, d, "part").select("p_partkey", *(values.type_word(x).alias(n) for n, x in (("a", c("p_partkey")), ("b", c("p_retailprice")), ("c", c("p_name")), ("d", F.array("p_name")), ("e", F.create_map(c("p_name"), c("p_size"))), ("f", c("p_size") > 1), ("g", c("p_size")))))
+    return own
+
+
 def names_elided(spark, d):
     """Bytes, not characters, are counted; each kind of name has its own rule."""
     name = F.concat(c("n_name"), F.lit("/x-y z"))
@@ -281,7 +305,7 @@ def lines_read(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     int_math, float_mod, float_text, truthiness, coerced_eq, default_value, numeric_filter, string_case_len, path_parts, split_join, regex_sub, contains_str, cartesian_template, placeholders,
-    mem_units, list_slice, list_ops, range_ops, map_ops, settings_sig, cell_typing, tsv_roundtrip, csv_roundtrip, tsv_skip, lines_skip, names_elided, maps_listed, json_roundtrip, lines_read)}
+    mem_units, list_slice, list_ops, range_ops, map_ops, settings_sig, cell_typing, tsv_roundtrip, csv_roundtrip, tsv_skip, lines_skip, text_whole, files_there, type_words, names_elided, maps_listed, json_roundtrip, lines_read)}
 SQL = {
     "int_math": INT_MATH, "float_mod": FLOAT_MOD, "float_text": FLOAT_TEXT, "truthiness": TRUTHINESS, "coerced_eq": COERCED_EQ, "default_value": DEFAULT_VALUE, "numeric_filter": NUMERIC_FILTER, "string_case_len": STRING_CASE_LEN,
     "path_parts": PATH_PARTS, "split_join": SPLIT_JOIN, "regex_sub": REGEX_SUB, "contains_str": CONTAINS_STR, "cartesian_template": CARTESIAN_TEMPLATE, "placeholders": PLACEHOLDERS, "mem_units": MEM_UNITS, "list_slice": LIST_SLICE,
@@ -290,6 +314,9 @@ SQL = {
     "csv_roundtrip": "select s_suppkey, s_name || ', \"x\"' || case when s_suppkey % 3 = 0 then chr(10) || 'more' else '' end s_name, s_nationkey::bigint s_nationkey from supplier",
     "tsv_skip": "select p_partkey::varchar \"key\", p_name \"name\", case when p_size % 2 = 0 then p_size::varchar else '' end size from part",
     "lines_skip": "select case when n_nationkey % 4 = 3 then '' else n_name end \"value\" from nation where n_nationkey >= 2",
+    "text_whole": "select 'whole' how, sha256(string_agg('  ' || r_name || case when r_regionkey = 2 then chr(10) else ' ' end || chr(10), '' order by r_regionkey)) \"value\" from region union all select 'path', r_name from region",
+    "files_there": "select * from (values ('', 'other', true, false, true), ('g=1', 'other', true, false, true), ('g=7', 'other', false, false, false), ('', 'file', true, true, false)) t(part, asked, there, files, folders)",
+    "type_words": "select p_partkey, 'int' a, 'float' b, 'string' c, 'list' d, 'map' e, 'bool' f, 'int' g from part",
     "names_elided": "select n_nationkey, case when length(n_name) > 7 then n_name[1:6] || '…' else n_name end short, case when length(n_name) + 2 > 8 then 10 else length(n_name) + 2 end::bigint wide, n_name || '_x-y_z' host, n_name || '/x_y z' option_, n_name || '_x-y z' job from nation",
     "maps_listed": "select n_nationkey, k::bigint k, key_, value_, case when n_nationkey % 2 = 0 then value_ else '' end listed, round(power(n_nationkey + 1, -2.0), 9) negative, round(power(n_nationkey, 0.5), 9) root from (select n_nationkey, 0 k, 'name' key_, n_name value_ from nation union all select n_nationkey, 1, 'region', n_regionkey::varchar from nation)",
     "json_roundtrip": "select r_name, r_regionkey::bigint r_regionkey from region",
