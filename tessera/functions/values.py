@@ -14,6 +14,11 @@ def kind(cell: Column) -> Column:
     return F.when(cell.isin("true", "false"), "bool").when(whole, "int").when(cell.rlike(FLOAT), "float").otherwise("string")
 
 
+def once(value: Column, body) -> Column:
+    """``body(value)``, with ``value`` evaluated once a row however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 #: The words for the types of values.
 TYPE_WORDS = {"boolean": "bool", "tinyint": "int", "smallint": "int", "int": "int", "bigint": "int", "float": "float", "double": "float", "string": "string", "void": "null", "array": "list", "map": "map"}
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.values import once
 from .status import cleaned, exit_code, probe_time, state, unbracketed
 
 DETAIL = (
@@ -48,13 +49,19 @@ def _pairs(lines: Column, mark: str) -> Column:
     return F.transform(F.filter(lines, lambda x: F.contains(x, F.lit(mark))), lambda x: _split_at(x, mark))
 
 
-def _value(pairs: Column, *names: str) -> Column:
-    """The last value of the first name that holds one; else empty."""
+def _read(pairs: Column, body) -> Column:
+    """``body`` of the keys and values, the last first, cut once a row."""
+
+    def turned(p: Column) -> Column:
+        return F.named_struct(F.lit("keys"), F.reverse(F.transform(p, lambda x: x["key"])), F.lit("values"), F.reverse(F.transform(p, lambda x: x["value"])))
+
+    return once(once(pairs, turned), body)
 
-    def last(name: str) -> Column:
-        return F.nullif(F.try_element_at(F.filter(pairs, lambda p: p["key"] == name), F.lit(-1))["value"], F.lit(""))
 
-    return F.coalesce(*map(last, names), F.lit(""))
+def _value(read: Column, *names: str) -> Column:
+    """The last value of the first name that holds one; else empty."""
+    found = [F.get(read["values"], F.array_position(read["keys"], n).cast("int") - 1) for n in names]
+    return F.coalesce(*(F.nullif(x, F.lit("")) for x in found), F.lit(""))
 
 
 def _detail(**known: Column) -> Column:
@@ -63,25 +70,28 @@ def _detail(**known: Column) -> Column:
         name, type_ = field.split(" ")
         absent = F.lit(None) if name == "exit_code" else F.lit(0) if type_ == "bigint" else F.lit("")
         value = known.get(name, absent)
-        parts.append((F.coalesce(value, absent) if name != "exit_code" else value).cast(type_).alias(name))
-    return F.struct(*parts)
+        parts += [F.lit(name), (F.coalesce(value, absent) if name != "exit_code" else value).cast(type_)]
+    return F.named_struct(*parts)
 
 
-def _texts(pairs: Column, names: dict[str, tuple[str, ...]]) -> dict[str, Column]:
-    return {k: cleaned(_value(pairs, *n)) for k, n in names.items()}
+def _texts(read: Column, names: dict[str, tuple[str, ...]]) -> dict[str, Column]:
+    return {k: once(_value(read, *n), cleaned) for k, n in names.items()}
 
 
 def _time(c: Column) -> Column:
-    return probe_time(cleaned(c))
+    return once(c, lambda x: probe_time(cleaned(x)))
 
 
 def scontrol(text: Column) -> Column:
     """From ``Key=Value`` tokens between blanks."""
-    p = _pairs(F.split(F.trim(text), r"\s+"), "=")
-    word = _value(p, "JobState")
-    times = {k: _time(_value(p, n)) for k, n in (("submit_time", "SubmitTime"), ("start_time", "StartTime"), ("end_time", "EndTime"))}
-    own = _detail(native_state=word, state=state(word, "slurm"), user=cleaned(unbracketed(_value(p, "UserId"))), exit_code=exit_code(_value(p, "ExitCode")), **times, **_texts(p, SCONTROL))
-    return F.when(word != "", own)
+
+    def of(p: Column) -> Column:
+        word = _value(p, "JobState")
+        times = {k: _time(_value(p, n)) for k, n in (("submit_time", "SubmitTime"), ("start_time", "StartTime"), ("end_time", "EndTime"))}
+        own = _detail(native_state=word, state=once(word, lambda w: state(w, "slurm")), user=once(unbracketed(_value(p, "UserId")), cleaned), exit_code=exit_code(_value(p, "ExitCode")), **times, **_texts(p, SCONTROL))
+        return F.when(word != "", own)
+
+    return _read(_pairs(F.split(F.trim(text), r"\s+"), "="), of)
 
 
 def sacct(lines: DataFrame) -> DataFrame:
@@ -99,37 +109,47 @@ def sacct(lines: DataFrame) -> DataFrame:
 
 def qstat_f(text: Column) -> Column:
     """From ``key = value`` lines; a line that begins with a tab goes on with the one before."""
-    p = _pairs(F.split(F.replace(text, F.lit("\n\t"), F.lit("")), "\n"), " = ")
-    word, code = _value(p, "job_state"), F.trim(_value(p, "Exit_status")).try_cast("int")
-    times = {"submit_time": _time(_value(p, "qtime", "ctime")), "start_time": _time(_value(p, "stime")), "end_time": F.when(code.isNotNull(), _time(_value(p, "mtime")))}
-    return F.when(word != "", _detail(native_state=word, state=state(word, "pbs"), exit_code=code, **times, **_texts(p, QSTAT_F)))
+
+    def of(p: Column) -> Column:
+        word, code = _value(p, "job_state"), F.trim(_value(p, "Exit_status")).try_cast("int")
+        times = {"submit_time": _time(_value(p, "qtime", "ctime")), "start_time": _time(_value(p, "stime")), "end_time": F.when(code.isNotNull(), _time(_value(p, "mtime")))}
+        return F.when(word != "", _detail(native_state=word, state=once(word, lambda w: state(w, "pbs")), exit_code=code, **times, **_texts(p, QSTAT_F)))
+
+    return _read(_pairs(F.split(F.replace(text, F.lit("\n\t"), F.lit("")), "\n"), " = "), of)
 
 
 def qstat_j(word: Column, text: Column) -> Column:
     """Of a listed job: its state's word, and ``key: value`` lines."""
     p = F.transform(_pairs(F.split(F.coalesce(text, F.lit("")), "\n"), ":"), lambda x: F.named_struct(F.lit("key"), F.replace(x["key"], F.lit(" "), F.lit("_")), F.lit("value"), x["value"]))
-    return F.when(word != "", _detail(native_state=word, state=state(word, "sge"), **_texts(p, QSTAT_J)))
+    return F.when(word != "", _read(p, lambda q: _detail(native_state=word, state=state(word, "sge"), **_texts(q, QSTAT_J))))
 
 
 def qacct(text: Column) -> Column:
     """Of a finished job: lines of a key, blanks and a value; the exit code tells the state."""
     lines = F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(F.trim(x), r"\s+", " "))
-    p = _pairs(F.filter(lines, lambda x: ~x.startswith("=")), " ")
-    code = F.regexp_extract(_value(p, "exit_status"), r"^(\S*)", 1).try_cast("int")
-    ended = F.when(code == 0, "done").when(code.isNotNull(), "failed")
-    return F.when(F.size(p) > 0, _detail(native_state=ended, state=F.coalesce(ended, F.lit("unknown")), exit_code=code, **_texts(p, QACCT)))
+
+    def of(p: Column) -> Column:
+        code = F.regexp_extract(_value(p, "exit_status"), r"^(\S*)", 1).try_cast("int")
+        ended = F.when(code == 0, "done").when(code.isNotNull(), "failed")
+        return F.when(F.size(p["keys"]) > 0, _detail(native_state=ended, state=F.coalesce(ended, F.lit("unknown")), exit_code=code, **_texts(p, QACCT)))
+
+    return _read(_pairs(F.filter(lines, lambda x: ~x.startswith("=")), " "), of)
 
 
 def batchq(job_id: Column, text: Column) -> Column:
     """From a JSON array of records: that of the id, else the first.  A code counts once the job has ended."""
-    records = F.from_json(text, _BATCHQ_JSON)
-    j = F.coalesce(F.get(F.filter(records, lambda r: r["job_id"] == job_id), F.lit(0)), F.get(records, F.lit(0)))
 
-    def either(*keys: str) -> Column:
-        found = [F.nullif(cleaned(F.coalesce(F.try_element_at(j[m], F.lit(k)), F.lit(""))), F.lit("")) for k in keys for m in ("running_details", "details")]
-        return F.coalesce(*found, F.lit(""))
+    def of(j: Column) -> Column:
+        def either(*keys: str) -> Column:
+            found = [once(F.coalesce(F.try_element_at(j[m], F.lit(k)), F.lit("")), lambda x: F.nullif(cleaned(x), F.lit(""))) for k in keys for m in ("running_details", "details")]
+            return F.coalesce(*found, F.lit(""))
+
+        word = F.coalesce(j["status"], F.lit(""))
+        times = {k: F.unix_timestamp(F.try_to_timestamp(j[k])) for k in ("submit_time", "start_time", "end_time")}
+        ended = F.when(word.isin("SUCCESS", "FAILED", "CANCELED"), F.coalesce(j["return_code"], F.lit(0)))
+        return F.when(word != "", _detail(native_state=word, state=state(word, "batchq"), exit_code=ended, **times, **{f: either(*k) for f, k in BATCHQ.items()}))
+
+    def chosen(records: Column) -> Column:
+        return once(F.coalesce(F.get(F.filter(records, lambda r: r["job_id"] == job_id), F.lit(0)), F.get(records, F.lit(0))), of)
 
-    word = F.coalesce(j["status"], F.lit(""))
-    times = {k: F.unix_timestamp(F.try_to_timestamp(j[k])) for k in ("submit_time", "start_time", "end_time")}
-    ended = F.when(word.isin("SUCCESS", "FAILED", "CANCELED"), F.coalesce(j["return_code"], F.lit(0)))
-    return F.when(word != "", _detail(native_state=word, state=state(word, "batchq"), exit_code=ended, **times, **{f: either(*k) for f, k in BATCHQ.items()}))
+    return once(F.from_json(text, _BATCHQ_JSON), chosen)

@@ -169,8 +169,10 @@ def _said(spark, d):
 
 def details_told(spark, d):
     """What each scheduler's text says of a job."""
-    own = _said(spark, d).select("o_orderkey", F.explode(F.map_from_arrays(F.array(*map(F.lit, ("scontrol", "qstat_f", "qstat_j", "qacct", "batchq"))), F.array(
-        details.scontrol(c("slurm")), details.qstat_f(c("pbs")), details.qstat_j(F.lit("hqw"), c("sge")), details.qacct(c("acct")), details.batchq(c("job_id"), c("queue"))))).alias("kind", "detail"))
+    said, own = _said(spark, d), None
+    for kind, told in (("scontrol", details.scontrol(c("slurm"))), ("qstat_f", details.qstat_f(c("pbs"))), ("qstat_j", details.qstat_j(F.lit("hqw"), c("sge"))), ("qacct", details.qacct(c("acct"))), ("batchq", details.batchq(c("job_id"), c("queue")))):
+        one = said.select("o_orderkey", F.lit(kind).alias("kind"), F.explode(F.array(told)).alias("detail"))
+        own = one if own is None else own.union(one)
     return own.select("o_orderkey", "kind", *((F.coalesce(c(f"detail.{n}").cast("bigint"), F.lit(-1)) if t in ("int", "bigint") else c(f"detail.{n}")).alias(f"d_{n}") for n, t in (f.split(" ") for f in details.DETAIL.split(", "))))
 
 
