@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in ``spark.checkpoint.dir``, or in the warehouse where that is unset."""
+    """A new folder in this application's folder in ``spark.checkpoint.dir``, or in the warehouse where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "shared")
-    return f"{root}/{name}-{uuid.uuid4().hex}"
+    return f"{root}/tessera-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def settled(df: DataFrame, name: str) -> DataFrame:
