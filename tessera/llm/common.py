@@ -14,11 +14,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``, which driver and executors share.
+    """This application's folder in ``spark.checkpoint.dir``, which driver and executors share.
 
-    Where the setting is absent (local tests), a folder in the warehouse takes its place.
+    Where the setting is absent (local tests), a folder in the warehouse takes
+    its place.  All that an application writes for itself lies in the one
+    folder, which can go when the application has ended.
     """
-    return spark.conf.get("spark.checkpoint.dir", None) or os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "shared")
+    root = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "shared")
+    return f"{root}/tessera-{spark.sparkContext.applicationId}"
 
 
 def settled(df: DataFrame, name: str) -> DataFrame:
