@@ -98,13 +98,28 @@ def products(*sides: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.crossJoin(b), sides)
 
 
+#: Ranges without a key are joined into one text in blocks of so many numbers.
+RANGE_BLOCK = 1 << 16
+
+
 def ranges(df: DataFrame, key: list[str], number: str, as_: str = "spec") -> DataFrame:
-    """Numbers of each key as text ``1-3,5``: consecutive ones are one range."""
+    """Numbers of each key as text ``1-3,5``: consecutive ones are one range.
+
+    Without a key, all rows are one, in one row (null if there are none): they
+    are numbered and joined in blocks, so only the blocks' texts meet in a task.
+    """
     own = df.select(*key, F.col(number).cast("long").alias("_n")).distinct()
-    island = own.withColumn("_g", F.col("_n") - F.row_number().over(W.partitionBy(*key).orderBy("_n")))
-    runs = island.groupBy(*key, "_g").agg(F.min("_n").alias("_a"), F.max("_n").alias("_b"))
+    at = own.withColumn("_at", F.row_number().over(W.partitionBy(*key).orderBy("_n"))) if key else enumerated(own, ["_n"], "_at")
+    runs = at.groupBy(*key, (F.col("_n") - F.col("_at")).alias("_g")).agg(F.min("_n").alias("_a"), F.max("_n").alias("_b"))
     one = F.when(F.col("_a") == F.col("_b"), F.col("_a").cast("string")).otherwise(F.concat_ws("-", "_a", "_b"))
-    return runs.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_a", one.alias("t")))), lambda x: x["t"]), ",").alias(as_))
+
+    def joined(text: Column) -> Column:
+        return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_a", text.alias("t")))), lambda x: x["t"]), ",")
+
+    if key:
+        return runs.groupBy(*key).agg(joined(one).alias(as_))
+    blocks = runs.groupBy(F.floor(F.col("_a") / RANGE_BLOCK).alias("_block")).agg(F.min("_a").alias("_a"), joined(one).alias("_t"))
+    return blocks.agg(F.when(F.count(F.lit(1)) > 0, joined(F.col("_t"))).alias(as_))
 
 
 def fan_out(files: DataFrame, command: str, outputs: list[str], inputs: list[str], disk: DataFrame) -> DataFrame:

@@ -410,8 +410,8 @@ def fan_out(spark, d):
     files = sheet.enumerated(load(spark, d, "part").select(F.concat_ws("/", F.lit("in"), c("p_partkey").cast("string"), F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit(".fq"))).alias("path"), "p_partkey", "p_size"), ["p_partkey"])
     disk = files.select("path", F.lit(True).alias("exists"), c("p_size").cast("bigint").alias("mtime")).union(files.where("p_partkey % 5 <> 0").select(strings.placeholders("out/{@.fq}.{#}.bam", c("path"), c("n")).alias("path"), F.lit(True), F.lit(20).cast("bigint")))
     jobs = sheet.fan_out(files.select("n", "path"), "run {} > {^.fq}.{#} {{}}", ["out/{@.fq}.{#}.bam"], [], disk)
-    left = sheet.ranges(jobs.where("not skipped").withColumn("g", F.lit("all")), ["g"], "n")
-    return jobs.join(F.broadcast(left), c("g") == "all", "left").select("n", "path", "command", lists.join(c("outs"), " ").alias("outs"), "skipped", F.sha2("spec", 256).alias("spec"))
+    left = sheet.ranges(jobs.where("not skipped"), [], "n").select(F.sha2("spec", 256).alias("spec"))
+    return jobs.crossJoin(F.broadcast(left)).select("n", "path", "command", lists.join(c("outs"), " ").alias("outs"), "skipped", "spec")
 
 
 FAN_OUT = """with x as (select row_number() over (order by p_partkey) n, 'in/' || p_partkey || '/' || replace(p_name, ' ', '_') stem, replace(p_name, ' ', '_') base, p_size, p_partkey % 5 <> 0 and p_size <= 20 skipped from part),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import lists, strings, values
 from tessera.operators import graph, ledger, sheet, status
+from tessera.plans import relational_queries
 from tessera.sources import sheets
 from tessera.streaming import ledger_stream
 
@@ -208,3 +209,15 @@ def test_ranges(spark):
     df = spark.createDataFrame([("g", n) for n in (5, 1, 2, 3, 8, 7, 3)], "g string, n int")
     assert sheet.ranges(df, ["g"], "n").first().spec == "1-3,5,7-8"
     assert one(spark, status.probe_time(F.lit("Fri Jan  2 03:04:05 1970"))) == 97445
+
+
+def test_ranges_of_all(spark, monkeypatch):
+    """Without a key, all numbers are one text, whatever blocks it is joined from; its hash is drawn once, not for every row."""
+    monkeypatch.setattr(sheet, "RANGE_BLOCK", 7)
+    numbers = [n for n in range(-20, 200) if n % 5 and not 60 < n < 90]
+    runs = [(n, next(m for m in range(n, 300) if m + 1 not in numbers)) for n in numbers if n - 1 not in numbers]
+    df = spark.createDataFrame([(n,) for n in [*numbers, *numbers[:9]]], "n int").repartition(5)
+    assert [r.spec for r in sheet.ranges(df, [], "n").collect()] == [",".join(str(a) if a == b else f"{a}-{b}" for a, b in runs)]
+    assert [r.spec for r in sheet.ranges(df.limit(0), [], "n").collect()] == [None]
+    plan = relational_queries.fan_out(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "sha2" in plan and "sha2" not in plan.splitlines()[0]
