@@ -5,18 +5,63 @@ output to boolean) and ``has_body``; ``files`` has ``path, exists, mtime``;
 edges run ``src`` to ``dst``.  Fixpoints run some Spark jobs a layer, over what
 the last layer has settled and what depends on it alone; each layer is added to
 a table in the shared folder, so lineage does not grow.  They end when a layer
-is empty, however deep the graph.
+is empty or every edge is used, however deep the graph.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..sources.folders import Pile, settled, small
 
 
+class Links:
+    """Edges by ``src``, each used in the one round in which its ``src`` is settled.
+
+    When half of those held are used, the others are written anew: all that is
+    so written is no more than the edges, and later rounds read what is left.
+    """
+
+    def __init__(self, edges: DataFrame):
+        self._held, self._spent = edges, None
+        self.left = self._size = edges.count()
+
+    def of(self, front: DataFrame) -> DataFrame:
+        """The edges of the newly settled ``src`` with the other columns of ``front``."""
+        if self._spent is not None and 2 * self.left <= self._size:
+            self._held = settled(self._held.join(self._spent.now(), "src", "left_anti"), "links")
+            self._spent, self._size = None, self.left
+        if self._spent is None:
+            self._spent = Pile(front.select("src"), "spent")
+        else:
+            self._spent.add(front.select("src"))
+        return self._held.join(front, "src")
+
+
+class Waiting:
+    """Nodes that have some of the ``want`` edges they wait for: ``c`` of them, and what these have brought.
+
+    ``own`` names the nodes' columns, the id first; ``sums`` are the aggregates that put two rows of a node together.
+    """
+
+    def __init__(self, own: list[str], *sums: Column):
+        self._own, self._sums, self._met = own, (F.sum("c").alias("c"), *sums), None
+
+    def complete(self, found: DataFrame) -> tuple[DataFrame, int]:
+        """The nodes that have all their edges now, with this round's rows in ``found`` (settled), and the number of edges in it."""
+        n, part = found.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") < F.col("want"), 1))).first()
+        ready, some = found.where("c = want"), found.where("c < want")
+        if part and self._met is None:
+            self._met = Pile(some, "met")
+        elif part:
+            self._met.add(some)
+            touched = self._met.now().join(some.select(self._own[0]), self._own[0], "left_semi").groupBy(*self._own).agg(*self._sums)
+            ready = ready.unionByName(touched.where("c = want"))
+        return ready, n
+
+
 def edges_of(rules: DataFrame) -> DataFrame:
     """``src, dst, rule_id``: input to output."""
     return rules.select("rule_id", F.explode("outputs").alias("dst"), "inputs").select(F.explode("inputs").alias("src"), "dst", "rule_id").distinct()
@@ -138,55 +183,62 @@ def staleness(rules: DataFrame, files: DataFrame, force: bool = False, external:
     output, or, if none is there, of its newest input.  A source that is missing
     has no time.  A rule without a body goes by the same rule, but is no job.
     """
-    makes = settled(rules.select("rule_id", F.explode("outputs").alias("path"), "temp").select("rule_id", "path", F.coalesce(F.col("temp")[F.col("path")], F.lit(False)).alias("is_temp")), "makes")
-    on_disk = files.where("`exists`").select("path", "mtime")
-    coming = (makes.where("false").select("path") if external is None else external.select("path").distinct()).withColumn("coming", F.lit(True))
-    outs = settled(makes.join(on_disk, "path", "left").groupBy("rule_id").agg(F.min("mtime").alias("oldest"), F.bool_or(F.col("mtime").isNull() & ~F.col("is_temp")).alias("missing")), "outs")
-    needs = rules.select("rule_id", F.explode_outer("inputs").alias("path")).distinct()
-    via = settled(needs.join(makes.select("path", F.col("rule_id").alias("maker")), "path", "left").join(on_disk, "path", "left").join(coming, "path", "left"), "via")
-    source = F.col("maker").isNull()
-    base = via.groupBy("rule_id").agg(
-        F.count("maker").alias("want"), F.bool_or(source & F.col("mtime").isNull() & F.coalesce("coming", F.lit(False))).alias("comes"), F.max(F.when(source, F.col("mtime"))).alias("held"))
-    base = settled(base.join(outs, "rule_id"), "base")
-    chain = settled(via.where(~source).select("rule_id", "maker"), "chain")
+    none = F.array().cast("array<string>")
+    both = rules.select("rule_id", "temp", F.size(F.coalesce("outputs", none)).alias("_n"), F.posexplode(F.concat(F.coalesce("outputs", none), F.coalesce("inputs", none))).alias("_at", "path"))
+    made = F.col("_at") < F.col("_n")
+    facts = settled(both.select("rule_id", "path", made.alias("made"), F.coalesce(F.when(made, F.col("temp")[F.col("path")]), F.lit(False)).alias("is_temp")), "facts")
+    makers = facts.where("made").select(F.col("path").alias("_path"), F.col("rule_id").alias("maker"))
+    coming = (facts.where("false").select("path") if external is None else external.select("path").distinct()).withColumn("coming", F.lit(True))
+    held = facts.join(files.where("`exists`").select("path", "mtime"), "path", "left").join(makers, (F.col("path") == F.col("_path")) & ~F.col("made"), "left").join(coming, "path", "left")
+    own = ["rule_id", "want", "comes", "held", "oldest", "missing"]
+    place = W.partitionBy("rule_id").orderBy("maker")
+    all_ = place.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    gone, source = F.col("mtime").isNull(), ~F.col("made") & F.col("maker").isNull()
+    base = held.select(
+        "rule_id", "maker", F.row_number().over(place).alias("_n"), F.bool_or("made").over(all_).alias("_makes"), F.count("maker").over(all_).alias("want"), F.bool_or(source & gone & F.coalesce("coming", F.lit(False))).over(all_).alias("comes"),
+        F.max(F.when(source, F.col("mtime"))).over(all_).alias("held"), F.min(F.when(F.col("made"), F.col("mtime"))).over(all_).alias("oldest"), F.bool_or(F.col("made") & gone & ~F.col("is_temp")).over(all_).alias("missing"))
+    base = settled(base.where("_makes and (maker is not null or (want = 0 and _n = 1))").select("maker", *own), "base")
+    links = Links(base.where("maker is not null").withColumnRenamed("maker", "src"))
 
     def decided(ready: DataFrame) -> DataFrame:
         newest = F.greatest("held", "newest")
         old = F.coalesce(F.col("oldest") < newest, F.lit(False))
-        return settled(ready.select("rule_id", (F.lit(force) | F.col("rebuilt") | F.col("comes") | F.col("missing") | old).alias("will_run"), F.coalesce("oldest", newest).alias("eff")), "decided")
+        return ready.select("rule_id", (F.lit(force) | F.col("rebuilt") | F.col("comes") | F.col("missing") | old).alias("will_run"), F.coalesce("oldest", newest).alias("eff"))
 
-    front = decided(base.where("want = 0").withColumns({"rebuilt": F.lit(False), "newest": F.lit(None).cast("long")}))
-    done, met = Pile(front, "done"), Pile(base.where("false").select("rule_id", F.col("want").alias("c"), F.col("comes").alias("rebuilt"), F.col("held").alias("newest")), "met")
-    while not front.isEmpty():
-        found = front.withColumnRenamed("rule_id", "maker").join(chain, "maker").groupBy("rule_id").agg(F.count(F.lit(1)).alias("c"), F.bool_or("will_run").alias("rebuilt"), F.max("eff").alias("newest"))
-        found = settled(found, "found")
-        met.add(found)
-        touched = met.now().join(found.select("rule_id"), "rule_id", "left_semi").groupBy("rule_id").agg(F.sum("c").alias("c"), F.bool_or("rebuilt").alias("rebuilt"), F.max("newest").alias("newest"))
-        front = decided(touched.join(base, "rule_id").where("c = want"))
-        done.add(front)
-    out = done.now()
-    if out.count() < base.count():
-        raise ValueError("cycle among the rules")
-    return out
+    done = Pile(decided(base.where("want = 0").withColumns({"rebuilt": F.lit(False), "newest": F.lit(None).cast("long")})), "done")
+    front, waiting = done.first, Waiting(own, F.bool_or("rebuilt").alias("rebuilt"), F.max("newest").alias("newest"))
+    while links.left:
+        hits = links.of(front.withColumnRenamed("rule_id", "src"))
+        found = settled(hits.groupBy(*own).agg(F.count(F.lit(1)).alias("c"), F.bool_or("will_run").alias("rebuilt"), F.max("eff").alias("newest")), "found")
+        ready, n = waiting.complete(found)
+        if not n:
+            raise ValueError("cycle among the rules")
+        links.left -= n
+        front = done.add(decided(ready))
+    return done.now()
 
 
 def to_build(rules: DataFrame, stale: DataFrame, files: DataFrame) -> DataFrame:
     """``rule_id`` of what must be made: rules that run, and makers of missing inputs of what is made."""
-    needs = settled(rules.select("rule_id", F.explode("inputs").alias("path")).join(files.where("`exists`"), "path", "left_anti"), "missing")
-    makes = settled(rules.select(F.col("rule_id").alias("maker"), F.explode("outputs").alias("path")), "makes")
-    front = settled(stale.where("will_run").select("rule_id"), "front")
-    out = Pile(front, "build")
+    run = settled(stale.where("will_run").select("rule_id"), "run")
+    missing = rules.select("rule_id", F.explode("inputs").alias("path")).join(files.where("`exists`"), "path", "left_anti")
+    made = missing.join(rules.select(F.col("rule_id").alias("maker"), F.explode("outputs").alias("path")), "path").select("rule_id", "maker")
+    more = settled(made.join(run.withColumnRenamed("rule_id", "maker"), "maker", "left_anti").distinct(), "missing")
+    front, added = run, None
     while True:
-        more = needs.join(front, "rule_id", "left_semi").join(makes, "path").select(F.col("maker").alias("rule_id")).distinct()
-        front = settled(more.join(out.now(), "rule_id", "left_anti"), "front")
+        step = more.join(front, "rule_id", "left_semi").select(F.col("maker").alias("rule_id")).distinct()
+        if added is None:
+            added = Pile(step, "build")
+            front = added.first
+        else:
+            front = added.add(step.join(added.now(), "rule_id", "left_anti"))
         if front.isEmpty():
-            return out.now()
-        out.add(front)
+            return run.union(added.now())
 
 
 def jobs(rules: DataFrame, build: DataFrame) -> DataFrame:
     """The rules to build that are jobs: those with a body.  Others only gather inputs."""
-    return rules.where("has_body").join(build.select("rule_id").distinct(), "rule_id", "left_semi")
+    return rules.where("has_body").join(build.select("rule_id"), "rule_id", "left_semi")
 
 
 def dependencies(rules: DataFrame, build: DataFrame, stale: DataFrame, files: DataFrame, external: DataFrame | None = None) -> DataFrame:
@@ -197,15 +249,17 @@ def dependencies(rules: DataFrame, build: DataFrame, stale: DataFrame, files: Da
     A missing input that no rule makes has an edge to the active job that will
     make it (``path, owner`` in ``external``).
     """
-    uses = jobs(rules, build).select("rule_id", F.explode("inputs").alias("path")).distinct()
+    uses = jobs(rules, build).select("rule_id", F.explode(F.array_distinct("inputs")).alias("path"))
     makes = rules.select(F.col("rule_id").alias("producer"), F.col("has_body").alias("is_job"), F.explode("outputs").alias("path"))
-    runs = stale.where("will_run").select(F.col("rule_id").alias("producer"), F.lit(True).alias("runs"))
+    runs = stale.where("will_run").select(F.col("rule_id").alias("producer"))
     there = files.where("`exists`").select("path", F.lit(True).alias("there"))
-    held = settled(uses.join(makes, "path", "left").join(runs, "producer", "left").join(there, "path", "left"), "uses")
-    own = held.where("producer is not null and is_job and (runs or there is null)").select("rule_id", "producer", F.lit(None).cast("string").alias("job_id")).distinct()
+    held = uses.join(makes, "path", "left").join(there, "path", "left").where("(producer is not null and is_job) or (producer is null and there is null)")
+    held = settled(held.select("rule_id", "producer", "path", "there"), "uses")
+    made = held.where("producer is not null").select("rule_id", "producer", "there")
+    own = made.where("there is null").union(made.where("there").join(runs, "producer", "left_semi").select("rule_id", "producer", "there")).select("rule_id", "producer", F.lit(None).cast("string").alias("job_id")).distinct()
     if external is None:
         return own
-    other = held.where("producer is null and there is null").join(external.select("path", "owner"), "path")
+    other = held.where("producer is null").join(external.select("path", "owner"), "path")
     return own.union(other.select("rule_id", F.col("producer"), F.col("owner").alias("job_id")).distinct())
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 
 from ..functions import lists, strings
 from ..operators import details, graph, ledger, sheet, status
-from ..sources.folders import scratch
+from ..sources.folders import scratch, settled
 from .scalar_queries import c, load
 
 
@@ -350,7 +350,7 @@ def satisfiable(spark, d):
 
 def _chained(spark, d):
     """Lines of an order as rules, each made from the line before it and a part's file; every fourth gathers only."""
-    line = load(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("part"))
+    line = load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").repartition("l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("part"))
     line = line.withColumn("before", F.lag("l_linenumber").over(W.partitionBy("l_orderkey").orderBy("l_linenumber")))
     name = F.concat_ws("_", c("l_orderkey").cast("string"), c("l_linenumber").cast("string"))
     made = F.array_compact(F.array(F.when(c("before").isNotNull(), F.concat_ws("_", c("l_orderkey").cast("string"), c("before").cast("string"))), F.concat(F.lit("p"), c("part").cast("string"))))
@@ -381,7 +381,7 @@ union all select ch.o, ch.n, ch.r, ch.f, st.run or (ch.coming and ch.pt is null)
 
 def chain_build(spark, d):
     """The jobs that are made, and what each waits for."""
-    rules, files, coming = _chained(spark, d), _chained_files(spark, d), _coming(spark, d)
+    rules, files, coming = settled(_chained(spark, d), "rules"), settled(_chained_files(spark, d), "files"), _coming(spark, d)
     stale = graph.staleness(rules, files, external=coming)
     build = graph.to_build(rules, stale, files)
     waits = graph.dependencies(rules, build, stale, files, coming)

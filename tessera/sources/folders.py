@@ -36,11 +36,15 @@ class Pile:
     """A table that grows by whole writes to one folder; what was written before is never written again."""
 
     def __init__(self, first: DataFrame, name: str):
-        self._spark, self._schema, self._path = first.sparkSession, first.schema, scratch(first.sparkSession, name)
-        self.add(first)
+        self._spark, self._schema, self._path, self._n = first.sparkSession, first.schema, scratch(first.sparkSession, name), 0
+        self.first = self.add(first)
 
-    def add(self, more: DataFrame) -> None:
-        more.write.mode("append").parquet(self._path)
+    def add(self, more: DataFrame) -> DataFrame:
+        """Write ``more``; the rows written, read again."""
+        path = f"{self._path}/{self._n}"
+        more.write.parquet(path)
+        self._n += 1
+        return self._spark.read.schema(self._schema).parquet(path)
 
     def now(self) -> DataFrame:
-        return self._spark.read.schema(self._schema).parquet(self._path)
+        return self._spark.read.schema(self._schema).option("recursiveFileLookup", "true").parquet(self._path)

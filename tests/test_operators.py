@@ -221,3 +221,18 @@ def test_ranges_of_all(spark, monkeypatch):
     assert [r.spec for r in sheet.ranges(df.limit(0), [], "n").collect()] == [None]
     plan = relational_queries.fan_out(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "sha2" in plan and "sha2" not in plan.splitlines()[0]
+
+
+def test_links_shrink(spark):
+    """Edges that are used are not read again once they are half of all; nodes wait for all of theirs, whatever the round."""
+    links = graph.Links(spark.createDataFrame([(i, 10 * i) for i in range(8)], "src long, dst long"))
+    for used in ([0, 1, 2, 3, 4], [5, 6], [7]):
+        got = links.of(spark.createDataFrame([(i,) for i in used], "src long"))
+        assert sorted(r.dst for r in got.collect()) == [10 * i for i in used]
+        links.left -= len(used)
+    assert links.left == 0 and sorted(r.src for r in links._held.collect()) == [7]
+    needs = {1: [], 2: [1], 3: [2], 4: [1, 3], 5: [4, 1, 2], 6: [5, 3]}
+    rules = spark.createDataFrame([(i, [f"f{i}"], [f"f{x}" for x in own] + ["src"], {}, True) for i, own in needs.items()], RULES)
+    files = spark.createDataFrame([("src", True, 5), *((f"f{i}", True, 9 if i != 2 else 4) for i in needs)], "path string, exists boolean, mtime long")
+    stale = graph.staleness(rules, files)
+    assert {r.rule_id: r.will_run for r in stale.collect()} == {1: False, 2: True, 3: True, 4: True, 5: True, 6: True}
