@@ -101,20 +101,33 @@ def instantiated(rules: DataFrame, stems: DataFrame) -> DataFrame:
 
 def satisfiable(rules: DataFrame, available: DataFrame) -> DataFrame:
     """``rule_id`` of the rules all of whose inputs are available or made by such rules: the least fixpoint."""
-    needs = settled(rules.select("rule_id", F.explode("inputs").alias("path")).distinct(), "needs")
-    makes = settled(rules.select("rule_id", F.explode("outputs").alias("path")), "makes")
-    wanted = settled(needs.groupBy("rule_id").agg(F.count(F.lit(1)).alias("want")), "wanted")
-    free = settled(rules.select("rule_id").distinct().join(wanted, "rule_id", "left_anti"), "free")
-    front = settled(available.select("path").union(makes.join(free, "rule_id", "left_semi").select("path")).distinct(), "front")
-    have, good, met = Pile(front, "have"), Pile(free, "good"), Pile(wanted.where("false").withColumnRenamed("want", "c"), "met")
-    while not front.isEmpty():
-        found = settled(needs.join(front, "path").groupBy("rule_id").agg(F.count(F.lit(1)).alias("c")), "found")
-        met.add(found)
-        touched = met.now().join(found.select("rule_id"), "rule_id", "left_semi").groupBy("rule_id").agg(F.sum("c").alias("c"))
-        new = settled(touched.join(wanted, "rule_id").where("c = want").select("rule_id"), "new")
-        good.add(new)
-        front = settled(makes.join(new, "rule_id", "left_semi").select("path").distinct().join(have.now(), "path", "left_anti"), "front")
-        have.add(front)
+    rules = settled(rules.select("rule_id", "outputs", "inputs"), "rules")
+    have = available.select("path").distinct().withColumn("have", F.lit(True))
+    makes = rules.select(F.col("rule_id").alias("src"), F.explode("outputs").alias("path"))
+    made = makes.groupBy("path").agg(F.count(F.lit(1)).alias("makers"), F.min("src").alias("src"))
+    held = rules.select("rule_id", F.posexplode_outer("inputs").alias("at", "path")).join(have, "path", "left").join(made, "path", "left")
+    place = W.partitionBy("rule_id").orderBy("src")
+    want = F.count(F.when(F.col("at").isNotNull() & F.col("have").isNull(), 1)).over(place.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    base = held.select("rule_id", "path", "have", "makers", "src", F.row_number().over(place).alias("_n"), want.alias("want"))
+    base = settled(base.where("(want = 0 and _n = 1) or (want > 0 and have is null and makers is not null)").select("rule_id", "path", "makers", "src", "want"), "base")
+    links = Links(base.where("want > 0 and makers = 1").select("src", "rule_id", "want"))
+    shared = settled(base.where("want > 0 and makers > 1").select("path", "rule_id", "want"), "shared")
+    several = not shared.isEmpty()
+    if several:  # the first of a path's makers counts, the others no more
+        makers = settled(makes.join(shared.select("path"), "path", "left_semi"), "makers")
+        seen = Pile(shared.where("false").select("path"), "seen")
+    good, waiting = Pile(base.where("want = 0").select("rule_id"), "good"), Waiting(["rule_id", "want"])
+    front = good.first
+    while links.left or several:
+        hits = links.of(front.withColumnRenamed("rule_id", "src")).select("rule_id", "want", F.lit(1).alias("link"))
+        if several:
+            new = seen.add(makers.join(front.withColumnRenamed("rule_id", "src"), "src", "left_semi").select("path").distinct().join(seen.now(), "path", "left_anti"))
+            hits = hits.union(shared.join(new, "path").select("rule_id", "want", F.lit(0)))
+        found = settled(hits.groupBy("rule_id", "want").agg(F.count(F.lit(1)).alias("c"), F.sum("link").alias("links")), "found")
+        links.left -= found.agg(F.coalesce(F.sum("links"), F.lit(0))).first()[0]
+        front = good.add(waiting.complete(found.drop("links"))[0].select("rule_id"))
+        if front.isEmpty():
+            break
     return good.now()
 
 
@@ -158,18 +171,18 @@ def layers(edges: DataFrame) -> DataFrame:
     behind a cycle.
     """
     own = settled(edges.select("src", "dst").distinct(), "edges")
-    wanted = settled(own.groupBy("dst").agg(F.count(F.lit(1)).alias("want")), "wanted")
-    front = settled(sources(own).select("name", F.lit(0).alias("layer")), "front")
-    placed, met = Pile(front, "placed"), Pile(wanted.where("false").select("dst", F.col("want").alias("c"), F.lit(0).alias("m")), "met")
-    while not front.isEmpty():
-        found = settled(front.join(own, F.col("name") == F.col("src")).groupBy("dst").agg(F.count(F.lit(1)).alias("c"), F.max("layer").alias("m")), "found")
-        met.add(found)
-        touched = met.now().join(found.select("dst"), "dst", "left_semi").groupBy("dst").agg(F.sum("c").alias("c"), F.max("m").alias("m"))
-        front = settled(touched.join(wanted, "dst").where("c = want").select(F.col("dst").alias("name"), (F.col("m") + 1).alias("layer")), "front")
-        placed.add(front)
-    left = nodes(own).join(placed.now(), "name", "left_anti").orderBy("name").limit(5).collect()
-    if left:
-        raise ValueError("cycle at " + ", ".join(r.name for r in left))
+    links = Links(settled(own.join(own.groupBy("dst").agg(F.count(F.lit(1)).alias("want")), "dst"), "wanted"))
+    placed, waiting = Pile(sources(own).select("name", F.lit(0).alias("layer")), "placed"), Waiting(["dst", "want"], F.max("m").alias("m"))
+    front = placed.first
+    while links.left:
+        hits = links.of(front.withColumnRenamed("name", "src"))
+        found = settled(hits.groupBy("dst", "want").agg(F.count(F.lit(1)).alias("c"), F.max("layer").alias("m")), "found")
+        ready, n = waiting.complete(found)
+        if not n:
+            left = nodes(own).join(placed.now(), "name", "left_anti").orderBy("name").limit(5).collect()
+            raise ValueError("cycle at " + ", ".join(r.name for r in left))
+        links.left -= n
+        front = placed.add(ready.select(F.col("dst").alias("name"), (F.col("m") + 1).alias("layer")))
     return placed.now()
 
 

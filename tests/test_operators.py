@@ -236,3 +236,27 @@ def test_links_shrink(spark):
     files = spark.createDataFrame([("src", True, 5), *((f"f{i}", True, 9 if i != 2 else 4) for i in needs)], "path string, exists boolean, mtime long")
     stale = graph.staleness(rules, files)
     assert {r.rule_id: r.will_run for r in stale.collect()} == {1: False, 2: True, 3: True, 4: True, 5: True, 6: True}
+
+
+def test_several_makers(spark):
+    """A path that two rules make is met by the first of them, once; a null input never is, no inputs always are."""
+    rules = spark.createDataFrame([(1, ["x"], ["a"]), (2, ["x", "y"], ["y0"]), (3, ["y0"], ["x"]), (4, ["z"], ["x", "y"]), (5, ["w"], ["x", "none"]), (6, ["v"], [None]), (7, [], []), (8, ["u"], ["z", "x"])], "rule_id long, outputs array<string>, inputs array<string>")
+    got = graph.satisfiable(rules, spark.createDataFrame([("a",), ("a",)], "path string"))
+    assert sorted(r.rule_id for r in got.collect()) == [1, 2, 3, 4, 7, 8]
+
+
+def written(spark, monkeypatch, *modules):
+    """Names of the tables that these modules settle, as they do."""
+    names = []
+    for module in modules:
+        monkeypatch.setattr(module, "settled", lambda df, name, own=module.settled: (names.append(name), own(df, name))[1])
+    return names
+
+
+
+def test_layers_rounds(spark, monkeypatch):
+    """As many rounds as layers have edges from them: none to find that the last has none."""
+    names = written(spark, monkeypatch, graph)
+    edges = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "c"), ("c", "d"), ("a", "d")], "src string, dst string")
+    assert {r.name: r.layer for r in graph.layers(edges).collect()} == {"a": 0, "b": 1, "c": 2, "d": 3}
+    assert names.count("found") == 3
