@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.strings import placeholders
-from ..sources.folders import settled
+from ..sources.folders import settled, small
 from .graph import up_to_date
 
 
@@ -46,10 +46,10 @@ def enumerated(df: DataFrame, order: list[str], as_: str = "n") -> DataFrame:
 
 def enumerated_within(df: DataFrame, key: list[str], order: list[str], as_: str = "n") -> DataFrame:
     """Rows numbered from 1 in the order of each key, however many rows a key has; null keys are one key."""
-    own = settled(enumerated(df, [*key, *order], "_n"), "places")
-    first = own.groupBy(*key).agg(F.min("_n").alias("_first")).withColumns({f"_k{i}": F.col(k) for i, k in enumerate(key)}).drop(*key)
+    own = enumerated(df, [*key, *order], "_n")
+    first = settled(own.groupBy(*key).agg(F.min("_n").alias("_first")).withColumns({f"_k{i}": F.col(k) for i, k in enumerate(key)}).drop(*key), "first")
     same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(key)), F.lit(True))
-    placed = own.join(first, same) if key else own.crossJoin(F.broadcast(first))
+    placed = own.join(small(first), same) if key else own.crossJoin(F.broadcast(first))
     return placed.withColumn(as_, F.col("_n") - F.col("_first") + 1).select(*df.columns, as_)
 
 

@@ -253,6 +253,13 @@ def written(spark, monkeypatch, *modules):
     return names
 
 
+def test_places_once(spark, monkeypatch):
+    """Numbering within keys writes the rows once; what else it writes is a row a key, sent to them if it is small."""
+    names = written(spark, monkeypatch, sheet)
+    own = sheet.enumerated_within(spark.range(1000).selectExpr("id % 3 as k", "id as v"), ["k"], ["v"], "at")
+    assert {(r.k, r.v): r["at"] for r in own.collect()} == {(v % 3, v): v // 3 + 1 for v in range(1000)}
+    assert names == ["enumerated", "first"] and "BroadcastHashJoin" in own._jdf.queryExecution().executedPlan().toString()
+
 
 def test_layers_rounds(spark, monkeypatch):
     """As many rounds as layers have edges from them: none to find that the last has none."""
