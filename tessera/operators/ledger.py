@@ -99,7 +99,7 @@ def search(jobs: DataFrame, id_: str | None = None, name: str | None = None, inp
 def vacuum(records: DataFrame) -> DataFrame:
     """The last record of each job that still owns a path, with its order columns."""
     live = owners(records).select(F.col("owner").alias("job_id")).distinct()
-    return latest(records).join(live, "job_id", "left_semi").select(*records.columns)
+    return latest(records.join(live, "job_id", "left_semi")).select(*records.columns)
 
 
 def compact(spark: SparkSession, folder: str) -> None:
@@ -115,7 +115,7 @@ def compact(spark: SparkSession, folder: str) -> None:
         return
     store, path = _folder(spark, folder)
     made = f"_compact-{uuid.uuid4().hex}"
-    vacuum(_records(spark, [f"{folder}/{n}" for n in old])).write.option("compression", "none").json(f"{folder}/{made}")
+    vacuum(settled(_records(spark, [f"{folder}/{n}" for n in old]), "compact")).write.option("compression", "none").json(f"{folder}/{made}")
     new_path = spark._jvm.org.apache.hadoop.fs.Path
     for x in store.listStatus(new_path(path, made)):
         if x.getPath().getName().startswith("part-"):

@@ -267,3 +267,13 @@ def test_layers_rounds(spark, monkeypatch):
     edges = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "c"), ("c", "d"), ("a", "d")], "src string, dst string")
     assert {r.name: r.layer for r in graph.layers(edges).collect()} == {"a": 0, "b": 1, "c": 2, "d": 3}
     assert names.count("found") == 3
+
+
+def test_compact_parses_once(spark, tmp_path, monkeypatch):
+    """Lines are parsed once for owners and for last records, so both see the same records; a job's last record stays, not the owning one."""
+    folder = tmp_path / "once"
+    folder.mkdir()
+    (folder / "h-1-2-3.jsonl").write_text("\n".join(json.dumps(r) for r in (rec(1, "a", ["x"]), rec(2, "a", ["y"]), rec(3, "b", ["y"]), rec(4, "c", ["y"], submit_time="soon"))))
+    names = written(spark, monkeypatch, ledger)
+    ledger.compact(spark, str(folder))
+    assert names == ["compact"] and sorted((r.job_id, r.ts) for r in ledger.read(spark, str(folder)).collect()) == [("a", 2), ("b", 3)]
