@@ -17,11 +17,17 @@ from pyspark.sql import Window as W
 from ..sources.folders import Pile, settled, small
 
 
+#: Edges that are not worth a table of their own if one round may use them all.
+FEW = 1000
+
+
 class Links:
     """Edges by ``src``, each used in the one round in which its ``src`` is settled.
 
-    When half of those held are used, the others are written anew: all that is
-    so written is no more than the edges, and later rounds read what is left.
+    Once the edges used since the last time and the newly settled ``src`` come to an
+    eighth of those held, the join that finds the round's edges writes them and those
+    left anew, and later rounds read what is left: nothing is shuffled for that alone,
+    and all that is so written is at most eight times the edges and nodes.
     """
 
     def __init__(self, edges: DataFrame):
@@ -29,10 +35,17 @@ class Links:
         self.left = self._size = edges.count()
 
     def of(self, front: DataFrame) -> DataFrame:
-        """The edges of the newly settled ``src`` with the other columns of ``front``."""
-        if self._spent is not None and 2 * self.left <= self._size:
-            self._held = settled(self._held.join(self._spent.now(), "src", "left_anti"), "links")
-            self._spent, self._size = None, self.left
+        """The edges of the newly settled ``src`` with the other columns of ``front`` (settled)."""
+        if self._size is None:
+            self._size = self.left
+        n, used = front.count(), self._size - self.left
+        if 8 * (used + n) >= self._size and (used or n < self.left or self.left > FEW):
+            known = front.withColumn("_new", F.lit(True))
+            if self._spent is not None:
+                known = known.unionByName(self._spent.now().withColumn("_new", F.lit(False)), allowMissingColumns=True)
+            both = settled(self._held.join(known, "src", "left").where("_new is null or _new"), "links")
+            self._held, self._spent, self._size = both.where("_new is null").select(self._held.columns), None, None
+            return both.where("_new").drop("_new")
         if self._spent is None:
             self._spent = Pile(front.select("src"), "spent")
         else:
@@ -49,6 +62,11 @@ class Waiting:
     def __init__(self, own: list[str], *sums: Column):
         self._own, self._sums, self._met = own, (F.sum("c").alias("c"), *sums), None
 
+    def merged(self, hits: DataFrame) -> DataFrame:
+        """A row for each node of ``hits``, which has one for each edge; those that wait for one edge are so already."""
+        hits = hits.withColumn("c", F.lit(1).cast("long"))
+        return hits.where("want = 1").unionByName(hits.where("want > 1").groupBy(*self._own).agg(*self._sums))
+
     def complete(self, found: DataFrame) -> tuple[DataFrame, int]:
         """The nodes that have all their edges now, with this round's rows in ``found`` (settled), and the number of edges in it."""
         n, part = found.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") < F.col("want"), 1))).first()
@@ -116,16 +134,16 @@ def satisfiable(rules: DataFrame, available: DataFrame) -> DataFrame:
     if several:  # the first of a path's makers counts, the others no more
         makers = settled(makes.join(shared.select("path"), "path", "left_semi"), "makers")
         seen = Pile(shared.where("false").select("path"), "seen")
-    good, waiting = Pile(base.where("want = 0").select("rule_id"), "good"), Waiting(["rule_id", "want"])
+    good, waiting = Pile(base.where("want = 0").select("rule_id"), "good"), Waiting(["rule_id", "want"], F.sum("link").alias("link"))
     front = good.first
     while links.left or several:
-        hits = links.of(front.withColumnRenamed("rule_id", "src")).select("rule_id", "want", F.lit(1).alias("link"))
+        hits = links.of(front.withColumnRenamed("rule_id", "src")).select("rule_id", "want", F.lit(1).cast("long").alias("link"))
         if several:
             new = seen.add(makers.join(front.withColumnRenamed("rule_id", "src"), "src", "left_semi").select("path").distinct().join(seen.now(), "path", "left_anti"))
-            hits = hits.union(shared.join(new, "path").select("rule_id", "want", F.lit(0)))
-        found = settled(hits.groupBy("rule_id", "want").agg(F.count(F.lit(1)).alias("c"), F.sum("link").alias("links")), "found")
-        links.left -= found.agg(F.coalesce(F.sum("links"), F.lit(0))).first()[0]
-        front = good.add(waiting.complete(found.drop("links"))[0].select("rule_id"))
+            hits = hits.union(shared.join(new, "path").select("rule_id", "want", F.lit(0).cast("long")))
+        found = settled(waiting.merged(hits), "found")
+        links.left -= found.agg(F.coalesce(F.sum("link"), F.lit(0))).first()[0]
+        front = good.add(waiting.complete(found)[0].select("rule_id"))
         if front.isEmpty():
             break
     return good.now()
@@ -176,7 +194,7 @@ def layers(edges: DataFrame) -> DataFrame:
     front = placed.first
     while links.left:
         hits = links.of(front.withColumnRenamed("name", "src"))
-        found = settled(hits.groupBy("dst", "want").agg(F.count(F.lit(1)).alias("c"), F.max("layer").alias("m")), "found")
+        found = settled(waiting.merged(hits.select("dst", "want", F.col("layer").alias("m"))), "found")
         ready, n = waiting.complete(found)
         if not n:
             left = nodes(own).join(placed.now(), "name", "left_anti").orderBy("name").limit(5).collect()
@@ -200,29 +218,36 @@ def staleness(rules: DataFrame, files: DataFrame, force: bool = False, external:
     both = rules.select("rule_id", "temp", F.size(F.coalesce("outputs", none)).alias("_n"), F.posexplode(F.concat(F.coalesce("outputs", none), F.coalesce("inputs", none))).alias("_at", "path"))
     made = F.col("_at") < F.col("_n")
     facts = settled(both.select("rule_id", "path", made.alias("made"), F.coalesce(F.when(made, F.col("temp")[F.col("path")]), F.lit(False)).alias("is_temp")), "facts")
-    makers = facts.where("made").select(F.col("path").alias("_path"), F.col("rule_id").alias("maker"))
+    there = files.where("`exists`").select("path", "mtime")
     coming = (facts.where("false").select("path") if external is None else external.select("path").distinct()).withColumn("coming", F.lit(True))
-    held = facts.join(files.where("`exists`").select("path", "mtime"), "path", "left").join(makers, (F.col("path") == F.col("_path")) & ~F.col("made"), "left").join(coming, "path", "left")
-    own = ["rule_id", "want", "comes", "held", "oldest", "missing"]
+    # Both joins below shuffle the same columns of makes and files, so Spark does so once.
+    makes = facts.where("made and path is not null").select(F.col("path").alias("_path"), F.col("rule_id").alias("maker"), "is_temp")
+    same, blank, gone = F.col("_path") == F.col("path"), F.lit(None), F.col("mtime").isNull()
+    outs = makes.join(there, same, "left").select(F.col("maker").alias("rule_id"), blank.alias("maker"), blank.alias("held"), F.col("mtime").alias("oldest"), (gone & ~F.col("is_temp")).alias("run"), F.lit(True).alias("made"))
+    source = ~F.col("made") & (F.col("maker").isNull() | F.col("is_temp").isNull())
+    uses = facts.where("not made or path is null").select("rule_id", "path", "made").join(there, "path", "left").join(makes, same, "left").join(coming, "path", "left")  # an output without a path is missing
+    uses = uses.select("rule_id", "maker", F.when(source, F.col("mtime")).alias("held"), blank.alias("oldest"), (F.col("made") | (source & gone & F.coalesce("coming", F.lit(False)))).alias("run"), "made")
+    own = ["rule_id", "want", "run", "held", "oldest"]
     place = W.partitionBy("rule_id").orderBy("maker")
     all_ = place.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    gone, source = F.col("mtime").isNull(), ~F.col("made") & F.col("maker").isNull()
-    base = held.select(
-        "rule_id", "maker", F.row_number().over(place).alias("_n"), F.bool_or("made").over(all_).alias("_makes"), F.count("maker").over(all_).alias("want"), F.bool_or(source & gone & F.coalesce("coming", F.lit(False))).over(all_).alias("comes"),
-        F.max(F.when(source, F.col("mtime"))).over(all_).alias("held"), F.min(F.when(F.col("made"), F.col("mtime"))).over(all_).alias("oldest"), F.bool_or(F.col("made") & gone & ~F.col("is_temp")).over(all_).alias("missing"))
-    base = settled(base.where("_makes and (maker is not null or (want = 0 and _n = 1))").select("maker", *own), "base")
+    base = outs.unionByName(uses.where("made or run or maker is not null or held is not null")).select(
+        "rule_id", "maker", F.row_number().over(place).alias("_n"), F.bool_or("made").over(all_).alias("_makes"), F.count("maker").over(all_).alias("want"),
+        F.bool_or("run").over(all_).alias("run"), F.max("held").over(all_).alias("held"), F.min("oldest").over(all_).alias("oldest"))
+    runs = F.col("run") | F.coalesce(F.col("oldest") < F.col("held"), F.lit(False))
+    base = base.where("_makes and (maker is not null or (want = 0 and _n = 1))").select("maker", "rule_id", "want", runs.alias("run"), F.when(F.col("oldest").isNull(), F.col("held")).alias("held"), "oldest")
+    base = settled(base, "base")
     links = Links(base.where("maker is not null").withColumnRenamed("maker", "src"))
 
     def decided(ready: DataFrame) -> DataFrame:
         newest = F.greatest("held", "newest")
         old = F.coalesce(F.col("oldest") < newest, F.lit(False))
-        return ready.select("rule_id", (F.lit(force) | F.col("rebuilt") | F.col("comes") | F.col("missing") | old).alias("will_run"), F.coalesce("oldest", newest).alias("eff"))
+        return ready.select("rule_id", (F.lit(force) | F.col("rebuilt") | F.col("run") | old).alias("will_run"), F.coalesce("oldest", newest).alias("eff"))
 
     done = Pile(decided(base.where("want = 0").withColumns({"rebuilt": F.lit(False), "newest": F.lit(None).cast("long")})), "done")
     front, waiting = done.first, Waiting(own, F.bool_or("rebuilt").alias("rebuilt"), F.max("newest").alias("newest"))
     while links.left:
         hits = links.of(front.withColumnRenamed("rule_id", "src"))
-        found = settled(hits.groupBy(*own).agg(F.count(F.lit(1)).alias("c"), F.bool_or("will_run").alias("rebuilt"), F.max("eff").alias("newest")), "found")
+        found = settled(waiting.merged(hits.select(*own, F.col("will_run").alias("rebuilt"), F.col("eff").alias("newest"))), "found")
         ready, n = waiting.complete(found)
         if not n:
             raise ValueError("cycle among the rules")

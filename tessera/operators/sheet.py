@@ -108,7 +108,8 @@ def ranges(df: DataFrame, key: list[str], number: str, as_: str = "spec") -> Dat
     Without a key, all rows are one, in one row (null if there are none): they
     are numbered and joined in blocks, so only the blocks' texts meet in a task.
     """
-    own = df.select(*key, F.col(number).cast("long").alias("_n")).distinct()
+    own = df.select(*key, F.col(number).cast("long").alias("_n"))
+    own = (own.repartition(*key) if key else own).distinct()  # by key, for all that follows is by key
     at = own.withColumn("_at", F.row_number().over(W.partitionBy(*key).orderBy("_n"))) if key else enumerated(own, ["_n"], "_at")
     runs = at.groupBy(*key, (F.col("_n") - F.col("_at")).alias("_g")).agg(F.min("_n").alias("_a"), F.max("_n").alias("_b"))
     one = F.when(F.col("_a") == F.col("_b"), F.col("_a").cast("string")).otherwise(F.concat_ws("-", "_a", "_b"))

@@ -359,8 +359,8 @@ def _chained(spark, d):
 
 def _chained_files(spark, d):
     parts = load(spark, d, "part").where("p_partkey % 10 <> 0").select(F.concat(F.lit("p"), c("p_partkey").cast("string")).alias("path"), (c("p_size") * 10).cast("bigint").alias("mtime"))
-    line = load(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_suppkey").alias("s")).where("(l_orderkey + l_linenumber) % 3 <> 0")
-    return parts.union(line.select(F.concat_ws("_", c("l_orderkey").cast("string"), c("l_linenumber").cast("string")).alias("path"), (c("s") * 5 + c("l_linenumber")).cast("bigint").alias("mtime"))).select("path", F.lit(True).alias("exists"), "mtime")
+    line = load(spark, d, "lineitem").where("(l_orderkey + l_linenumber) % 3 <> 0").select(F.concat_ws("_", c("l_orderkey").cast("string"), c("l_linenumber").cast("string")).alias("path"), (c("l_suppkey") * 5 + c("l_linenumber")).cast("bigint").alias("mtime"))
+    return parts.union(line).groupBy("path").agg(F.min("mtime").alias("mtime")).select("path", F.lit(True).alias("exists"), "mtime")
 
 
 def _coming(spark, d):

@@ -15,10 +15,14 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root}/tessera-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+#: What is written to be read again soon is compressed so.
+COMPRESSION = "zstd"
+
+
 def settled(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once and read again, so that its lineage ends."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=COMPRESSION)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -42,7 +46,7 @@ class Pile:
     def add(self, more: DataFrame) -> DataFrame:
         """Write ``more``; the rows written, read again."""
         path = f"{self._path}/{self._n}"
-        more.write.parquet(path)
+        more.write.parquet(path, compression=COMPRESSION)
         self._n += 1
         return self._spark.read.schema(self._schema).parquet(path)
 

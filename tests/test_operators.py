@@ -277,3 +277,40 @@ def test_compact_parses_once(spark, tmp_path, monkeypatch):
     names = written(spark, monkeypatch, ledger)
     ledger.compact(spark, str(folder))
     assert names == ["compact"] and sorted((r.job_id, r.ts) for r in ledger.read(spark, str(folder)).collect()) == [("a", 2), ("b", 3)]
+
+
+def test_staleness_moves(spark):
+    """What a rule and its edges shuffle where nothing is small enough to be broadcast: edges once a round only while they are left."""
+    n = 20_000
+    rules = spark.range(n, numPartitions=4).selectExpr("id as rule_id", "array(concat('x', id)) as outputs", "if(id % 7 = 0, array(concat('s', id)), array(concat('x', id - 1), concat('s', id))) as inputs", "map(concat('x', id), false) as temp")
+    files = spark.range(n, numPartitions=4).selectExpr("concat('s', id) as path", "true as exists", "5L as mtime").union(spark.range(n, numPartitions=4).selectExpr("concat('x', id)", "true", "if(id % 70 = 3, 4L, 9L)"))
+
+    def shuffled():
+        spark._jsc.sc().listenerBus().waitUntilEmpty()
+        return spark._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        began = shuffled()
+        stale = graph.staleness(rules, files)
+        moved = (shuffled() - began) / n
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert {r.rule_id for r in stale.where("will_run").collect()} == {i for i in range(n) if 3 <= i % 70 < 7}
+    assert moved < 135, moved
+
+
+def test_ranges_shuffle_once(spark):
+    """Numbers of a key come together once, repeated ones and all."""
+    got = sheet.ranges(spark.range(40).selectExpr("id % 2 as k", "id div 4 as n").where("n <> 4"), ["k"], "n")
+    assert {r.k: r.spec for r in got.collect()} == {0: "0-3,5-9", 1: "0-3,5-9"}
+    assert got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1
+
+
+def test_odd_outputs(spark):
+    """An output without a path is missing, one made twice is waited for twice; a rule without outputs is none, without inputs waits for nothing."""
+    rules = spark.createDataFrame([(1, [None], ["s"], {}, True), (2, ["x"], ["s"], {}, True), (3, ["x"], [], {}, True), (4, ["y"], ["x", "x", None], {}, True), (5, [], ["s"], {}, True), (6, None, None, {}, True), (7, ["z"], None, {"z": True}, True)], RULES)
+    files = spark.createDataFrame([("s", True, 5), ("x", True, 7), ("y", True, 6), ("z", False, 1)], "path string, exists boolean, mtime long")
+    got = {r.rule_id: (r.will_run, r.eff) for r in graph.staleness(rules, files).collect()}
+    assert got == {1: (True, 5), 2: (False, 7), 3: (False, 7), 4: (True, 6), 7: (False, None)}
