@@ -5,7 +5,8 @@ output to boolean) and ``has_body``; ``files`` has ``path, exists, mtime``;
 edges run ``src`` to ``dst``.  Fixpoints run some Spark jobs a layer, over what
 the last layer has settled and what depends on it alone; each layer is added to
 a table in the shared folder, so lineage does not grow.  They end when a layer
-is empty or every edge is used, however deep the graph.
+is empty or every edge is used, however deep the graph.  What a join may
+broadcast is measured by its rows, so the driver holds ``JOIN_BYTES`` of them.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..sources.folders import Pile, settled, small
+from ..sources.folders import JOIN_BYTES, Pile, settled, shuffled, small
 
 
 #: Edges that are not worth a table of their own if one round may use them all.
@@ -31,7 +32,7 @@ class Links:
     """
 
     def __init__(self, edges: DataFrame):
-        self._held, self._spent = edges, None
+        self._held, self._spent, self._rows = edges, None, 0
         self.left = self._size = edges.count()
 
     def of(self, front: DataFrame) -> DataFrame:
@@ -43,14 +44,15 @@ class Links:
             known = front.withColumn("_new", F.lit(True))
             if self._spent is not None:
                 known = known.unionByName(self._spent.now().withColumn("_new", F.lit(False)), allowMissingColumns=True)
-            both = settled(self._held.join(known, "src", "left").where("_new is null or _new"), "links")
-            self._held, self._spent, self._size = both.where("_new is null").select(self._held.columns), None, None
+            both = settled(self._held.join(small(known, JOIN_BYTES, n + self._rows), "src", "left").where("_new is null or _new"), "links")
+            self._held, self._spent, self._size, self._rows = both.where("_new is null").select(self._held.columns), None, None, 0
             return both.where("_new").drop("_new")
         if self._spent is None:
             self._spent = Pile(front.select("src"), "spent")
         else:
             self._spent.add(front.select("src"))
-        return self._held.join(front, "src")
+        self._rows += n
+        return self._held.join(small(front, JOIN_BYTES, n), "src")
 
 
 class Waiting:
@@ -75,7 +77,7 @@ class Waiting:
             self._met = Pile(some, "met")
         elif part:
             self._met.add(some)
-            touched = self._met.now().join(some.select(self._own[0]), self._own[0], "left_semi").groupBy(*self._own).agg(*self._sums)
+            touched = self._met.now().join(small(some.select(self._own[0]), JOIN_BYTES, part), self._own[0], "left_semi").groupBy(*self._own).agg(*self._sums)
             ready = ready.unionByName(touched.where("c = want"))
         return ready, n
 
@@ -87,7 +89,7 @@ def edges_of(rules: DataFrame) -> DataFrame:
 
 def sources(edges: DataFrame) -> DataFrame:
     """Nodes that nothing produces."""
-    return edges.select(F.col("src").alias("name")).distinct().join(edges.select(F.col("dst").alias("name")), "name", "left_anti")
+    return edges.select(F.col("src").alias("name")).distinct().join(shuffled(edges.select(F.col("dst").alias("name"))), "name", "left_anti")
 
 
 def nodes(edges: DataFrame) -> DataFrame:
@@ -123,24 +125,24 @@ def satisfiable(rules: DataFrame, available: DataFrame) -> DataFrame:
     have = available.select("path").distinct().withColumn("have", F.lit(True))
     makes = rules.select(F.col("rule_id").alias("src"), F.explode("outputs").alias("path"))
     made = makes.groupBy("path").agg(F.count(F.lit(1)).alias("makers"), F.min("src").alias("src"))
-    held = rules.select("rule_id", F.posexplode_outer("inputs").alias("at", "path")).join(have, "path", "left").join(made, "path", "left")
+    held = rules.select("rule_id", F.posexplode_outer("inputs").alias("at", "path")).join(shuffled(have), "path", "left").join(shuffled(made), "path", "left")
     place = W.partitionBy("rule_id").orderBy("src")
     want = F.count(F.when(F.col("at").isNotNull() & F.col("have").isNull(), 1)).over(place.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
     base = held.select("rule_id", "path", "have", "makers", "src", F.row_number().over(place).alias("_n"), want.alias("want"))
     base = settled(base.where("(want = 0 and _n = 1) or (want > 0 and have is null and makers is not null)").select("rule_id", "path", "makers", "src", "want"), "base")
     links = Links(base.where("want > 0 and makers = 1").select("src", "rule_id", "want"))
     shared = settled(base.where("want > 0 and makers > 1").select("path", "rule_id", "want"), "shared")
-    several = not shared.isEmpty()
+    several = shared.count()
     if several:  # the first of a path's makers counts, the others no more
-        makers = settled(makes.join(shared.select("path"), "path", "left_semi"), "makers")
+        makers = settled(makes.join(small(shared.select("path"), JOIN_BYTES, several), "path", "left_semi"), "makers")
         seen = Pile(shared.where("false").select("path"), "seen")
     good, waiting = Pile(base.where("want = 0").select("rule_id"), "good"), Waiting(["rule_id", "want"], F.sum("link").alias("link"))
     front = good.first
     while links.left or several:
         hits = links.of(front.withColumnRenamed("rule_id", "src")).select("rule_id", "want", F.lit(1).cast("long").alias("link"))
         if several:
-            new = seen.add(makers.join(front.withColumnRenamed("rule_id", "src"), "src", "left_semi").select("path").distinct().join(seen.now(), "path", "left_anti"))
-            hits = hits.union(shared.join(new, "path").select("rule_id", "want", F.lit(0).cast("long")))
+            new = seen.add(makers.join(small(front.withColumnRenamed("rule_id", "src"), JOIN_BYTES), "src", "left_semi").select("path").distinct().join(small(seen.now(), JOIN_BYTES), "path", "left_anti"))
+            hits = hits.union(shared.join(small(new, JOIN_BYTES), "path").select("rule_id", "want", F.lit(0).cast("long")))
         found = settled(waiting.merged(hits), "found")
         links.left -= found.agg(F.coalesce(F.sum("link"), F.lit(0))).first()[0]
         front = good.add(waiting.complete(found)[0].select("rule_id"))
@@ -175,8 +177,8 @@ def reachable(edges: DataFrame, goals: DataFrame) -> DataFrame:
     front = settled(goals.select(F.col(goals.columns[0]).alias("name")).distinct(), "front")
     seen = Pile(front, "seen")
     while True:
-        step = front.join(back, F.col("name") == F.col("dst")).select(F.col("src").alias("name")).distinct()
-        front = settled(step.join(seen.now(), "name", "left_anti"), "front")
+        step = small(front, JOIN_BYTES).join(back, F.col("name") == F.col("dst")).select(F.col("src").alias("name")).distinct()
+        front = settled(step.join(small(seen.now(), JOIN_BYTES), "name", "left_anti"), "front")
         if front.isEmpty():
             return seen.now()
         seen.add(front)
@@ -189,7 +191,7 @@ def layers(edges: DataFrame) -> DataFrame:
     behind a cycle.
     """
     own = settled(edges.select("src", "dst").distinct(), "edges")
-    links = Links(settled(own.join(own.groupBy("dst").agg(F.count(F.lit(1)).alias("want")), "dst"), "wanted"))
+    links = Links(settled(own.join(shuffled(own.groupBy("dst").agg(F.count(F.lit(1)).alias("want"))), "dst"), "wanted"))
     placed, waiting = Pile(sources(own).select("name", F.lit(0).alias("layer")), "placed"), Waiting(["dst", "want"], F.max("m").alias("m"))
     front = placed.first
     while links.left:
@@ -197,7 +199,7 @@ def layers(edges: DataFrame) -> DataFrame:
         found = settled(waiting.merged(hits.select("dst", "want", F.col("layer").alias("m"))), "found")
         ready, n = waiting.complete(found)
         if not n:
-            left = nodes(own).join(placed.now(), "name", "left_anti").orderBy("name").limit(5).collect()
+            left = nodes(own).join(shuffled(placed.now()), "name", "left_anti").orderBy("name").limit(5).collect()
             raise ValueError("cycle at " + ", ".join(r.name for r in left))
         links.left -= n
         front = placed.add(ready.select(F.col("dst").alias("name"), (F.col("m") + 1).alias("layer")))
@@ -218,10 +220,10 @@ def staleness(rules: DataFrame, files: DataFrame, force: bool = False, external:
     both = rules.select("rule_id", "temp", F.size(F.coalesce("outputs", none)).alias("_n"), F.posexplode(F.concat(F.coalesce("outputs", none), F.coalesce("inputs", none))).alias("_at", "path"))
     made = F.col("_at") < F.col("_n")
     facts = settled(both.select("rule_id", "path", made.alias("made"), F.coalesce(F.when(made, F.col("temp")[F.col("path")]), F.lit(False)).alias("is_temp")), "facts")
-    there = files.where("`exists`").select("path", "mtime")
-    coming = (facts.where("false").select("path") if external is None else external.select("path").distinct()).withColumn("coming", F.lit(True))
+    there = shuffled(files.where("`exists`").select("path", "mtime"))
+    coming = shuffled(facts.where("false").select("path") if external is None else external.select("path").distinct()).withColumn("coming", F.lit(True))
     # Both joins below shuffle the same columns of makes and files, so Spark does so once.
-    makes = facts.where("made and path is not null").select(F.col("path").alias("_path"), F.col("rule_id").alias("maker"), "is_temp")
+    makes = shuffled(facts.where("made and path is not null").select(F.col("path").alias("_path"), F.col("rule_id").alias("maker"), "is_temp"))
     same, blank, gone = F.col("_path") == F.col("path"), F.lit(None), F.col("mtime").isNull()
     outs = makes.join(there, same, "left").select(F.col("maker").alias("rule_id"), blank.alias("maker"), blank.alias("held"), F.col("mtime").alias("oldest"), (gone & ~F.col("is_temp")).alias("run"), F.lit(True).alias("made"))
     source = ~F.col("made") & (F.col("maker").isNull() | F.col("is_temp").isNull())
@@ -259,24 +261,26 @@ def staleness(rules: DataFrame, files: DataFrame, force: bool = False, external:
 def to_build(rules: DataFrame, stale: DataFrame, files: DataFrame) -> DataFrame:
     """``rule_id`` of what must be made: rules that run, and makers of missing inputs of what is made."""
     run = settled(stale.where("will_run").select("rule_id"), "run")
-    missing = rules.select("rule_id", F.explode("inputs").alias("path")).join(files.where("`exists`"), "path", "left_anti")
-    made = missing.join(rules.select(F.col("rule_id").alias("maker"), F.explode("outputs").alias("path")), "path").select("rule_id", "maker")
-    more = settled(made.join(run.withColumnRenamed("rule_id", "maker"), "maker", "left_anti").distinct(), "missing")
-    front, added = run, None
-    while True:
-        step = more.join(front, "rule_id", "left_semi").select(F.col("maker").alias("rule_id")).distinct()
+    runs = run.count()
+    missing = rules.select("rule_id", F.explode("inputs").alias("path")).join(shuffled(files.where("`exists`")), "path", "left_anti")
+    made = missing.join(shuffled(rules.select(F.col("rule_id").alias("maker"), F.explode("outputs").alias("path"))), "path").select("rule_id", "maker")
+    more = settled(made.join(small(run.withColumnRenamed("rule_id", "maker"), JOIN_BYTES, runs), "maker", "left_anti").distinct(), "missing")
+    front, new, added, n = run, runs, None, 0
+    while new:
+        step = more.join(small(front, JOIN_BYTES, new), "rule_id", "left_semi").select(F.col("maker").alias("rule_id")).distinct()
         if added is None:
             added = Pile(step, "build")
             front = added.first
         else:
-            front = added.add(step.join(added.now(), "rule_id", "left_anti"))
-        if front.isEmpty():
-            return run.union(added.now())
+            front = added.add(step.join(small(added.now(), JOIN_BYTES, n), "rule_id", "left_anti"))
+        new = front.count()
+        n += new
+    return run if added is None else run.union(added.now())
 
 
 def jobs(rules: DataFrame, build: DataFrame) -> DataFrame:
     """The rules to build that are jobs: those with a body.  Others only gather inputs."""
-    return rules.where("has_body").join(build.select("rule_id"), "rule_id", "left_semi")
+    return rules.where("has_body").join(small(build.select("rule_id"), JOIN_BYTES), "rule_id", "left_semi")
 
 
 def dependencies(rules: DataFrame, build: DataFrame, stale: DataFrame, files: DataFrame, external: DataFrame | None = None) -> DataFrame:
@@ -291,13 +295,13 @@ def dependencies(rules: DataFrame, build: DataFrame, stale: DataFrame, files: Da
     makes = rules.select(F.col("rule_id").alias("producer"), F.col("has_body").alias("is_job"), F.explode("outputs").alias("path"))
     runs = stale.where("will_run").select(F.col("rule_id").alias("producer"))
     there = files.where("`exists`").select("path", F.lit(True).alias("there"))
-    held = uses.join(makes, "path", "left").join(there, "path", "left").where("(producer is not null and is_job) or (producer is null and there is null)")
+    held = uses.join(shuffled(makes), "path", "left").join(shuffled(there), "path", "left").where("(producer is not null and is_job) or (producer is null and there is null)")
     held = settled(held.select("rule_id", "producer", "path", "there"), "uses")
     made = held.where("producer is not null").select("rule_id", "producer", "there")
-    own = made.where("there is null").union(made.where("there").join(runs, "producer", "left_semi").select("rule_id", "producer", "there")).select("rule_id", "producer", F.lit(None).cast("string").alias("job_id")).distinct()
+    own = made.where("there is null").union(made.where("there").join(shuffled(runs), "producer", "left_semi").select("rule_id", "producer", "there")).select("rule_id", "producer", F.lit(None).cast("string").alias("job_id")).distinct()
     if external is None:
         return own
-    other = held.where("producer is null").join(external.select("path", "owner"), "path")
+    other = held.where("producer is null").join(shuffled(external.select("path", "owner")), "path")
     return own.union(other.select("rule_id", F.col("producer"), F.col("owner").alias("job_id")).distinct())
 
 
@@ -305,7 +309,7 @@ def unmakeable(rules: DataFrame, files: DataFrame, external: DataFrame | None =
     """``rule_id, path``: inputs that are missing, that no rule makes and, if given, no active job (``path`` in ``external``)."""
     out = rules.select("rule_id", F.explode("inputs").alias("path")).distinct()
     for held in (rules.select(F.explode("outputs").alias("path")), files.where("`exists`").select("path"), *(() if external is None else (external.select("path"),))):
-        out = out.join(held.distinct(), "path", "left_anti")
+        out = out.join(shuffled(held.distinct()), "path", "left_anti")
     return out.select("rule_id", "path")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 
 from ..functions import lists, strings
 from ..operators import details, graph, ledger, sheet, status
-from ..sources.folders import scratch, settled
+from ..sources.folders import scratch, settled, shuffled
 from .scalar_queries import c, load
 
 
@@ -385,7 +385,7 @@ def chain_build(spark, d):
     stale = graph.staleness(rules, files, external=coming)
     build = graph.to_build(rules, stale, files)
     waits = graph.dependencies(rules, build, stale, files, coming)
-    return graph.jobs(rules, build).select("rule_id").join(waits, "rule_id", "left").select("rule_id", F.coalesce("producer", F.lit(-1)).alias("producer"), F.coalesce("job_id", F.lit("")).alias("job_id"))
+    return graph.jobs(rules, build).select("rule_id").join(shuffled(waits), "rule_id", "left").select("rule_id", F.coalesce("producer", F.lit(-1)).alias("producer"), F.coalesce("job_id", F.lit("")).alias("job_id"))
 
 
 def chain_unmakeable(spark, d):

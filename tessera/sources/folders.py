@@ -29,11 +29,29 @@ def settled(df: DataFrame, name: str) -> DataFrame:
 #: A table is broadcast only if its rows, counted as text, hold so many bytes at most.
 BROADCAST_BYTES = 32 << 20
 
+#: The same for one that is as well joined by shuffling: Spark's own threshold, for rows instead of files.
+JOIN_BYTES = 10 << 20
 
-def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """``df`` (cheap to read, for it is measured), to be broadcast if it holds ``limit`` bytes at most."""
-    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct(*df.columns))))).first()[0] or 0
-    return F.broadcast(df) if size <= limit else df
+#: Types whose values Spark holds in eight bytes.
+FIXED = {"boolean", "tinyint", "smallint", "int", "bigint", "float", "double", "date", "timestamp", "timestamp_ntz"}
+
+
+def small(df: DataFrame, limit: int = BROADCAST_BYTES, rows: int | None = None) -> DataFrame:
+    """``df`` (cheap to read, for it is measured), to be broadcast if it holds ``limit`` bytes at most, else never.
+
+    Left to itself, Spark goes by the bytes of files, and millions of numbers in order
+    take few of them; on the driver each is a row.  ``rows`` is their number if known.
+    """
+    size = 8 * (len(df.columns) + 1) * (df.count() if rows is None else rows)
+    texts = [c for c, kind in df.dtypes if kind not in FIXED]
+    if texts and size <= limit:
+        size = max(size, df.agg(F.sum(F.octet_length(F.to_json(F.struct(*df.columns))))).first()[0] or 0)
+    return F.broadcast(df) if size <= limit else shuffled(df)
+
+
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df``, joined by shuffling whatever the size of its files, unless the other side is to be broadcast."""
+    return df.hint("merge")
 
 
 class Pile:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import lists, strings, values
 from tessera.operators import graph, ledger, sheet, status
 from tessera.plans import relational_queries
-from tessera.sources import sheets
+from tessera.sources import folders, sheets
 from tessera.streaming import ledger_stream
 
 
@@ -172,6 +172,35 @@ def test_deep_graph(spark):
     assert graph.reachable(edges, spark.createDataFrame([("n12",)], "name string")).count() == 13
 
 
+def test_rows_not_files_are_broadcast(spark, monkeypatch):
+    """Numbers in order take few bytes of a file and many of the driver's memory: what has many rows is not broadcast."""
+    n = 50_000
+    monkeypatch.setattr(graph, "JOIN_BYTES", 1 << 16, raising=False)
+
+    def name(kind):
+        return F.concat(F.lit(kind), F.col("id").cast("string"))
+
+    def rule(shift, out, made_of, temp):
+        return spark.range(n).select((F.col("id") + shift).alias("rule_id"), F.array(name(out)).alias("outputs"), F.array(name(made_of)).alias("inputs"), F.create_map(name(out), temp).alias("temp"), F.lit(True).alias("has_body"))
+
+    rules = rule(0, "b", "a", F.col("id") % 2 == 1).union(rule(n, "c", "b", F.lit(False)))
+    files = spark.range(n).select(name("a").alias("path"), F.lit(True).alias("exists"), F.lit(5).cast("long").alias("mtime")).union(spark.range(n).where("id % 4 = 1").select(name("c"), F.lit(True), F.lit(9).cast("long")))
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "2500000")  # some 25,000 numbers
+    try:
+        built = graph.to_build(rules, graph.staleness(rules, files), files)
+        assert sorted(r.rule_id for r in built.collect()) == [k for k in range(2 * n) if k % n % 4 != 1]
+        assert sorted(r.rule_id for r in graph.satisfiable(rules, files.where("path like 'a%'")).collect()) == list(range(2 * n))
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+
+
+@pytest.mark.parametrize(("limit", "rows", "join"), [(1 << 20, None, "BroadcastHashJoin"), (1 << 13, None, "SortMergeJoin"), (1 << 13, 9, "BroadcastHashJoin"), (1 << 20, 1 << 20, "SortMergeJoin")])
+def test_small(spark, capsys, limit, rows, join):
+    """What is not small is joined by shuffling, however small Spark takes it for."""
+    spark.range(10_000).join(folders.small(folders.settled(spark.range(1_000), "some"), limit, **({"rows": rows} if rows else {})), "id").explain()
+    assert join in capsys.readouterr().out
+
+
 def test_dependencies(spark):
     """A rule without a body is no job: what needs it runs if it would, but waits for nothing of it."""
     rules = spark.createDataFrame([(1, ["a"], ["src"], {}, True), (2, ["all"], ["a"], {}, False), (3, ["z"], ["all", "far"], {}, True)], RULES).withColumn("ord", F.col("rule_id"))
