@@ -175,13 +175,12 @@ def reachable(edges: DataFrame, goals: DataFrame) -> DataFrame:
     """``name`` of the goals and of all that they are made from."""
     back = settled(edges.select("src", "dst").distinct(), "edges")
     front = settled(goals.select(F.col(goals.columns[0]).alias("name")).distinct(), "front")
-    seen = Pile(front, "seen")
-    while True:
-        step = small(front, JOIN_BYTES).join(back, F.col("name") == F.col("dst")).select(F.col("src").alias("name")).distinct()
-        front = settled(step.join(small(seen.now(), JOIN_BYTES), "name", "left_anti"), "front")
-        if front.isEmpty():
-            return seen.now()
-        seen.add(front)
+    seen, n = Pile(front, "seen"), 0
+    while new := front.count():
+        n += new
+        step = small(front, JOIN_BYTES, new).join(back, F.col("name") == F.col("dst")).select(F.col("src").alias("name")).distinct()
+        front = seen.add(step.join(small(seen.now(), JOIN_BYTES, n), "name", "left_anti"))
+    return seen.now()
 
 
 def layers(edges: DataFrame) -> DataFrame:
